@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from fidelis.llm import (
+    compression_classifier,
+    near_dup,
     quality_rules,
     sentencepiece,
+    warc,
 )
 
 
@@ -12,6 +15,9 @@ def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op3_sentencepiece": sentencepiece.op3_sentencepiece,
+        "op5_quality_classifier": compression_classifier.op5_quality_classifier,
+        "op8_minhash": near_dup.op8_minhash,
+        "op9_warc": warc.op9_warc,
     }
 
 

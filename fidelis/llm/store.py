@@ -34,13 +34,13 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def keyed(df: DataFrame, key: str = "doc_id", value: str = "text") -> DataFrame:
-    """``key`` (long) and ``value`` (string), one row for each key.
+def keyed(df: DataFrame, key: str = "doc_id", value: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """``key`` (long), ``value`` and ``more`` (strings), one row for each key.
 
-    Rows without a key can't be named in a result and are left out; of rows that repeat a key, the smallest value
-    counts (null only if all are null). Other columns, whatever their names, are not looked at. Only the keys are
-    shuffled to find out whether any repeats; the texts are only if one does.
+    Rows without a key can't be named in a result and are left out; of rows that repeat a key, the smallest value of
+    each column counts (null only if all are null). Other columns, whatever their names, are not looked at. Only the
+    keys are shuffled to find out whether any repeats; the texts are only if one does.
     """
-    df = df.select(F.col(key).cast("long").alias(key), F.col(value).cast("string").alias(value)).where(F.col(key).isNotNull())
+    df = df.select(F.col(key).cast("long").alias(key), *(F.col(v).cast("string").alias(v) for v in (value, *more))).where(F.col(key).isNotNull())
     again = df.select(key).groupBy(key).count().where("count > 1").limit(1).count()
-    return df.groupBy(key).agg(F.min(value).alias(value)) if again else df
+    return df.groupBy(key).agg(*(F.min(v).alias(v) for v in (value, *more))) if again else df
