@@ -7,6 +7,7 @@ from fidelis.llm import (
     near_dup,
     quality_rules,
     sentencepiece,
+    substring_dedup,
     warc,
 )
 
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op3_sentencepiece": sentencepiece.op3_sentencepiece,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_quality_classifier": compression_classifier.op5_quality_classifier,
         "op8_minhash": near_dup.op8_minhash,
         "op9_warc": warc.op9_warc,
