@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fidelis.llm import (
     compression_classifier,
+    lm_scoring,
     near_dup,
     quality_rules,
     sentencepiece,
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_quality_classifier": compression_classifier.op5_quality_classifier,
         "op8_minhash": near_dup.op8_minhash,
         "op9_warc": warc.op9_warc,
+        "op10_lm_scoring": lm_scoring.op10_lm_scoring,
     }
 
 
