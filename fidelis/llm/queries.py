@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from fidelis.llm import (
     compression_classifier,
+    decontamination,
+    license_scan,
+    line_dedup,
     lm_scoring,
     near_dup,
     quality_rules,
@@ -11,18 +17,32 @@ from fidelis.llm import (
     substring_dedup,
     warc,
 )
+from fidelis.session import ship
+
+
+def _shipped(query: Callable) -> Callable:
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
-        "op1_quality_rules": quality_rules.op1_quality_rules,
-        "op3_sentencepiece": sentencepiece.op3_sentencepiece,
-        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
-        "op5_quality_classifier": compression_classifier.op5_quality_classifier,
-        "op8_minhash": near_dup.op8_minhash,
-        "op9_warc": warc.op9_warc,
-        "op10_lm_scoring": lm_scoring.op10_lm_scoring,
-    }
+    all_of = (
+        quality_rules.op1_quality_rules,
+        license_scan.op2_license_scan,
+        sentencepiece.op3_sentencepiece,
+        substring_dedup.op4_substring_dedup,
+        compression_classifier.op5_quality_classifier,
+        decontamination.op6_decontamination,
+        line_dedup.op7_line_dedup,
+        near_dup.op8_minhash,
+        warc.op9_warc,
+        lm_scoring.op10_lm_scoring,
+    )
+    return {q.__name__: _shipped(q) for q in all_of}
 
 
 def oracle_sql() -> dict[str, str]:
