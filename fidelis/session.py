@@ -30,6 +30,9 @@ def session(app: str = "fidelis", cores: str = "*", **conf: str) -> SparkSession
 def ship(spark: SparkSession) -> None:
     """Gives the Python workers this package, once an application, whatever their own path is."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        # Rows may be long texts: a batch of them must fit into a worker several times.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if getattr(context, "_fidelis_shipped", False):
         return
     packed = io.BytesIO()
