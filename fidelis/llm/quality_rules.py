@@ -77,7 +77,10 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "n_capitals": F.regexp_count("_mt", F.lit("[A-Z]")),
         "n_exclamation": F.regexp_count("_mt", F.lit("!")),
     }
-    return df.withColumn("_m", F.struct(*(v.cast("long").alias(k) for k, v in counts.items()))).drop("_mt", "_mw", "_ml", "_mh", "_ms")
+    # Made by a generator of one row, not by a projection: filters on the counts then stay above, where each is computed
+    # once. Pushed down, they would hold every expression as often as they name it, also inside the loops over words.
+    m = F.explode(F.array(F.struct(*(v.cast("long").alias(k) for k, v in counts.items()))))
+    return df.withColumn("_m", m).drop("_mt", "_mw", "_ml", "_mh", "_ms")
 
 
 def base_failed(m: Column) -> Column:
