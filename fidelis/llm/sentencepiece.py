@@ -25,6 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = "▁"
 #: Stands between words that are encoded together; no piece may hold it.
@@ -298,7 +299,7 @@ def encoded(df: DataFrame, model_file: str, text: str = "text", ids: bool = Fals
 
     schema = source.select(*(F.col(f"`{c}`") for c in kept)).schema
     for n, kind in new:
-        schema = schema.add(n, kind)
+        schema = schema.add(n, T.ArrayType(T.IntegerType()) if n == "ids" else kind)
     return source.mapInArrow(run, schema)
 
 
