@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from fidelis.operators.base import Check, finite, found, intervals, is_rig, minus, once, profile, recorded, representatives
 
-MEASURED = F.col("clock_kind") == "measured"
+
+def _timed():
+    """Whether a stream's clock measures time; a count of steps passes every check of time by itself."""
+    return F.col("clock_kind") == "measured"
 
 
 def _measured(rec):
-    return representatives(profile(rec)).where(MEASURED)
+    return representatives(profile(rec)).where(_timed())
 
 
 def clock_measurability(rec, tol):
@@ -33,7 +36,7 @@ def rate_validity(rec, tol):
 
 def rate_conformance(rec, tol):
     rate = F.col("declared_rate_hz")
-    p = profile(rec).where(MEASURED & (F.col("n") >= 2) & (F.col("span") > 0) & finite(rate) & (rate > 0))
+    p = profile(rec).where(_timed() & (F.col("n") >= 2) & (F.col("span") > 0) & finite(rate) & (rate > 0))
     p = p.withColumn("observed", (F.col("n") - 1) / (F.col("span") / 1e9))
     return found(p.where(F.abs(F.col("observed") - rate) / rate > tol.rate_deviation), "RATE", "warning", "stream", "episode", "name", nums=["observed", rate])
 
@@ -55,7 +58,7 @@ def jitter(rec, tol):
 
 def clock_skew(rec, tol):
     """Pairs of streams of one episode: a theta join on spans within the episode."""
-    p = profile(rec).where(MEASURED & (F.col("span") > 0)).join(is_rig(rec), "ep_ord", "left_anti").select("ep_ord", "episode", "st_ord", "name", "span", "period")
+    p = profile(rec).where(_timed() & (F.col("span") > 0)).join(is_rig(rec), "ep_ord", "left_anti").select("ep_ord", "episode", "st_ord", "name", "span", "period")
     a, b = p.alias("a"), p.select(*(F.col(c).alias(f"{c}_b") for c in ("ep_ord", "st_ord", "name", "span", "period"))).alias("b")
     drift = F.abs(minus(F.col("span"), F.col("span_b")))
     pairs = a.join(b, (F.col("ep_ord") == F.col("ep_ord_b")) & (F.col("st_ord") < F.col("st_ord_b")) & (drift > tol.clock_skew_ns + F.greatest("period", "period_b")))
@@ -63,7 +66,7 @@ def clock_skew(rec, tol):
 
 
 def _offset(rec, edge, code, bound):
-    p = profile(rec).where(MEASURED & (F.col("n") > 0))
+    p = profile(rec).where(_timed() & (F.col("n") > 0))
     at = F.struct(edge, "st_ord")
     g = p.groupBy("ep_ord", "episode", "clock_id").agg(
         F.count("*").alias("k"), F.min(edge).alias("early"), F.max(edge).alias("late"), F.min_by("name", at).alias("first"), F.max_by("name", at).alias("last"), F.min_by("period", at).alias("p1"), F.max_by("period", at).alias("p2")
@@ -91,7 +94,7 @@ def rate_consistency(rec, tol):
 
 def durations(rec):
     """ep_ord, episode and duration of the episodes that have one: declared, or else the longest measured stream."""
-    span = profile(rec).where(MEASURED & (F.col("span") > 0)).groupBy("ep_ord").agg(F.max("span").alias("span"))
+    span = profile(rec).where(_timed() & (F.col("span") > 0)).groupBy("ep_ord").agg(F.max("span").alias("span"))
     declared = minus(F.col("end_ts"), F.col("start_ts"))
     e = rec.episodes.join(span, "ep_ord", "left").withColumn("duration", F.when(F.col("end_ts") > F.col("start_ts"), declared).otherwise(F.col("span")))
     return e.where("duration IS NOT NULL").select("ep_ord", "episode", "duration")
