@@ -39,6 +39,7 @@ class Recording:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     unread: list[str] = field(default_factory=list)
     notes: dict[str, list[str]] = field(default_factory=dict)
+    kept: DataFrame | None = None  # the profile of the streams, while a run of checks reads it
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,7 +75,10 @@ def profile(rec: Recording) -> DataFrame:
 
     n, lo, hi, span; n_iv, n_pos and all_pos of the steps; median (interpolated) of the positive steps, upper (the
     larger middle) of all; mean and cv (population) of the positive; period; fp, which is equal for equal timelines.
+    A recording that a whole run of checks reads keeps it (see ``profiled``).
     """
+    if rec.kept is not None:
+        return rec.kept
     pos = F.col("d") > 0
     step = F.when(pos, F.col("d"))
     agg = (
@@ -99,6 +103,17 @@ def profile(rec: Recording) -> DataFrame:
     )
 
 
+@contextmanager
+def profiled(rec: Recording):
+    """While it is open, the profile is computed once for all checks; it has a row for each stream and may spill to disk."""
+    rec.kept = profile(rec).persist()
+    try:
+        yield rec
+    finally:
+        rec.kept.unpersist()
+        rec.kept = None
+
+
 def representatives(p: DataFrame) -> DataFrame:
     """Streams of ``profile`` that speak for all with their timeline: the first name; ``twins`` counts the others."""
     w = Window.partitionBy("ep_ord", "fp", "n")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from fidelis.model import Recording, Tolerances
 from fidelis.operators import provenance
-from fidelis.operators.base import RANKS, SEVERITIES, Check
+from fidelis.operators.base import RANKS, SEVERITIES, Check, profiled
 from fidelis.plans.catalog import BY_ID, CHECKS
 
 DOMAIN = "fidelis.verdict.v1\0"
@@ -118,25 +118,28 @@ def notices(rec: Recording, config: RunConfig, selected: list[Check]) -> list[Fi
 
 
 def run(rec: Recording, config: RunConfig | None = None) -> Verdict:
-    """All selected checks in one job; if that fails, each in its own, so one failing check is named and the rest count."""
+    """Selected checks, a job for each category; if one fails, each of its checks runs alone, so the failing one is named and the rest count."""
     config = config or RunConfig()
     selected = [c for c in CHECKS if config.selects(c)]
-    parts: dict[str, DataFrame] = {}
     errored: dict[str, str] = {}
-    for c in selected:
-        try:
-            parts[c.id] = c.run(rec, config.tolerances)
-        except Exception as e:  # noqa: BLE001  a check must not take the others with it
-            errored[c.id] = type(e).__name__
     findings: list[Finding] = []
-    try:
-        findings = _collected(reduce(DataFrame.unionByName, parts.values())) if parts else []
-    except Exception:  # noqa: BLE001
-        for k, df in parts.items():
+    with profiled(rec):
+        for category in CATEGORIES:
+            parts: dict[str, DataFrame] = {}
+            for c in selected:
+                if c.category == category:
+                    try:
+                        parts[c.id] = c.run(rec, config.tolerances)
+                    except Exception as e:  # noqa: BLE001  a check must not take the others with it
+                        errored[c.id] = type(e).__name__
             try:
-                findings += _collected(df)
-            except Exception as e:  # noqa: BLE001
-                errored[k] = type(e).__name__
+                findings += _collected(reduce(DataFrame.unionByName, parts.values())) if parts else []
+            except Exception:  # noqa: BLE001
+                for k, df in parts.items():
+                    try:
+                        findings += _collected(df)
+                    except Exception as e:  # noqa: BLE001
+                        errored[k] = type(e).__name__
     findings = [replace(f, severity=config.severities.get(f.check_id, f.severity)) for f in findings] + notices(rec, config, selected)
     findings.sort(key=Finding.key)
     counts = {s: sum(f.severity == s for f in findings) for s in SEVERITIES}
