@@ -9,12 +9,13 @@ in a document with a smaller doc_id.
    share arrives as one row of each task).
 2. Each document gets the list of its recurring anchors, and its runs of windows with such anchors are cut out as
    passages, the only text that later steps see. Equal passages are one from here on.
-3. Confirmation: windows of the passages are grouped by their words; those with two documents at least are the
-   recurring phrases, each with the smallest doc_id that has it.
-4. Phrases are dealt by anchor to shards; a shard compiles its phrases, as sequences of word numbers, into Aho-Corasick
-   automata, and all pieces of passages with the anchors of the shard stream through them, which locates every
-   occurrence. A document meets only the shards that hold one of its anchors, so the work grows with the text and not
-   with text times shards. An anchor with very many pieces is spread over several shards, each with its phrases.
+3. Pieces of passages are dealt by anchor to shards. Confirmation: windows that two documents at least have are the
+   recurring phrases, each with the smallest doc_id that has it. All windows with one anchor are in one shard, so it
+   confirms its own; an anchor with very many pieces is spread over several shards, and its phrases, confirmed by an
+   aggregation, are sent to each of them.
+4. A shard compiles its phrases, as sequences of word numbers, into Aho-Corasick automata, and all its pieces stream
+   through them, which locates every occurrence. A document meets only the shards that hold one of its anchors, so the
+   work grows with the text and not with text times shards.
 5. Occurrences whose phrase has a smaller doc_id cover words; what is left is put together from the whole text.
 
 Special input: a null or empty text has no words; a text with fewer than ``n`` words loses none; rows without a doc_id
@@ -34,102 +35,127 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.store import cut, keyed
-from fidelis.llm.text import gram_hashes, pieces, signed, split_words
+from fidelis.llm.store import keyed
+from fidelis.llm.text import Words, gram_hashes, mix, pieces, signed, split_words
 
 WINDOW, ANCHOR = 13, 4
-#: Pieces of passages up to which one anchor is kept in one shard; further shards get the same phrases.
+#: Documents with an anchor up to which it is kept in one shard; for more, its pieces are dealt to several.
 PIECES = 20_000
 #: Parts of a shard whose automata are built one after the other.
 PARTS = 16
 
 
-def anchors_of(words: np.ndarray, n: int) -> np.ndarray:
-    """The anchor of each window of one document's word hashes."""
-    grams = gram_hashes(words, min(ANCHOR, n))
-    return np.lib.stride_tricks.sliding_window_view(grams, n - min(ANCHOR, n) + 1).min(axis=1)
+def anchors_of(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor and first word of each window of the rows of ``w``."""
+    k = min(ANCHOR, n)
+    g = gram_hashes(w.hashes(), k)
+    wide = 1
+    while 2 * wide <= n - k + 1:  # the smallest of twice as many sequences each time
+        g = np.minimum(g[:-wide], g[wide:])
+        wide *= 2
+    if more := n - k + 1 - wide:
+        g = np.minimum(g[:-more], g[more:])
+    row = w.row_of_word()
+    at = np.flatnonzero(row[: len(g)] == row[n - 1 :]) if len(row) >= n else np.zeros(0, np.int64)
+    return g[at], at
+
+
+def runs(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where a new anchor or a new row begins; one more for the end."""
+    new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])] if len(h) else np.zeros(0, bool)
+    return np.append(np.flatnonzero(new), len(h))
 
 
 def document_anchors(docs: DataFrame, n: int) -> DataFrame:
-    """(h, doc_id): the distinct anchors of each document."""
+    """(h, doc_id): the anchors of each document, those of neighbouring windows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for w in pieces(b.column(1)):
-                words, hs, ds = w.hashes(), [], []
-                for row in range(len(w.off) - 1):
-                    if w.off[row + 1] - w.off[row] >= n:
-                        h = np.unique(anchors_of(words[w.off[row] : w.off[row + 1]], n))
-                        hs.append(h)
-                        ds.append(np.full(len(h), ids[w.first + row]))
-                if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(hs))), pa.array(np.concatenate(ds))], names=["h", "doc_id"])
+                h, at = anchors_of(w, n)
+                row = w.row_of_word()[at]
+                first = runs(h, row)[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[first])), pa.array(ids[w.first + row[first]])], names=["h", "doc_id"])
 
     return docs.mapInArrow(run, "h long, doc_id long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and z, the text compressed."""
+    """doc_id and z, the words joined by blanks, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
+        z = zstandard.ZstdCompressor(level=5)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else z.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(" ".join(split_words(t)).encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "z"])
 
     return docs.mapInArrow(run, "doc_id long, z binary")
 
 
-def unpacked(z: bytes | None) -> list[str]:
-    return [] if z is None else split_words(zstandard.ZstdDecompressor().decompress(z).decode())
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return next(pieces(pa.array([" ".join(words)]))).hashes()
+def unpacked(z: list[bytes]) -> pa.Array:
+    d = zstandard.ZstdDecompressor()
+    return pa.array([d.decompress(x) for x in z], pa.large_binary()).cast(pa.large_string())
 
 
 def passages(texts: DataFrame, known: DataFrame, n: int) -> DataFrame:
-    """(doc_id, start, passage): runs of words that lie in windows with a recurring anchor."""
-    both = texts.join(known, "doc_id").select("doc_id", "z", "known")
+    """(doc_id, start, passage, hot, shards): runs of words that lie in windows with a recurring anchor.
+
+    ``hot`` has those of its anchors that need several shards, in order, and ``shards`` how many each.
+    """
+    both = texts.join(known, "doc_id").select("doc_id", "z", "known", "hot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, starts, texts = [], [], []
-            for doc, z, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                words = unpacked(z)
-                found = np.isin(signed(anchors_of(word_hashes(words), n)), known.values.to_numpy())
-                edge = np.flatnonzero(np.diff(np.r_[0, found.astype(np.int8), 0]))
-                for a, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    ids.append(doc)
-                    starts.append(a)
-                    texts.append(" ".join(words[a : e + n - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "start", "passage"])
-
-    return both.mapInArrow(run, "doc_id long, start int, passage string")
+            all_ids, known = b.column(0).to_numpy(), b.column(2)
+            size = known.value_lengths().to_numpy()
+            salt = mix(np.arange(len(b), dtype=np.uint64))
+            wanted = np.sort(known.flatten().to_numpy().view(np.uint64) ^ np.repeat(salt, size))  # anchors, told apart by document
+            wide = [{x["h"]: x["shards"] for x in hot} for hot in b.column(3).to_pylist()]
+            ids, starts, texts, hots, shards = [], [], [], [], []
+            for w in pieces(unpacked(b.column(1).to_pylist())):
+                h, at = anchors_of(w, n)
+                row = w.row_of_word()[at]
+                own = h ^ salt[w.first + row]
+                ok = wanted[np.searchsorted(wanted, own).clip(max=len(wanted) - 1)] == own
+                h, at, row = h[ok], at[ok], row[ok]
+                edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])]) if len(at) else np.zeros(0, np.int64)
+                last = np.append(edge[1:], len(at)) - 1
+                for a, z, r in zip(edge.tolist(), last.tolist(), row[edge].tolist(), strict=True):
+                    many = wide[w.first + r]
+                    got = sorted({x for x in signed(h[a : z + 1]).tolist() if x in many}) if many else []
+                    hots.append(got)
+                    shards.append([many[x] for x in got])
+                ids += all_ids[w.first + row[edge]].tolist()
+                starts += (at[edge] - w.off[row[edge]]).tolist()
+                raw = w.data.tobytes()
+                texts += [raw[x:y] for x, y in zip(w.start[at[edge]].tolist(), w.end[at[last] + n - 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(hots, pa.list_(pa.int64())), pa.array(shards, pa.list_(pa.int32()))], names=["doc_id", "start", "passage", "hot", "shards"])
+
+    return both.mapInArrow(run, "doc_id long, start int, passage string, hot array<long>, shards array<int>")
 
 
 def cut_at_anchors(distinct: DataFrame, n: int) -> DataFrame:
-    """(h, pid, off, piece): each run of a passage's windows with one anchor, as words."""
+    """(h, pid, off, piece, low, high, shards): each run of a passage's windows with one anchor, as words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, pids, offs, texts = [], [], [], []
-            for pid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = text.split(" ")
-                h = signed(anchors_of(word_hashes(words), n))
-                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                for a, e in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
-                    hs.append(h[a])
-                    pids.append(pid)
-                    offs.append(a)
-                    texts.append(" ".join(words[a : e + n - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(pids, pa.int64()), pa.array(offs, pa.int32()), pa.array(texts, pa.string())], names=["h", "pid", "off", "piece"])
+            for w in pieces(b.column(1)):
+                h, at = anchors_of(w, n)
+                row = w.row_of_word()[at]
+                edge = runs(h, row)
+                first, last = edge[:-1], edge[1:] - 1
+                raw = w.data.tobytes()
+                texts = [raw[x:y] for x, y in zip(w.start[at[first]].tolist(), w.end[at[last] + n - 1].tolist(), strict=True)]
+                off = (at[first] - w.off[row[first]]).astype(np.int32)
+                got = b.take(pa.array(w.first + row[first]))
+                count = [dict(zip(hot, n, strict=True)).get(x, 1) if hot else 1 for x, hot, n in zip(signed(h[first]).tolist(), got.column(4).to_pylist(), got.column(5).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[first])), got.column(0), pa.array(off), pa.array(texts, pa.binary()).cast(pa.string()), got.column(2), got.column(3), pa.array(count, pa.int32())], names=["h", "pid", "off", "piece", "low", "high", "shards"])
 
-    return distinct.select("pid", "passage").mapInArrow(run, "h long, pid long, off int, piece string")
+    return distinct.select("pid", "passage", "low", "high", "hot", "shards").mapInArrow(run, "h long, pid long, off int, piece string, low long, high long, shards int")
 
 
 def windows_of(segments: DataFrame, n: int) -> DataFrame:
-    """(h, phrase, low, high): each window of each piece with the smallest and largest doc_id of its passage."""
+    """(h, phrase, low, high, shards): each window of each piece with the smallest and largest doc_id of its passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,72 +166,116 @@ def windows_of(segments: DataFrame, n: int) -> DataFrame:
                     at.append(i)
                     texts.append(" ".join(words[k : k + n]))
             got = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(texts, pa.string()), got.column(2), got.column(3)], names=["h", "phrase", "low", "high"])
+            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(texts, pa.string()), got.column(2), got.column(3), got.column(4)], names=["h", "phrase", "low", "high", "shards"])
 
-    return segments.select("h", "piece", "low", "high").mapInArrow(run, "h long, phrase string, low long, high long")
+    return segments.select("h", "piece", "low", "high", "shards").mapInArrow(run, "h long, phrase string, low long, high long, shards int")
 
 
 class Automaton:
     """Phrases as sequences of word numbers, each with the smallest doc_id that has it."""
 
-    def __init__(self):
+    def __init__(self, n: int):
+        self.n = n
         self.number: dict[str, int] = {}
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         self.made = False
 
-    def add(self, phrase: str, first: int) -> None:
+    def numbers(self, text: str) -> tuple[int, ...]:
         number = self.number
-        self.tree.add_word(tuple([number.setdefault(w, len(number) + 1) for w in phrase.split(" ")]), first)
-
-    def occurrences(self, piece: str, n: int) -> list[tuple[int, int]]:
+        return tuple([number.setdefault(w, len(number) + 1) for w in text.split(" ")])
+
+    def add(self, phrase: tuple[int, ...], first: int) -> None:
+        self.tree.add_word(phrase, first)
+
+    def confirm(self, rows: list[tuple[tuple[int, ...], int, int]]) -> None:
+        """Adds the windows of ``rows`` (piece, smallest, largest doc_id) that two documents at least have."""
+        n = self.n
+        low: dict[tuple[int, ...], int] = {}
+        high: dict[tuple[int, ...], int] = {}
+        for piece, a, z in rows:
+            for k in range(len(piece) - n + 1):
+                w = piece[k : k + n]
+                if w not in low:
+                    low[w], high[w] = a, z
+                else:
+                    low[w], high[w] = min(low[w], a), max(high[w], z)
+        for w, a in low.items():
+            if a < high[w]:
+                self.tree.add_word(w, a)
+
+    def occurrences(self, piece: tuple[int, ...]) -> list[tuple[int, int]]:
         """(place of its first word, smallest doc_id) of each phrase in ``piece``."""
-        if not self.number:
+        if not len(self.tree):
             return []
         if not self.made:
             self.tree.make_automaton()
             self.made = True
-        get = self.number.get
-        return [(end - n + 1, first) for end, first in self.tree.iter(tuple([get(w, 0) for w in piece.split(" ")]))]
+        return [(end - self.n + 1, first) for end, first in self.tree.iter(piece)]
 
 
-def located(segments: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
+def located(segments: DataFrame, n: int) -> DataFrame:
     """(pid, offs, firsts): places in the passage where a recurring phrase starts, and its smallest doc_id."""
-    # Anchors with many pieces go to more shards, each with all phrases of the anchor.
-    many = segments.groupBy("h").count().where(F.col("count") > PIECES).select("h", F.ceil(F.col("count") / PIECES).cast("int").alias("shards"))
-    p = phrases.join(many, "h", "left").select("h", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)).alias("shard"), F.lit(0).alias("kind"), F.col("phrase").alias("words"), F.col("first").alias("number"), F.lit(0).alias("off"))
-    s = segments.join(many, "h", "left").select("h", F.pmod(F.xxhash64("pid", "off"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"), F.lit(1).alias("kind"), F.col("piece").alias("words"), F.col("pid").alias("number"), "off")
-    rows = p.union(s).withColumn("part", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(PARTS)))
-    rows = rows.repartition("h", "shard").sortWithinPartitions("part", "kind").select("part", "kind", "words", "number", "off")
+    shard = F.pmod(F.xxhash64("pid", "off"), F.col("shards")).cast("int").alias("shard")
+    rows = segments.select("h", shard, F.when(F.col("shards") == 1, 1).otherwise(2).alias("kind"), F.col("piece").alias("words"), "low", "high", "pid", "off")
+    # Anchors whose pieces are in several shards: their phrases go to each.
+    phrases = windows_of(segments.where("shards > 1"), n).groupBy("h", "phrase", "shards").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
+    rows = rows.union(phrases.select("h", each, F.lit(0), "phrase", "low", "high", F.lit(0).cast("long"), F.lit(0)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(PARTS))).repartition("h", "shard").sortWithinPartitions("part", "kind").select("part", "kind", "words", "low", "high", "pid", "off")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, automaton = None, Automaton()
+        part, automaton, waiting = None, Automaton(n), []
+        found: tuple[list, list, list] = ([], [], [])
+
+        def locate(piece: tuple[int, ...], pid: int, off: int) -> None:
+            if got := automaton.occurrences(piece):
+                found[0].append(pid)
+                found[1].append([off + at for at, _ in got])
+                found[2].append([first for _, first in got])
+
+        def confirmed() -> None:
+            automaton.confirm([(piece, low, high) for piece, low, high, _, _ in waiting])
+            for piece, _, _, pid, off in waiting:
+                locate(piece, pid, off)
+            waiting.clear()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.list_(pa.int32())), pa.array(found[2], pa.list_(pa.int64()))], names=["pid", "offs", "firsts"])
+            for x in found:
+                x.clear()
+            return batch
+
         for b in batches:
-            pids, offs, firsts = [], [], []
-            for now, kind, words, number, off in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for now, kind, words, low, high, pid, off in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if now != part:
-                    part, automaton = now, Automaton()
+                    confirmed()
+                    part, automaton = now, Automaton(n)
+                piece = automaton.numbers(words)
                 if kind == 0:
-                    automaton.add(words, number)
-                elif got := automaton.occurrences(words, n):
-                    pids.append(number)
-                    offs.append([off + at for at, _ in got])
-                    firsts.append([first for _, first in got])
-            yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(offs, pa.list_(pa.int32())), pa.array(firsts, pa.list_(pa.int64()))], names=["pid", "offs", "firsts"])
+                    automaton.add(piece, low)
+                elif kind == 1:
+                    waiting.append((piece, low, high, pid, off))
+                else:
+                    if waiting:
+                        confirmed()
+                    locate(piece, pid, off)
+            yield out()
+        confirmed()
+        yield out()
 
     return rows.mapInArrow(run, "pid long, offs array<int>, firsts array<long>")
 
 
-def covered(docs: DataFrame, n: int = WINDOW) -> DataFrame:
+def covered(docs: DataFrame, texts: DataFrame, n: int = WINDOW) -> DataFrame:
     """(doc_id, places): for each document that loses words, the first words of its windows that an earlier document has."""
     anchors = document_anchors(docs, n)
-    recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
-    known = anchors.join(recurring, "h").groupBy("doc_id").agg(F.collect_list("h").alias("known"))
-    found = cut(passages(packed(docs), known, n).withColumn("pid", F.xxhash64("passage")))
+    recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("h", F.ceil(F.col("n") / PIECES).cast("int").alias("shards"))
+    wide = F.when(F.col("shards") > 1, F.struct("h", "shards"))
+    known = anchors.join(recurring, "h").groupBy("doc_id").agg(F.collect_list("h").alias("known"), F.collect_list(wide).alias("hot"))  # bounded by the document
+    found = passages(texts, known, n).withColumn("pid", F.xxhash64("passage"))
     # Passages with equal words are one, named by a 64-bit hash of their words.
-    distinct = cut(found.groupBy("pid", "passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")))
-    segments = cut_at_anchors(distinct, n)
-    phrases = windows_of(segments.join(distinct.select("pid", "low", "high"), "pid"), n).groupBy("h", "phrase").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last")
-    hits = located(segments, phrases, n).groupBy("pid").agg(F.flatten(F.collect_list("offs")).alias("offs"), F.flatten(F.collect_list("firsts")).alias("firsts"))  # bounded by the passage
+    distinct = found.groupBy("pid", "passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("hot").alias("hot"), F.first("shards").alias("shards"))
+    hits = located(cut_at_anchors(distinct, n), n).groupBy("pid").agg(F.flatten(F.collect_list("offs")).alias("offs"), F.flatten(F.collect_list("firsts")).alias("firsts"))  # bounded by the passage
     pairs = F.arrays_zip("offs", "firsts")
     earlier = F.transform(F.filter(pairs, lambda x: x["firsts"] < F.col("doc_id")), lambda x: x["offs"] + F.col("start"))
     return found.select("doc_id", "start", "pid").join(hits, "pid").select("doc_id", earlier.alias("places")).where(F.size("places") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))  # bounded by the document
@@ -223,16 +293,18 @@ def kept_words(words: list[str], places: list[int], n: int) -> list[str]:
 def deduplicated(df: DataFrame, n: int = WINDOW, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by blanks) of every document."""
     docs = keyed(df)
-    both = packed(docs).join(covered(docs, n), "doc_id", "left").select("doc_id", "z", "places")
+    z = packed(docs).where("doc_id IS NOT NULL")  # as the inner join inside asks for, so that both joins share one shuffle
+    both = z.join(covered(docs, z, n), "doc_id", "left").select("doc_id", "z", "places")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, gone, shas, kept = [], [], [], []
-            for z, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = unpacked(z)
+            for text, places in zip(unpacked(b.column(1).to_pylist()).to_pylist(), b.column(2).to_pylist(), strict=True):
+                words = text.split(" ") if text else []
                 left = kept_words(words, places, n) if places else words
-                text = " ".join(left)
+                if places:
+                    text = " ".join(left)
                 counts.append(len(words))
                 gone.append(len(words) - len(left))
                 shas.append(hashlib.sha256(text.encode()).hexdigest())
