@@ -98,13 +98,14 @@ def unpacked(z: list[bytes]) -> pa.Array:
 
 
 def passages(texts: DataFrame, known: DataFrame, n: int) -> DataFrame:
-    """(doc_id, start, passage, hot, shards): runs of words that lie in windows with a recurring anchor.
+    """(doc_id, start, passage, hot, shards): runs of words that lie in windows with a recurring anchor, compressed.
 
     ``hot`` has those of its anchors that need several shards, in order, and ``shards`` how many each.
     """
     both = texts.join(known, "doc_id").select("doc_id", "z", "known", "hot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for b in batches:
             all_ids, known = b.column(0).to_numpy(), b.column(2)
             size = known.value_lengths().to_numpy()
@@ -128,10 +129,10 @@ def passages(texts: DataFrame, known: DataFrame, n: int) -> DataFrame:
                 ids += all_ids[w.first + row[edge]].tolist()
                 starts += (at[edge] - w.off[row[edge]]).tolist()
                 raw = w.data.tobytes()
-                texts += [raw[x:y] for x, y in zip(w.start[at[edge]].tolist(), w.end[at[last] + n - 1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(hots, pa.list_(pa.int64())), pa.array(shards, pa.list_(pa.int32()))], names=["doc_id", "start", "passage", "hot", "shards"])
+                texts += [c.compress(raw[x:y]) for x, y in zip(w.start[at[edge]].tolist(), w.end[at[last] + n - 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.binary()), pa.array(hots, pa.list_(pa.int64())), pa.array(shards, pa.list_(pa.int32()))], names=["doc_id", "start", "passage", "hot", "shards"])
 
-    return both.mapInArrow(run, "doc_id long, start int, passage string, hot array<long>, shards array<int>")
+    return both.mapInArrow(run, "doc_id long, start int, passage binary, hot array<long>, shards array<int>")
 
 
 def cut_at_anchors(distinct: DataFrame, n: int) -> DataFrame:
@@ -139,7 +140,7 @@ def cut_at_anchors(distinct: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for w in pieces(b.column(1)):
+            for w in pieces(unpacked(b.column(1).to_pylist())):
                 h, at = anchors_of(w, n)
                 row = w.row_of_word()[at]
                 edge = runs(h, row)
@@ -187,21 +188,21 @@ class Automaton:
     def add(self, phrase: tuple[int, ...], first: int) -> None:
         self.tree.add_word(phrase, first)
 
-    def confirm(self, rows: list[tuple[tuple[int, ...], int, int]]) -> None:
-        """Adds the windows of ``rows`` (piece, smallest, largest doc_id) that two documents at least have."""
+    def confirm(self, rows: list[tuple[tuple[int, ...], int, bool]]) -> None:
+        """Adds the windows of ``rows`` (piece, smallest doc_id, whether there are more) that two documents at least have."""
         n = self.n
         low: dict[tuple[int, ...], int] = {}
-        high: dict[tuple[int, ...], int] = {}
-        for piece, a, z in rows:
+        several: set[tuple[int, ...]] = set()
+        for piece, a, shared in rows:
             for k in range(len(piece) - n + 1):
                 w = piece[k : k + n]
-                if w not in low:
-                    low[w], high[w] = a, z
-                else:
-                    low[w], high[w] = min(low[w], a), max(high[w], z)
-        for w, a in low.items():
-            if a < high[w]:
-                self.tree.add_word(w, a)
+                before = low.setdefault(w, a)
+                if shared or before != a:
+                    several.add(w)
+                    if a < before:
+                        low[w] = a
+        for w in several:
+            self.tree.add_word(w, low[w])
 
     def occurrences(self, piece: tuple[int, ...]) -> list[tuple[int, int]]:
         """(place of its first word, smallest doc_id) of each phrase in ``piece``."""
@@ -214,39 +215,49 @@ class Automaton:
 
 
 def located(segments: DataFrame, n: int) -> DataFrame:
-    """(pid, offs, firsts): places in the passage where a recurring phrase starts, and its smallest doc_id."""
-    shard = F.pmod(F.xxhash64("pid", "off"), F.col("shards")).cast("int").alias("shard")
-    rows = segments.select("h", shard, F.when(F.col("shards") == 1, 1).otherwise(2).alias("kind"), F.col("piece").alias("words"), "low", "high", "pid", "off")
+    """(pid, offs, counts, firsts): runs of places in the passage where recurring phrases with one smallest doc_id start."""
+    shard = F.pmod(F.xxhash64("pid", "off"), F.col("shards")).cast("int")
+    to = lambda shard: F.pmod(F.xxhash64("h", shard), F.lit(2**31 - 1)).cast("int").alias("to")
+    shared = (F.col("low") < F.col("high")).alias("shared")
+    rows = segments.select(to(shard), F.when(F.col("shards") == 1, 1).otherwise(2).cast("byte").alias("kind"), F.col("piece").alias("words"), "low", shared, "pid", "off")
     # Anchors whose pieces are in several shards: their phrases go to each.
     phrases = windows_of(segments.where("shards > 1"), n).groupBy("h", "phrase", "shards").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
-    rows = rows.union(phrases.select("h", each, F.lit(0), "phrase", "low", "high", F.lit(0).cast("long"), F.lit(0)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(PARTS))).repartition("h", "shard").sortWithinPartitions("part", "kind").select("part", "kind", "words", "low", "high", "pid", "off")
+    each = phrases.withColumn("each", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    rows = rows.union(each.select(to(F.col("each")), F.lit(0).cast("byte"), "phrase", "low", F.lit(True), F.lit(0).cast("long"), F.lit(0)))
+    rows = rows.repartition("to").withColumn("part", F.pmod("to", F.lit(PARTS))).sortWithinPartitions("part", "kind").select("part", "kind", "words", "low", "shared", "pid", "off")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, automaton, waiting = None, Automaton(n), []
-        found: tuple[list, list, list] = ([], [], [])
+        found: tuple[list, ...] = ([], [], [], [])
 
         def locate(piece: tuple[int, ...], pid: int, off: int) -> None:
             if got := automaton.occurrences(piece):
-                found[0].append(pid)
-                found[1].append([off + at for at, _ in got])
-                found[2].append([first for _, first in got])
+                offs, counts, firsts = [], [], []
+                for at, first in got:
+                    if offs and first == firsts[-1] and off + at == offs[-1] + counts[-1]:
+                        counts[-1] += 1
+                    else:
+                        offs.append(off + at)
+                        counts.append(1)
+                        firsts.append(first)
+                for x, y in zip(found, (pid, offs, counts, firsts), strict=True):
+                    x.append(y)
 
         def confirmed() -> None:
-            automaton.confirm([(piece, low, high) for piece, low, high, _, _ in waiting])
+            automaton.confirm([(piece, low, shared) for piece, low, shared, _, _ in waiting])
             for piece, _, _, pid, off in waiting:
                 locate(piece, pid, off)
             waiting.clear()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.list_(pa.int32())), pa.array(found[2], pa.list_(pa.int64()))], names=["pid", "offs", "firsts"])
+            kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], names=["pid", "offs", "counts", "firsts"])
             for x in found:
                 x.clear()
             return batch
 
         for b in batches:
-            for now, kind, words, low, high, pid, off in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for now, kind, words, low, shared, pid, off in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if now != part:
                     confirmed()
                     part, automaton = now, Automaton(n)
@@ -254,7 +265,7 @@ def located(segments: DataFrame, n: int) -> DataFrame:
                 if kind == 0:
                     automaton.add(piece, low)
                 elif kind == 1:
-                    waiting.append((piece, low, high, pid, off))
+                    waiting.append((piece, low, shared, pid, off))
                 else:
                     if waiting:
                         confirmed()
@@ -263,11 +274,11 @@ def located(segments: DataFrame, n: int) -> DataFrame:
         confirmed()
         yield out()
 
-    return rows.mapInArrow(run, "pid long, offs array<int>, firsts array<long>")
+    return rows.mapInArrow(run, "pid long, offs array<int>, counts array<int>, firsts array<long>")
 
 
 def covered(docs: DataFrame, texts: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(doc_id, places): for each document that loses words, the first words of its windows that an earlier document has."""
+    """(doc_id, places): for each document that loses words, the runs (at, n) of its windows that an earlier document has."""
     anchors = document_anchors(docs, n)
     recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("h", F.ceil(F.col("n") / PIECES).cast("int").alias("shards"))
     wide = F.when(F.col("shards") > 1, F.struct("h", "shards"))
@@ -275,17 +286,18 @@ def covered(docs: DataFrame, texts: DataFrame, n: int = WINDOW) -> DataFrame:
     found = passages(texts, known, n).withColumn("pid", F.xxhash64("passage"))
     # Passages with equal words are one, named by a 64-bit hash of their words.
     distinct = found.groupBy("pid", "passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("hot").alias("hot"), F.first("shards").alias("shards"))
-    hits = located(cut_at_anchors(distinct, n), n).groupBy("pid").agg(F.flatten(F.collect_list("offs")).alias("offs"), F.flatten(F.collect_list("firsts")).alias("firsts"))  # bounded by the passage
-    pairs = F.arrays_zip("offs", "firsts")
-    earlier = F.transform(F.filter(pairs, lambda x: x["firsts"] < F.col("doc_id")), lambda x: x["offs"] + F.col("start"))
+    hits = located(cut_at_anchors(distinct, n), n).groupBy("pid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("offs", "counts", "firsts")))  # bounded by the passage
+    hit = F.arrays_zip("offs", "counts", "firsts")
+    earlier = F.transform(F.filter(hit, lambda x: x["firsts"] < F.col("doc_id")), lambda x: F.struct((x["offs"] + F.col("start")).alias("at"), x["counts"].alias("n")))
     return found.select("doc_id", "start", "pid").join(hits, "pid").select("doc_id", earlier.alias("places")).where(F.size("places") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))  # bounded by the document
 
 
-def kept_words(words: list[str], places: list[int], n: int) -> list[str]:
+def kept_words(words: list[str], places: list[dict], n: int) -> list[str]:
+    """``words`` without those that the windows of ``places`` (runs: first window, number of windows) cover."""
     gone = np.zeros(len(words) + 1, np.int64)
-    at = np.array(places, np.int64)
+    at, count = (np.array([p[k] for p in places], np.int64) for k in ("at", "n"))
     np.add.at(gone, at, 1)
-    np.add.at(gone, at + n, -1)
+    np.add.at(gone, at + count + n - 1, -1)
     stay = np.cumsum(gone[:-1]) == 0
     return [w for w, s in zip(words, stay.tolist(), strict=True) if s]
 
