@@ -2,9 +2,11 @@
 
 1. Every document's set of word shingles gives a signature of ``BANDS * ROWS`` minima. Equal sets are one class.
 2. Documents that agree in a whole band are candidates. A band's members are not paired with each other but with one
-   hub; what then lies in one component needs no further comparison. Later rounds take other hubs for the members that
-   are still apart, and the last one compares all members of a band that are in different components, so no link
-   between candidates is lost, and in a group of copies the number of pairs stays near the number of members.
+   hub, the member that shares most bands with others (in a group of copies, the one nearest to all), and each document
+   is verified against its best hub only. A second round does so with other hubs for what is still apart. Where members
+   of a band are in different components after that, their signatures are compared in blocks inside the tasks, and only
+   pairs that no batch prunes leave them. So no link between candidates is lost, and the number of pairs that are
+   written out stays near the number of documents.
 3. A pair's signatures are compared batch by batch. After each, the pair is pruned if the posterior probability of a
    similarity at or above the threshold, given the agreements so far under a uniform prior, is below ``MISS``. What is
    left is verified exactly, on the full sets of shingles of both texts.
@@ -26,7 +28,8 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.llm.store import cut, keyed
@@ -35,8 +38,8 @@ from fidelis.llm.text import mix, pieces, signed
 BANDS, ROWS = 30, 5
 #: Agreements are looked at in batches of so many minima; chance of pruning a pair at the threshold, in each batch.
 BATCH, MISS = 25, 1e-6
-#: Rounds in which other hubs are tried before all remaining pairs are compared.
-HUB_ROUNDS = 2
+#: Members of a band that are compared with each other at once; a larger band makes more blocks.
+BLOCK = 2000
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _FACTOR = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,9 +140,24 @@ def surviving(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and z, the text compressed; null as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=5)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "z"])
+
+    return docs.mapInArrow(run, "doc_id long, z binary")
+
+
+def set_of(z: bytes, k: int) -> np.ndarray:
+    return next(shingle_sets(pa.array([zstandard.ZstdDecompressor().decompress(z).decode()]), k))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    text = lambda x: docs.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("z").alias(f"text_{x}"))
     both = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +167,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             ids = batch.column(0).to_pylist()
             for i in range(len(batch)):
                 if ids[i] != last:  # hubs come many times in a row
-                    last, seen = ids[i], next(shingle_sets(batch.column(2).slice(i, 1), k))
-                other = next(shingle_sets(batch.column(3).slice(i, 1), k))
+                    last, seen = ids[i], set_of(batch.column(2)[i].as_py(), k)
+                other = set_of(batch.column(3)[i].as_py(), k)
                 common = len(np.intersect1d(seen, other, assume_unique=True))
                 if common and 100 * common >= percent * (len(seen) + len(other) - common):
                     keep.append(i)
@@ -160,6 +178,64 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
+def agreeing(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of x and j of y of different components (rx, ry) whose signatures no batch prunes."""
+    i, j = np.nonzero(rx[:, None] != ry[None, :])
+    same = np.zeros(len(i), np.int16)
+    for n, m in enumerate(least):
+        for col in range(n * BATCH, (n + 1) * BATCH):
+            same += x[i, col] == y[j, col]
+        ok = same >= m
+        i, j, same = i[ok], j[ok], same[ok]
+    return i, j
+
+
+def compared(apart: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the members of each band (key, doc_id, root) that differ in root and that no batch prunes.
+
+    A band of more than BLOCK members is cut into blocks, and every two blocks of it are compared in a task of their own.
+    """
+    least = least_agreements(percent)
+    size = apart.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    m = apart.join(size, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # A member of block i meets the blocks before and behind it: the pairs of blocks (low, high) that hold i.
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "root", "doc_id")
+    rows = m.join(reps.select("doc_id", "sig"), "doc_id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").select("key", "low", "high", "own", "root", "doc_id", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def pairs() -> pa.RecordBatch:
+            a, b = [], []
+            if len(held) > 1:
+                sig = np.frombuffer(b"".join([r[3] for r in held]), np.uint32).reshape(len(held), -1)
+                own, root, doc = (np.array([r[c] for r in held]) for c in range(3))
+                one = np.flatnonzero(own == now[1])
+                two = np.flatnonzero(own == now[2])
+                for start in range(0, len(one), 500):
+                    part = one[start : start + 500]
+                    i, j = agreeing(sig[part], sig[two], root[part], root[two], least)
+                    x, y = doc[part[i]], doc[two[j]]
+                    a.append(np.minimum(x, y))
+                    b.append(np.maximum(x, y))
+            held.clear()
+            full = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(full[0]), pa.array(full[1])], names=["a", "b"])
+
+        for batch in batches:
+            for key, low, high, own, root, doc, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, low, high) != now:
+                    if len(held) > 1:
+                        yield pairs()
+                    held.clear()
+                    now = (key, low, high)
+                held.append((own, root, doc, sig))
+        if len(held) > 1:
+            yield pairs()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
 def contract(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b), root being the smallest node it is connected with.
 
@@ -200,36 +276,37 @@ def components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     member = cut(classes(sketch))
     reps = member.where("doc_id = rep").select("doc_id").join(sketch.select("doc_id", "sig"), "doc_id")
     bands = banded(reps)
-    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1").select("key", "hub")
-    near = cut(bands.join(shared, "key"))  # key, doc_id, hub: bands with two members at least
-    # First round: every document with its smallest hub, so at most one pair for each document.
-    pairs = near.where("doc_id <> hub").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
-    links = [cut(verified(surviving(pairs, reps, percent), docs, k, percent))]
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    near = cut(bands.join(shared.select("key", "n"), "key"))  # bands with two members at least
+    texts = cut(packed(docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi")))
+    reps = cut(reps.join(near.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+    def with_best(members: DataFrame, hub: Column, differ: Column) -> DataFrame:
+        """Pairs (a, b) of each member and the hub that it meets in most bands; ``hub`` is what the hub has most of."""
+        of = members.groupBy("key").agg(F.max(F.struct(hub.alias("most"), (-F.col("doc_id")).alias("id"), "root")).alias("hub"))
+        met = members.join(of, "key").select("doc_id", "root", (-F.col("hub.id")).alias("hub"), F.col("hub.root").alias("hub_root")).where(differ)
+        best = met.groupBy("doc_id", "hub").count().groupBy("doc_id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub"))
+        return best.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+
+    popular = near.groupBy("doc_id").agg(F.sum("n").alias("mates"))
+    first = near.join(popular, "doc_id").select("key", "doc_id", "mates", F.col("doc_id").alias("root"))
+    pairs = cut(with_best(first, F.col("mates"), F.col("doc_id") != F.col("hub")))
+    links = [cut(verified(surviving(pairs, reps, percent), texts, k, percent))]
     tried = [pairs]
-    for turn in range(HUB_ROUNDS + 1):
+    for turn in (1, 2):
         root = contract(reduce(DataFrame.union, links))
         placed = near.select("key", "doc_id").join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn))).alias("hub")).where("low < high")
-        apart = cut(placed.join(mixed.select("key", "hub"), "key"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        apart = cut(placed.join(mixed, "key"))
         if not apart.limit(1).count():
             break
-        if turn < HUB_ROUNDS:
-            of_hub = apart.where("doc_id = hub").select("key", F.col("root").alias("hub_root"))
-            pairs = apart.join(of_hub, "key").where("root <> hub_root").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        else:
-            # Every two components that meet in a band: all members of one with all of the other.
-            some = apart.select("key", "root").distinct()
-            meet = some.withColumnRenamed("root", "r1").join(some.withColumnRenamed("root", "r2"), "key").where("r1 < r2")
-            one, two = (apart.select("key", F.col("root").alias(r), F.col("doc_id").alias(d)) for r, d in (("r1", "d1"), ("r2", "d2")))
-            pairs = meet.join(one, ["key", "r1"]).join(two, ["key", "r2"]).select(F.least("d1", "d2").alias("a"), F.greatest("d1", "d2").alias("b"))
-        pairs = pairs.distinct()
+        pairs = with_best(apart, F.xxhash64("doc_id", F.lit(turn)), F.col("root") != F.col("hub_root")) if turn == 1 else compared(apart, reps, percent)
         for before in tried:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         tried.append(pairs)
-        links.append(cut(verified(surviving(pairs, reps, percent), docs, k, percent)))
-    else:
-        root = contract(reduce(DataFrame.union, links))
+        links.append(cut(verified(surviving(pairs, reps, percent) if turn == 1 else pairs, texts, k, percent)))
+    root = contract(reduce(DataFrame.union, links))
     final = member.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("c"))
     return sketch.select("doc_id", F.col("n").alias("n_shingles")).join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
 
