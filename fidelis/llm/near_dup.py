@@ -5,8 +5,9 @@
    hub, the member that shares most bands with others (in a group of copies, the one nearest to all), and each document
    is verified against its best hub only. A second round does so with other hubs for what is still apart. Where members
    of a band are in different components after that, their signatures are compared in blocks inside the tasks, and only
-   pairs that no batch prunes leave them. So no link between candidates is lost, and the number of pairs that are
-   written out stays near the number of documents.
+   pairs that no batch prunes leave them: twice only the best pair of each member, which joins most of what belongs
+   together, and at last all pairs that are still between components. So no link between candidates is lost, and the
+   pairs written out stay near the number of documents unless many members of one band are near each other and not linked.
 3. A pair's signatures are compared batch by batch. After each, the pair is pruned if the posterior probability of a
    similarity at or above the threshold, given the agreements so far under a uniform prior, is below ``MISS``. What is
    left is verified exactly, on the full sets of shingles of both texts.
@@ -178,19 +179,27 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-def agreeing(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, least: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i of x and j of y of different components (rx, ry) whose signatures no batch prunes."""
-    i, j = np.nonzero(rx[:, None] != ry[None, :])
-    same = np.zeros(len(i), np.int16)
-    for n, m in enumerate(least):
+def agreeing(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, least: tuple[int, ...], best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of x and j of y of different components (rx, ry) whose signatures no batch prunes; if ``best``, of each row only the pair that agrees most."""
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    grid = np.zeros((x.shape[1], y.shape[1]), np.int8)
+    for col in range(BATCH):  # the first batch of all pairs at once
+        grid += x[col][:, None] == y[col][None, :]
+    i, j = np.nonzero((grid >= least[0]) & (rx[:, None] != ry[None, :]))
+    same = grid[i, j].astype(np.int16)
+    for n, m in enumerate(least[1:], 1):
         for col in range(n * BATCH, (n + 1) * BATCH):
-            same += x[i, col] == y[j, col]
+            same += x[col][i] == y[col][j]
         ok = same >= m
         i, j, same = i[ok], j[ok], same[ok]
+    if best and len(i):
+        order = np.argsort(-same, kind="stable")
+        pick = np.unique(np.r_[order[np.unique(i[order], return_index=True)[1]], order[np.unique(j[order], return_index=True)[1]]])
+        i, j = i[pick], j[pick]
     return i, j
 
 
-def compared(apart: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def compared(apart: DataFrame, reps: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b) of the members of each band (key, doc_id, root) that differ in root and that no batch prunes.
 
     A band of more than BLOCK members is cut into blocks, and every two blocks of it are compared in a task of their own.
@@ -214,7 +223,7 @@ def compared(apart: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 two = np.flatnonzero(own == now[2])
                 for start in range(0, len(one), 500):
                     part = one[start : start + 500]
-                    i, j = agreeing(sig[part], sig[two], root[part], root[two], least)
+                    i, j = agreeing(sig[part], sig[two], root[part], root[two], least, best)
                     x, y = doc[part[i]], doc[two[j]]
                     a.append(np.minimum(x, y))
                     b.append(np.maximum(x, y))
@@ -293,14 +302,14 @@ def components(df: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = cut(with_best(first, F.col("mates"), F.col("doc_id") != F.col("hub")))
     links = [cut(verified(surviving(pairs, reps, percent), texts, k, percent))]
     tried = [pairs]
-    for turn in (1, 2):
+    for turn in (1, 2, 3, 4):
         root = contract(reduce(DataFrame.union, links))
         placed = near.select("key", "doc_id").join(root.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
         apart = cut(placed.join(mixed, "key"))
         if not apart.limit(1).count():
             break
-        pairs = with_best(apart, F.xxhash64("doc_id", F.lit(turn)), F.col("root") != F.col("hub_root")) if turn == 1 else compared(apart, reps, percent)
+        pairs = with_best(apart, F.xxhash64("doc_id", F.lit(turn)), F.col("root") != F.col("hub_root")) if turn == 1 else compared(apart, reps, percent, turn < 4)
         for before in tried:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = cut(pairs)
