@@ -3,9 +3,9 @@
 1. Every line with words gives a hash. Documents that share a line are paired through its first holder: each document
    with the smallest doc_id that has the line, never all holders with each other, so a line that a third of all
    documents share makes as many pairs as it has holders.
-2. The two documents of a pair are aligned by patience diff on their line hashes: lines that are unique in both are
-   anchors, the longest run of anchors in the order of both is kept, and matches are extended from it over equal
-   neighbours.
+2. The two documents of a pair are aligned by patience diff on their line hashes: equal heads and tails are taken off,
+   lines that are unique in both are anchors, the longest run of anchors in the order of both is kept, and each gap
+   between them is aligned alike, by itself; a gap without anchors by a longest common subsequence.
 3. Runs of aligned lines with at least ``MIN_WORDS`` words are common blocks. Their lines are deleted from the later
    document; blocks are judged on the input, not on what other pairs have left.
 
@@ -34,6 +34,8 @@ from fidelis.llm.store import cut, keyed
 from fidelis.llm.text import mix, pieces, signed
 
 MIN_WORDS = 5
+#: Bits that the trace of a common subsequence may hold at once; beyond, the lists are halved.
+TRACE = 1 << 27
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -60,8 +62,8 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h array<long>, n array<int>")
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Pairs of places of equal items, rising in both lists: unique anchors in their longest common order, and their equal neighbours."""
+def rising(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of the items that are unique in both lists, in their longest common order."""
     once_a, once_b = Counter(a), Counter(b)
     where = {x: i for i, x in enumerate(a) if x and once_a[x] == 1}
     anchors = [(where[x], j) for j, x in enumerate(b) if x in where and once_b[x] == 1]
@@ -79,25 +81,81 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     while k >= 0:
         run.append(anchors[k])
         k = back[k]
-    run.reverse()
+    return run[::-1]
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each item of ``a``, the columns of ``b``, as bits, at which the length of the common subsequence doesn't grow."""
+    at: dict[int, int] = {}
+    for j, x in enumerate(b):
+        if x:
+            at[x] = at.get(x, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for x in a:
+        if m := at.get(x):
+            u = v & m
+            v = (v + u | v - u) & full
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each prefix of ``b``."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence; zeros match nothing."""
+    if len(a) > 1 and len(a) * len(b) > TRACE:  # halve the first list where the lengths of both sides add up to most
+        half = len(a) // 2
+        k = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        return common(a[:half], b[:k]) + [(i + half, j + k) for i, j in common(a[half:], b[k:])]
+    rows, out = list(_rows(a, b)), []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Pairs of places of equal items, rising in both lists.
+
+    Equal heads and tails go first; what is between is cut at its unique anchors, and each gap is treated alike, with
+    uniqueness judged inside it. A gap without anchors gets a longest common subsequence. Zeros match nothing.
+    """
     out: list[tuple[int, int]] = []
-    for k, (i, j) in enumerate(run):
-        low_i, low_j = out[-1] if out else (-1, -1)
-        top_i, top_j = run[k + 1] if k + 1 < len(run) else (len(a), len(b))
-        if j <= low_j or i <= low_i:
-            continue  # the anchor before has been extended over this one
-        before = []
-        x, y = i - 1, j - 1
-        while x > low_i and y > low_j and a[x] == b[y] and a[x]:
-            before.append((x, y))
-            x, y = x - 1, y - 1
-        out += before[::-1]
-        out.append((i, j))
-        x, y = i + 1, j + 1
-        while x < top_i and y < top_j and a[x] == b[y] and a[x]:
-            out.append((x, y))
-            x, y = x + 1, y + 1
-    return out
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, i_end, j, j_end = todo.pop()
+        while i < i_end and j < j_end and a[i] == b[j] and a[i]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1] and a[i_end - 1]:
+            i_end, j_end = i_end - 1, j_end - 1
+            out.append((i_end, j_end))
+        if i == i_end or j == j_end:
+            continue
+        x, y = a[i:i_end], b[j:j_end]
+        both = set(x) & set(y)
+        if not both - {0}:
+            continue
+        if run := rising(x, y):
+            out += [(i + p, j + q) for p, q in run]
+            edges = [(-1, -1), *run, (len(x), len(y))]
+            todo += [(i + p + 1, i + r, j + q + 1, j + s) for (p, q), (r, s) in zip(edges, edges[1:])]
+        else:  # only items of both sides can match
+            keep_x, keep_y = ([k for k, v in enumerate(side) if v and v in both] for side in (x, y))
+            out += [(i + keep_x[p], j + keep_y[q]) for p, q in common([x[k] for k in keep_x], [y[k] for k in keep_y])]
+    return sorted(out)
 
 
 def blocks(matches: list[tuple[int, int]], words: list[int], least: int) -> list[int]:

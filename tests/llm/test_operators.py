@@ -262,6 +262,23 @@ def test_patience():
         assert len(m) >= max(best, default=0)
 
 
+def test_patience_in_gaps_and_without_unique_lines(monkeypatch):
+    assert line_dedup.patience([7, 8, 7, 8], [7, 8, 7, 8]) == [(0, 0), (1, 1), (2, 2), (3, 3)]  # nothing is unique
+    assert line_dedup.patience([1, 5, 2, 6, 5, 3], [9, 1, 8, 5, 2, 4, 5, 3, 7]) == [(0, 1), (1, 3), (2, 4), (4, 6), (5, 7)]  # 5 is unique in each gap
+    assert line_dedup.patience([3, 1, 2, 1, 2, 4], [1, 2, 1, 2]) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    rng = random.Random(5)
+    for trace in (1 << 27, 6):  # 6: lists are halved
+        monkeypatch.setattr(line_dedup, "TRACE", trace)
+        for _ in range(300):
+            a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 14))] for _ in range(2))
+            m, best = line_dedup.common(a, b), [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x == y and x else max(best[i][j + 1], best[i + 1][j])
+            assert len(m) == best[-1][-1] and all(a[i] == b[j] != 0 for i, j in m)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(m, m[1:]))
+
+
 def test_lines(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     want = brute_lines(rows)
