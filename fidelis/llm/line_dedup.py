@@ -1,14 +1,18 @@
 """Line dedup by pairwise alignment.
 
-1. Every line with words gives a hash. Documents that share a line are paired through its first holder: each document
-   with the smallest doc_id that has the line, never all holders with each other, so a line that a third of all
-   documents share makes as many pairs as it has holders.
+1. Every line with words gives a hash. A document is reduced to the lines that others hold too; of documents with the
+   same reduced lines only the first is compared, as the others share all their runs with it.
 2. The two documents of a pair are aligned by patience diff on their line hashes: equal heads and tails are taken off,
    lines that are unique in both are anchors, the longest run of anchors in the order of both is kept, and each gap
    between them is aligned alike, by itself; a gap without anchors by a longest common subsequence.
 3. Runs of aligned lines with at least ``MIN_WORDS`` words are common blocks. Their lines are deleted from the later
    document; blocks are judged on the input, not on what other pairs have left.
 
+4. Candidates come from windows: shortest runs of lines with ``MIN_WORDS`` words. A document is aligned with the first
+   holder of each of its windows, then, for windows that still hold a line, with more of their earlier holders, and at
+   last with all of them. So the result is that of an alignment with every earlier document, and pairs grow with the
+   square of a window's holders only where lines stay.
+
 Only line hashes and numbers are joined; texts are shuffled once, when lines are deleted. Lines are compared whole, by
 64-bit hashes of their words.
 
@@ -36,6 +40,8 @@ from fidelis.llm.text import mix, pieces, signed
 MIN_WORDS = 5
 #: Bits that the trace of a common subsequence may hold at once; beyond, the lists are halved.
 TRACE = 1 << 27
+#: Earlier holders of a window that a document with lines left is aligned with in each round; the last takes all of them.
+ROUNDS = (1, 32, 0)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -171,26 +177,147 @@ def blocks(matches: list[tuple[int, int]], words: list[int], least: int) -> list
     return out
 
 
-def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, gone): the numbers, from 0, of the lines that each document loses."""
-    lines = cut(line_table(docs))
+def reduced(lines: DataFrame, least: int) -> DataFrame:
+    """doc_id, and s, n, at: hashes, words and numbers of its lines that another document holds, and a 0 for whatever is between.
+
+    Documents of equal ``s``, which ``sig`` tells, are aligned alike with any other. Those without ``least`` words in a
+    row are left out, as they neither lose nor take a line.
+    """
     flat = lines.select("doc_id", F.explode(F.array_distinct("h")).alias("line")).where("line <> 0")
-    first = flat.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line", "first")
-    pairs = flat.join(first, "line").where("first < doc_id").select("first", "doc_id").distinct()
-    earlier = lines.select(F.col("doc_id").alias("first"), F.col("h").alias("h1"))
-    both = pairs.join(lines, "doc_id").join(earlier, "first").select("doc_id", "h1", "h", "n")
+    shared = flat.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line")
+    known = flat.join(shared, "line").groupBy("doc_id").agg(F.collect_list("line").alias("known"))  # bounded by the document's lines
+    schema = "doc_id long, sig binary, s array<long>, n array<int>, at array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for doc, h, n, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                known, out = set(known), []
+                for i, x in enumerate(h):
+                    if x in known:
+                        out.append((x, n[i], i))
+                    elif not out or out[-1][0]:
+                        out.append((0, 0, i))
+                s, words, at = ([o[k] for o in out] for k in range(3))
+                if whole_runs(s, words, least):
+                    rows.append((doc, hashlib.sha256(np.array(s, np.int64).tobytes()).digest(), s, words, at))
+            yield pa.RecordBatch.from_pylist([dict(zip(SIGNED.names, r, strict=True)) for r in rows], schema=SIGNED)
+
+    return lines.join(known, "doc_id").select("doc_id", "h", "n", "known").mapInArrow(run, schema)
+
+
+SIGNED = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("s", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
+
+
+def whole_runs(s: list[int], n: list[int], least: int) -> list[int]:
+    """Places in runs of lines that aren't 0 with at least ``least`` words."""
+    here = [i for i, x in enumerate(s) if x]
+    return blocks([(i, i) for i in here], n, least)
+
+
+def windows(s: list[int], n: list[int], least: int) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of lines with ``least`` words that have fewer without their first or without their last line.
+
+    A common run of ``least`` words has each of its lines in a common window.
+    """
+    out, a, words = set(), 0, 0
+    for e, x in enumerate(s):
+        if not x:
+            a, words = e + 1, 0
+            continue
+        words += n[e]
+        while words - n[a] >= least and a < e:
+            words -= n[a]
+            a += 1
+        if words >= least:
+            out.add((a, e + 1))
+    b, words = len(s), 0
+    for i in range(len(s) - 1, -1, -1):
+        if not s[i]:
+            b, words = i, 0
+            continue
+        words += n[i]
+        while words - n[b - 1] >= least and b - 1 > i:
+            words -= n[b - 1]
+            b -= 1
+        if words >= least:
+            out.add((i, b))
+    return sorted(out)
+
+
+def untested(reps: DataFrame, found: DataFrame | None, least: int) -> DataFrame:
+    """(doc_id, w): hashes of the windows of each document that hold a line which isn't deleted."""
+    source = reps.select("doc_id", "s", "n", F.array().cast("array<int>").alias("gone")) if found is None else reps.join(found, "doc_id", "left").select("doc_id", "s", "n", "gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out = [], []
+            for doc, s, n, gone in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                gone = set(gone or ())
+                left = {hash(tuple(s[i:j])) for i, j in windows(s, n, least) if not gone.issuperset(range(i, j))}
+                ids += [doc] * len(left)
+                out += left
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], names=["doc_id", "w"])
+
+    return source.mapInArrow(run, "doc_id long, w long")
+
+
+def aligned(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """(doc_id, gone): the places that each document of ``pairs`` (first, doc_id) shares with its earlier one."""
+    earlier = reps.select(F.col("doc_id").alias("first"), F.col("s").alias("s1"))
+    both = pairs.join(reps, "doc_id").join(earlier, "first").select("doc_id", "s1", "s", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, gone = [], []
-            for doc, h1, h, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if found := blocks(patience(h1, h), n, least):
+            for doc, s1, s, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if found := blocks(patience(s1, s), n, least):
                     ids.append(doc)
                     gone.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
-    found = both.mapInArrow(run, "doc_id long, gone array<int>")
-    return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))  # bounded by the document's lines and partners
+    return both.mapInArrow(run, "doc_id long, gone array<int>")
+
+
+def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, gone): the numbers, from 0, of the lines that each document loses."""
+    runs = cut(reduced(cut(line_table(docs)), least))
+    firsts = runs.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    reps = cut(runs.join(firsts, "doc_id", "left_semi"))
+    held = untested(reps, None, least)
+    several = held.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
+    held = cut(held.join(several, "w"))
+    left, found = held, None
+    for spread in ROUNDS:
+        left = left.where("first < doc_id")
+        if spread == 1:
+            near = left.select("doc_id", "w", "first")
+        else:
+            near = held.where("first < doc_id").select("w", F.col("doc_id").alias("next")).join(left.select("w").distinct(), "w", "left_semi")
+            if spread:
+                near = near.groupBy("w", F.pmod(F.xxhash64("next"), F.lit(spread))).agg(F.min("next").alias("next"))
+            near = left.select("doc_id", "w").join(near.select("w", F.col("next").alias("first")), "w").where("first < doc_id")
+        new = aligned(near.select("first", "doc_id").distinct(), reps, least)
+        found = new if found is None else found.unionByName(new)
+        found = cut(found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))  # bounded by the document's lines and partners
+        if not spread:
+            break
+        left = cut(untested(reps, found, least).join(several, "w"))
+        if left.where("first < doc_id").isEmpty():
+            break
+    # A document that is reduced to the same as an earlier one shares all its runs with it.
+    again = runs.join(firsts, "doc_id", "left_anti").select("doc_id", "s", "n", "at", F.lit(None).cast("array<int>").alias("gone"))
+    once = reps.join(found, "doc_id").select("doc_id", "s", "n", "at", "gone")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out = [], []
+            for doc, s, n, at, gone in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                ids.append(doc)
+                out.append([at[k] for k in (whole_runs(s, n, least) if gone is None else gone)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+
+    return again.unionByName(once).mapInArrow(run, "doc_id long, gone array<int>")
 
 
 def without_lines(text, gone):

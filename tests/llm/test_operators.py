@@ -289,6 +289,24 @@ def test_lines(spark, data):
     assert sum(map(len, want.values())) > 10
 
 
+def test_lines_against_all_earlier_documents(spark, monkeypatch):
+    """Few lines in many orders, so that the first holder of a line is often not the one that aligns with it."""
+    rng = random.Random(6)
+    pool = [" ".join(f"l{k}x{j}" for j in range(1 + k % 6)) for k in range(9)]
+    rows = [(1, "a b c d e f\nu v w x y z"), (2, "p q r s t\nu v w x y z\nown words of two"), (3, "u v w x y z\na b c d e f\nmore words of three")]
+    rows += [(i, "\n".join(rng.choice([*pool, "", f"own {i}"]) for _ in range(rng.randint(1, 9)))) for i in range(4, 90)]
+    norm = {i: [" ".join(split_words(x)) for x in t.split("\n")] for i, t in rows}
+    want = {}
+    for i in norm:
+        n = [len(x.split()) for x in norm[i]]
+        want[i] = sorted(set().union(*(line_dedup.blocks(line_dedup.patience([x or 0 for x in norm[f]], [x or 0 for x in norm[i]]), n, line_dedup.MIN_WORDS) for f in norm if f < i)))
+    assert want[3] == [0, 1]  # one line from document 1, the other from document 2
+    for rounds in ((1, 32, 0), (1, 2, 0), (1, 0)):
+        monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+        got = {r["doc_id"]: sorted(r["gone"]) for r in line_dedup.deletions(docs(spark, rows).select("doc_id", "text")).collect()}
+        assert {i: got.get(i, []) for i in want} == want
+
+
 def test_lines_special(spark):
     d = special(spark)
     out = line_dedup.deduplicated(d)
