@@ -4,6 +4,10 @@ A text is cut into sentences, each is normalised (letters and digits in lower ca
 up in a table of known licence sentences. The identifiers found, in the order of the text, are matched against ordered
 rules: at each place the longest rule whose sequence stands there wins, the first of the table among equals, and the
 scan goes on behind it. Between the sentences of one rule others may stand only if they are no licence sentences.
+A sentence may be wrapped at any of its blanks and stand in a comment block; marks and lines without words end it.
+
+Bound: only the sentences of ``SENTENCES`` are known, word for word. Licences that aren't there, other versions and
+sentences with other names in them (of holders, projects) give no identifiers.
 
 One narrow pass over whole texts; the tables are constants. Special input: a null or empty text has no sentences; a null
 ``doc_id`` is carried through; repeated rows are scanned each by itself; a licence that is named twice is listed once but
@@ -30,6 +34,13 @@ SENTENCES = {
     "mit-licensed": "Licensed under the MIT License.",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "gpl3-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
@@ -47,11 +58,18 @@ SENTENCES = {
 # Ordered rules, sequences of sentence identifiers and the licence they stand for.
 RULES = (
     (("apache-not-except", "apache-copy", "apache-as-is", "apache-limits"), "Apache-2.0"),
+    (("mit-grant", "mit-notice", "mit-warranty", "mit-liability"), "MIT"),
     (("mit-grant", "mit-notice"), "MIT"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
     (("gpl-free", "gpl-hope", "gpl-details"), "GPL-3.0-or-later"),
     (("gpl-free",), "GPL-3.0-or-later"),
+    (("gpl2-free", "gpl-hope", "gpl-details"), "GPL-2.0-or-later"),
+    (("gpl2-free",), "GPL-2.0-or-later"),
+    (("gpl2-only",), "GPL-2.0-only"),
+    (("lgpl-free",), "LGPL-2.1-or-later"),
+    (("isc-grant",), "ISC"),
+    (("mpl-notice",), "MPL-2.0"),
     (("apache-not-except",), "Apache-2.0"),
     (("apache-line",), "Apache-2.0"),
     (("mit-line",), "MIT"),
@@ -65,27 +83,57 @@ RULES = (
 )
 
 _NOT_WORD = re.compile(r"[^0-9a-z]+")
-#: A sentence ends at a line's end or at a mark that white space follows; the known ones may be wrapped over two lines.
+#: A text is cut at a mark that white space follows and at each line's end; the known sentences may be wrapped over any lines.
 _END = re.compile(r"(?<=[.;:!?])\s+|\n+")
+#: Comment signs that are words; others are no letters.
+_COMMENT = re.compile(r"^[ \t]*@?(?:rem|dnl)\b", re.M)
 #: One of these is in every known sentence.
-HINTS = ("license", "permission", "copyright", "redistribut", "free software", "in the hope", "licensed")
+HINTS = ("license", "permission", "copyright", "redistribut", "free software", "in the hope", "licensed", "warrant")
 
 
 def normalised(sentence: str) -> str:
     return _NOT_WORD.sub(" ", sentence.lower()).strip()
 
 
-def _parts(text: str) -> list[str]:
-    return [n for s in _END.split(text) if (n := normalised(s))]
+def _parts(text: str) -> list[tuple[str, bool]]:
+    """Parts with words, and whether a sentence surely ends behind each: at a mark or at a line without words, but not before an address."""
+    out: list[tuple[str, bool]] = []
+    at, mark, blank = 0, False, False
+    for m in (*_END.finditer(text), None):
+        raw = text[at : m.start() if m else len(text)]
+        if part := normalised(raw):
+            if out:
+                out[-1] = (out[-1][0], mark or blank and not part.startswith("http"))
+            out.append((part, True))
+            mark = blank = False
+        else:
+            blank = True
+        if m:
+            mark, blank, at = mark or bool(part) and raw[-1] in ".;:!?", blank or m[0].count("\n") > 1, m.end()
+    return out
 
 
-#: Known sentences, as the sequences of parts that they are cut into.
+#: Known sentences, as the parts that they are cut into at marks, by their first word; the longest first.
 KNOWN: dict[str, list[tuple[tuple[str, ...], str]]] = {}
 for _id, _text in SENTENCES.items():
-    _p = tuple(_parts(_text))
-    KNOWN.setdefault(_p[0], []).append((_p, _id))
+    _p = tuple(p for p, _ in _parts(_text))
+    KNOWN.setdefault(_p[0].split()[0], []).append((_p, _id))
 for _list in KNOWN.values():
-    _list.sort(key=lambda x: -len(x[0]))
+    _list.sort(key=lambda x: -len(" ".join(x[0])))
+
+
+def _end(parts: list[tuple[str, bool]], i: int, known: tuple[str, ...]) -> int | None:
+    """Where ``known`` ends that begins at part ``i``; lines may end anywhere in it, sentences only where its own parts do."""
+    k, have = 0, ""
+    for j in range(i, len(parts)):
+        have = f"{have} {parts[j][0]}" if have else parts[j][0]
+        if have == known[k]:
+            k, have = k + 1, ""
+            if k == len(known):
+                return j + 1
+        elif parts[j][1] or not known[k].startswith(have + " "):
+            return None
+    return None
 
 
 def identifiers(text: str | None) -> list[str]:
@@ -95,12 +143,12 @@ def identifiers(text: str | None) -> list[str]:
     low = text.lower()
     if not any(h in low for h in HINTS):
         return []
-    parts, out, i = _parts(text), [], 0
+    parts, out, i = _parts(_COMMENT.sub("", low)), [], 0
     while i < len(parts):
-        for seq, name in KNOWN.get(parts[i], ()):
-            if tuple(parts[i : i + len(seq)]) == seq:
+        for known, name in KNOWN.get(parts[i][0].split(" ", 1)[0], ()):
+            if end := _end(parts, i, known):
                 out.append(name)
-                i += len(seq)
+                i = end
                 break
         else:
             i += 1

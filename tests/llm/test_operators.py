@@ -88,6 +88,35 @@ def test_licence_sequences():
         assert license_scan.identifiers(text) == [name]
 
 
+@pytest.mark.parametrize("prefix", ["", "    ", " * ", "# ", "// ", "rem ", "dnl "])
+@pytest.mark.parametrize("width", [40, 70, 78])
+def test_licences_wrapped(prefix, width):
+    """Every known sentence and whole notices, filled to a width, alone and in comment blocks."""
+    import textwrap
+
+    fill = lambda x: textwrap.fill(x, width, initial_indent=prefix, subsequent_indent=prefix, break_on_hyphens=False, break_long_words=False)
+    known = license_scan.SENTENCES
+    for name, text in known.items():
+        assert license_scan.identifiers("Some file.\n" + fill(text) + "\nmore words\n") == [name]
+    blank = f"\n{prefix.rstrip()}\n"
+    join = lambda *names: fill(" ".join(known[k] for k in names))
+    mit = blank.join([fill("Copyright (c) 2020 Some One"), join("mit-grant"), join("mit-notice"), join("mit-warranty", "mit-liability")])
+    assert license_scan.licences(license_scan.identifiers(mit)) == ["MIT"]
+    bsd = blank.join([join("bsd-grant"), fill("1. " + known["bsd-source"]), fill("2. " + known["bsd-binary"]), fill("3. " + known["bsd-endorse"])])
+    assert license_scan.licences(license_scan.identifiers(bsd)) == ["BSD-3-Clause"]
+    copy, url = known["apache-copy"].rsplit(" ", 1)
+    apache = blank.join([join("apache-not-except") + "\n" + fill(copy), fill(url), join("apache-as-is", "apache-limits")])
+    assert license_scan.identifiers(apache) == ["apache-not-except", "apache-copy", "apache-as-is", "apache-limits"]
+    gpl = blank.join([join("gpl2-free"), join("gpl-hope", "gpl-details")])
+    assert license_scan.licences(license_scan.identifiers(gpl)) == ["GPL-2.0-or-later"]
+
+
+def test_licences_not_across_sentences():
+    assert license_scan.identifiers("Licensed under\n\nthe MIT License.") == []
+    assert license_scan.identifiers("Licensed under. the MIT License.") == []
+    assert license_scan.identifiers("It is licensed under the MIT License.") == []
+
+
 def test_licences_special(spark):
     r = license_scan.scanned(special(spark)).collect()
     assert len(r) == 11 and all(x["licences"] == [] for x in r)
