@@ -9,9 +9,12 @@ question whose numbers or names were replaced consistently is caught, and a chan
 The benchmark is read in blocks of at most ``BLOCK`` windows, each sent to all executors (16 MB at most) and compared
 with all documents in one narrow pass; a benchmark of any size only makes more passes.
 
+Windows are compared as they stand too, word for word, so an exact copy is found whatever its words are. The first word
+of an item, if it is capitalised, is read both as a word and as a name, as a document may have anything before it.
+
 Special input: a null or empty text, on either side, has no windows; an item with fewer words than a window is one
-window of its own length, if it has at least ``LITERALS`` literal words; windows with fewer literal words prove nothing
-and are left out; null item ids are left out; a null ``doc_id`` is carried through; repeated rows are judged each by
+window of its own length, however short; with fewer than ``LITERALS`` literal words a window proves nothing about other
+numbers or names and is compared word for word alone; null item ids are left out; a null ``doc_id`` is carried through; repeated rows are judged each by
 itself; equal items are all named; empty tables give empty results; other columns are passed on by ``clean``.
 """
 
@@ -56,41 +59,47 @@ def literal_hash(word: str) -> int:
 
 
 class Canon:
-    """Kinds and hashes of words, remembered for ``MEMO`` different ones."""
+    """Kinds and hashes of words, remembered for about ``MEMO`` different ones."""
 
     def __init__(self):
-        self.memo: dict[str, tuple[int, int, bool]] = {}
-
-    def learn(self, word: str) -> tuple[int, int, bool]:
+        self.memo: dict[str, int] = {}
+        self.kind, self.ends = np.zeros(1024, np.int8), np.zeros(1024, bool)
+        self.hash, self.raw = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+
+    def learn(self, word: str) -> int:
+        if (k := self.memo.setdefault(word, len(self.memo))) < len(self.memo) - 1:
+            return k
+        if k == len(self.kind):
+            for name in ("kind", "ends", "hash", "raw"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
         core = _EDGES.sub("", word)
-        ends = word[-1:] in ".!?:" or word[-2:-1] in ".!?"
-        if m := _NUMBER.fullmatch(core):
-            got = (NUMBER, int(_NUM), ends)
-        elif not core:
-            got = (EMPTY, literal_hash(word), ends)
-        else:
-            low = core.lower()
-            got = (UNIT if low in _UNITS else CAPITAL if core[0] != low[0] else LITERAL, literal_hash(low), ends)
+        low = core.lower()
+        number = _NUMBER.fullmatch(core)
+        self.ends[k] = word[-1] in ".!?:" or word[-2:-1] in (".", "!", "?")
+        self.kind[k] = NUMBER if number else EMPTY if not core else UNIT if low in _UNITS else CAPITAL if core[0] != low[0] else LITERAL
+        self.raw[k] = literal_hash(low.replace(",", "") if number else low or word)
+        self.hash[k] = _NUM if number else self.raw[k]
+        return k
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Canonical hash of each word, whether it is a placeholder, and the hash of the word itself."""
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        self.memo[word] = got
-        return got
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Canonical hash of each word, and whether it is a placeholder."""
-        get = self.memo.get
-        got = [get(w) or self.learn(w) for w in words]
-        kind = np.array([g[0] for g in got], np.int8)
-        h = np.array([g[1] for g in got], np.uint64)
+        ids = list(map(self.memo.get, words))
+        if None in ids:
+            ids = [self.learn(w) if k is None else k for k, w in zip(ids, words, strict=True)]
+        ids = np.array(ids, np.int64)
+        kind, h = self.kind[ids], self.hash[ids]
         starts = np.ones(len(words), bool)
-        starts[1:] = [g[2] for g in got[:-1]]
+        starts[1:] = self.ends[ids[:-1]]
         number = kind == NUMBER
         unit = kind == UNIT
         unit[1:] &= number[:-1]
         unit[:1] = False
         name = (kind == CAPITAL) & ~starts
         h[unit], h[name] = _UNIT, _NAME
-        return h, number | unit | name
+        return h, number | unit | name, self.raw[ids]
 
 
 def slot(word: str) -> str:
@@ -107,32 +116,66 @@ def windows(h: np.ndarray, held: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return w[at], at
 
 
+@dataclass(frozen=True)
+class Windows:
+    """Windows of one length: sorted hashes, a table of their upper bits that tells most others apart, and the item's number and place of each."""
+
+    hashes: np.ndarray
+    maybe: np.ndarray
+    where: dict[int, list[tuple[int, int]]]
+
+    def of(self, w: np.ndarray) -> np.ndarray:
+        """Places in ``w`` of hashes that are here."""
+        k = np.flatnonzero(self.maybe[w >> np.uint64(65 - len(self.maybe).bit_length())])
+        return k[self.hashes[np.searchsorted(self.hashes, w[k]).clip(max=len(self.hashes) - 1)] == w[k]]
+
+
+def _windows(where: dict[int, list[tuple[int, int]]]) -> Windows:
+    hashes = np.array(sorted(where), np.uint64)
+    bits = max(10, (16 * len(hashes)).bit_length())
+    maybe = np.zeros(1 << bits, bool)
+    maybe[hashes >> np.uint64(64 - bits)] = True
+    return Windows(hashes, maybe, dict(where))
+
+
 @dataclass(frozen=True)
 class Benchmark:
-    """Windows of some items: sorted hashes, and of each the item's number and place; the items' slots."""
+    """Windows of some items, by length (``WINDOW`` and those of shorter items); the items' slots, and whether the first word may be read as a name."""
 
-    sizes: tuple[int, ...]  # lengths of windows: WINDOW and those of shorter items
-    hashes: dict[int, np.ndarray]
-    where: dict[int, dict[int, list[tuple[int, int]]]]
+    canonical: dict[int, Windows]
+    exact: dict[int, Windows]  # of the words themselves
     items: list[int]
     slots: list[list[str | None]]
+    either: list[bool]
 
 
 def compiled(rows: list[tuple[int, str]]) -> Benchmark:
     canon = Canon()
-    where: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    items, slots = [], []
+    canonical, exact = (defaultdict(lambda: defaultdict(list)) for _ in range(2))
+    items, slots, either = [], [], []
     for item, text in rows:
         words = split_words(text)
-        if len(words) < LITERALS:
+        if not words:
             continue
-        h, held = canon(words)
+        h, held, raw = canon(words)
         n = min(WINDOW, len(words))
-        for x, at in zip(*(v.tolist() for v in windows(h, held, n)), strict=True):
-            where[n][x].append((len(items), at))
+        for at, x in enumerate(gram_hashes(raw, n).tolist()):
+            exact[n][x].append((len(items), at))
+        core = _EDGES.sub("", words[0])
+        first = bool(core) and not held[0] and core[0] != core[0].lower()
+        readings = [(h, held)]
+        if first:  # in a document it may stand behind a word that ends no sentence, and be a name
+            other, also = h[:n].copy(), held[:n].copy()
+            other[0], also[0] = _NAME, True
+            readings.append((other, also))
+        if n >= LITERALS:
+            for hashes, places in readings:
+                for x, at in zip(*(v.tolist() for v in windows(hashes, places, n)), strict=True):
+                    canonical[n][x].append((len(items), at))
         items.append(item)
-        slots.append([slot(w) if p else None for w, p in zip(words, held.tolist(), strict=True)])
-    return Benchmark(tuple(sorted(where)), {n: np.array(sorted(w), np.uint64) for n, w in where.items()}, {n: dict(w) for n, w in where.items()}, items, slots)
+        slots.append([slot(w) if p or first and not i else None for i, (w, p) in enumerate(zip(words, held.tolist(), strict=True))])
+        either.append(first)
+    return Benchmark({n: _windows(w) for n, w in sorted(canonical.items())}, {n: _windows(w) for n, w in sorted(exact.items())}, items, slots, either)
 
 
 def consistent(pairs: list[tuple[str, str]]) -> bool:
@@ -145,29 +188,34 @@ def consistent(pairs: list[tuple[str, str]]) -> bool:
 def matched(text: str | None, bench: Benchmark, canon: Canon) -> list[tuple[int, int]]:
     """(item id, number of windows) of each item of which ``text`` has windows with consistent slots."""
     words = split_words(text)
-    if len(words) < LITERALS:
+    if not words:
         return []
-    h, held = canon(words)
+    h, held, raw = canon(words)
     found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for n in bench.sizes:
+    same: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for n, known in bench.canonical.items():
         w, at = windows(h, held, n)
-        known = bench.hashes[n]
-        for k in np.flatnonzero(known[np.searchsorted(known, w).clip(max=len(known) - 1)] == w).tolist() if len(w) else ():
-            for item, place in bench.where[n][int(w[k])]:
+        for k in known.of(w).tolist():
+            for item, place in known.where[int(w[k])]:
                 found[item, int(at[k]) - place].append((place, n))
+    for n, known in bench.exact.items():
+        w = gram_hashes(raw, n)
+        for k in known.of(w).tolist():
+            for item, place in known.where[int(w[k])]:
+                same[item, k - place].add(place)
     best: dict[int, int] = {}
-    for (item, shift), places in found.items():
-        # Runs of windows that overlap are one passage; its slots must agree as a whole.
-        slots, good, run = bench.slots[item], 0, []
+    for item, shift in {**found, **same}:
+        # Runs of windows that overlap are one passage; its slots must agree as a whole. Windows of equal words need no slots.
+        slots, good, run, places = bench.slots[item], same.get((item, shift), set()), [], found.get((item, shift), ())
         for k, (place, n) in enumerate(places):
             run.append(place)
             if k + 1 == len(places) or places[k + 1][0] > place + n:
                 span = range(run[0], place + n)
-                if consistent([(slots[i], slot(words[i + shift])) for i in span if slots[i] is not None]):
-                    good += len(run)
+                if consistent([(slots[i], slot(words[i + shift])) for i in span if slots[i] is not None and (i or not bench.either[item] or held[i + shift])]):
+                    good = good.union(run)
                 run = []
         if good:
-            best[bench.items[item]] = max(good, best.get(bench.items[item], 0))
+            best[bench.items[item]] = max(len(good), best.get(bench.items[item], 0))
     return sorted(best.items())
 
 
@@ -193,7 +241,7 @@ def flagged(df: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
             bench, canon = shared.value, Canon()
             for b in batches:
                 items, counts = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()
-                if bench.sizes:
+                if bench.items:
                     for i, t in enumerate(b.column(at).to_pylist()):
                         if got := matched(t, bench, canon):
                             items[i] = sorted(items[i] + [x for x, _ in got])

@@ -243,6 +243,21 @@ def test_benchmark_passages_and_other_numbers(spark):
     assert decontamination.clean(special(spark), bench.limit(0)).count() == 11
 
 
+def test_benchmark_copies_that_are_short_or_full_of_slots(spark):
+    items = ["Where is Mount Everest located today?", "Who wrote the novel Pride and Prejudice?", "Add 3 and 4 to Anna 7 Ben 8 Carl 9", "Paris or Rome?", "How many miles does the old red bus travel in 2 hours"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(i, f"Question 12\n{t} And then") for i, t in enumerate(items)]
+    rows += [(10, "Question 12\nHow many miles does the old red bus travel in 9 hours"), (11, "Where is Mount Fuji located today?"), (12, "Add 3 and 5 to Anna 6 Ben 7 Carl 9"), (13, "a Paris and a Rome"), (14, "")]
+    got = {r["doc_id"]: list(r["_items"]) for r in decontamination.flagged(docs(spark, rows), bench).collect()}
+    assert got == {**{i: [i] for i in range(5)}, 10: [4], 11: [], 12: [], 13: [], 14: []}
+
+
+def test_one_character_words_end_no_sentence():
+    canon = decontamination.Canon()
+    assert canon("He met a Carl".split())[1].tolist() == [False, False, False, True]
+    assert canon('He left. Carl? "x." Carl'.split())[1].tolist() == [False] * 5
+
+
 def test_benchmark_in_blocks_and_whole_items(spark, data, monkeypatch):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
