@@ -24,6 +24,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables that one run of an operator writes into the shared folder and drops when their last reader has run.
+
+    What is not dropped, as the operator's result is read from it, goes when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.top, self.paths = spark, new_folder(spark, name), {}
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.top)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.top}/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            drop_folder(self.spark, path)
+        # Shuffle files go when the JVM collects the plans that wrote them.
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -34,6 +61,17 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it needs to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def keyed(df: DataFrame, key: str = "doc_id", value: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """``key`` (long), ``value`` and ``more`` (strings), one row for each key.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer document makes one longer piece.
-PIECE = 1 << 18
+PIECE = 1 << 16
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,8 +24,9 @@ LOWER[65:91] += 32
 _random = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0xD1342543DE82EF95)
+_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _GRAM = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+_powers, _unpowers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,13 +39,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse modulo 2**64."""
+    global _powers, _unpowers
     if len(_powers) < n:
-        p = np.full(max(n, 256), _BASE, np.uint64)
-        p[0] = 1
-        _powers = np.cumprod(p, dtype=np.uint64)
-    return _powers
+        made = []
+        for base in (_BASE, _UNBASE):
+            p = np.full(max(n, PIECE + 1), base, np.uint64)
+            p[0] = 1
+            made.append(np.cumprod(p, dtype=np.uint64))
+        _powers, _unpowers = made
+    return _powers[:n], _unpowers[:n]
 
 
 @dataclass
@@ -58,19 +63,32 @@ class Words:
     end: np.ndarray
     off: np.ndarray  # of each row and, last, of the end: number of its first word
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
+    def hashes(self, lower: bool = False, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Sums of the bytes' values times powers of the base, as differences of running sums, shifted to the power 0.
+
+        ``start`` and ``end`` take parts of the words instead of whole ones.
+        """
         if not len(self.start):
             return np.zeros(0, np.uint64)
+        start, end = (self.start, self.end) if start is None else (start, end)
+        up, down = _powers_to(len(self.data) + 1)
+        value = (_BYTE[LOWER] if lower else _BYTE)[self.data]
+        value *= up[:-1]
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        return mix((total[end] - total[start]) * down[start])
+
+    def joined(self) -> tuple[bytes, list[int]]:
+        """The words of all rows, each row's joined by single blanks, and where each row begins (one more for the end)."""
         size = self.end - self.start
-        data = self.data[~SPACE[self.data]]
-        if lower:
-            data = LOWER[data]
-        at = np.zeros(len(size), np.int64)
-        np.cumsum(size[:-1], out=at[1:])
-        p = _powers_to(int(size.max()))
-        value = _BYTE[data]
-        value *= p[np.arange(len(data)) - np.repeat(at, size)]
-        return mix(np.add.reduceat(value, at))
+        last = np.zeros(len(size), bool)
+        last[self.off[1:][np.diff(self.off) > 0] - 1] = True
+        solid = ~SPACE[self.data]
+        solid[self.end[~last]] = True  # the blank behind each word but a row's last
+        out = self.data[solid]
+        out[SPACE[out]] = 0x20
+        at = np.r_[0, np.cumsum(size + ~last)]
+        return out.tobytes(), at[self.off].tolist()
 
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
@@ -93,6 +111,11 @@ def split_words(text: str | None) -> list[str]:
     return [w for w in text.translate(_TO_BLANK).split(" ") if w] if text else []
 
 
+def hashes_of(words: list[str]) -> np.ndarray:
+    """The hashes of words without blanks, none of them empty."""
+    return np.concatenate([w.hashes() for w in pieces(pa.array([" ".join(words)]))]) if words else np.zeros(0, np.uint64)
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
