@@ -18,7 +18,7 @@ _MEDIA = "struct<uri:string,declared:struct<codec:string,width:long,height:long,
 SCHEMAS = {
     "metadata": "key string, value string",
     "episodes": "ep_ord long, episode decimal(20,0), start_ts long, end_ts long, task string, declared_frame_count long",
-    "streams": f"ep_ord long, st_ord long, name string, modality string, declared_rate_hz double, clock_id string, clock_kind string, dtype string, shape array<long>, stats {_STATS}, dim_stats {_DIMS}, observed_stats {_STATS}, observed_saturation struct<n:long,at_min:long,at_max:long,min:double,max:double,dim:long>, observed_non_finite long, observed_dim_stats {_DIMS}, media {_MEDIA}, frame_id string",
+    "streams": f"ep_ord long, st_ord long, name string, modality string, declared_rate_hz double, clock_id string, clock_kind string, dtype string, shape array<long>, stats {_STATS}, dim_stats {_DIMS}, observed_stats {_STATS}, observed_saturation struct<n:long,at_min:long,at_max:long,min:double,max:double,dim:long>, observed_non_finite long, observed_dim_stats {_DIMS}, media {_MEDIA}, frame_id string, point_fields array<struct<name:string,dtype:string>>",
     "frames": "ep_ord long, st_ord long, frame_idx long, ts long, content_hash string",
     "labels": "ep_ord long, key string, value string, ts long",
     "ego_poses": "ep_ord long, idx long, ts long, x double, y double, z double",

@@ -8,18 +8,22 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fidelis.functions import sampling
 from fidelis.model import Recording
 from fidelis.operators.statistical import dimension_stats, worst_saturation
+from fidelis.sources import mp4
 from fidelis.sources.registry import Format, Options, SourceError, dataset_id
 
 # Columns that keep the books and are no features; words in names that tell what a feature is.
 BOOKS = ("episode_index", "frame_index", "timestamp", "task_index", "index")
+MEDIA = (".mp4", ".m4v", ".mov")
 TOUCH = ("wrench", "force", "torque", "tactile")
 
 
@@ -105,6 +109,91 @@ def licence(path: str) -> str | None:
     return None
 
 
+def declared_media(feature: dict) -> tuple[str | None, int | None, int | None, float | None]:
+    """codec, width, height and fps that a video feature declares; the size else from its shape, by the names of its axes."""
+    info, shape, names = feature.get("info") or feature.get("video_info") or {}, feature.get("shape"), feature.get("names")
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    pixels = lambda x: int(x) if number(x) and 1 <= x < 1 << 63 and x == int(x) else None
+
+    def axis(name: str) -> int | None:
+        if not isinstance(shape, list):
+            return None
+        if isinstance(names, list) and len(names) == len(shape):
+            return next((x for n, x in zip(names, shape, strict=True) if str(n).strip().lower().startswith(name)), None)
+        last = len(shape) == 2 or len(shape) == 3 and shape[2] in (1, 3, 4)
+        return shape[{"height": 0, "width": 1}[name]] if last else None
+
+    codec, fps = info.get("video.codec"), info.get("video.fps")
+    return codec if isinstance(codec, str) else None, pixels(info.get("video.width")) or axis("width"), pixels(info.get("video.height")) or axis("height"), float(fps) if number(fps) else None
+
+
+def video_files(path: str, names: set[str]) -> tuple[list[tuple[str, int, str]], set[str]]:
+    """(feature, episode, file) of the files under ``videos``, and features with files that belong to no one episode.
+
+    A file belongs to the feature that a part of its path names. Folders that are links are not gone into.
+    """
+    found, shared = [], set()
+    root = os.path.join(path, "videos")
+    for folder, _, files in os.walk(root):
+        for n in sorted(files):
+            stem, ext = os.path.splitext(n)
+            file = os.path.join(folder, n)
+            name = next((c for c in os.path.relpath(file, root).split(os.sep) if c in names), None)
+            if ext.lower() not in MEDIA or name is None:
+                continue
+            number = stem.removeprefix("episode_")
+            if number != stem and number.isascii() and number.isdigit():
+                found.append((name, int(number), file))
+            else:
+                shared.add(name)
+    return found, shared
+
+
+_PARAMS = pa.struct([("codec", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("fps", pa.float64())])
+_PROBED = pa.schema([("ep_ord", pa.int64()), ("st_ord", pa.int64()), ("media", pa.struct([("uri", pa.string()), ("declared", _PARAMS), ("observed", _PARAMS), ("status", pa.string()), ("reason", pa.string()), ("frame_count", pa.int64())]))])
+_PARAMS_SQL = "struct<codec:string,width:long,height:long,fps:double>"
+
+
+def media(seen: DataFrame, path: str, features: dict[str, tuple[int, tuple]]) -> DataFrame:
+    """(ep_ord, st_ord, media) of video features (their number, what they declare): tasks read the headers of the files."""
+    spark = seen.sparkSession
+    files, shared = video_files(path, set(features))
+    sibling = {}
+    for name, _, file in sorted(files, key=lambda x: (x[0], x[1])):
+        sibling.setdefault(name, file)
+    kinds = "st_ord long, name string, codec string, width long, height long, fps double, sibling string, shared boolean"
+    wanted = spark.createDataFrame([(k, n, *params, sibling.get(n), n in shared) for n, (k, params) in features.items()], kinds)
+    there = spark.createDataFrame([(features[n][0], e, f) for n, e, f in files], "st_ord long, ep_ord long, file string")
+    rows = seen.crossJoin(F.broadcast(wanted)).join(there, ["ep_ord", "st_ord"], "left").select("ep_ord", "st_ord", "name", "codec", "width", "height", "fps", "sibling", "shared", "file")
+    root = os.path.realpath(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for ep, st, name, codec, width, height, fps, near, many, file in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file is None and near:  # as the files beside it are called
+                    stem, ext = os.path.splitext(os.path.basename(near))
+                    file = os.path.join(os.path.dirname(near), f"episode_{ep:0{len(stem) - len('episode_')}d}{ext}")
+                file = file or os.path.join(path, "videos", name)
+                status, reason, got = "read", None, {}
+                if many:
+                    status, reason, file = "unattributable", "media files are not laid out one for each episode", None
+                elif not os.path.realpath(file).startswith(root + os.sep):
+                    status, reason = "unreadable", "its path leads out of the dataset"
+                elif not os.path.isfile(file):
+                    status = "missing"
+                else:
+                    try:
+                        got = mp4.probe(file)
+                    except mp4.Unreadable as e:
+                        status, reason = "unreadable", str(e)
+                uri = os.path.relpath(file, path).replace(os.sep, "/") if file else f"videos/**/{name}/"
+                out.append({"ep_ord": ep, "st_ord": st, "media": {"uri": uri, "declared": {"codec": codec, "width": width, "height": height, "fps": fps}, "observed": {k: got.get(k) for k in ("codec", "width", "height", "fps")}, "status": status, "reason": reason, "frame_count": got.get("frame_count")}})
+            yield pa.RecordBatch.from_pylist(out, schema=_PROBED)
+
+    return rows.mapInArrow(run, f"ep_ord long, st_ord long, media struct<uri:string,declared:{_PARAMS_SQL},observed:{_PARAMS_SQL},status:string,reason:string,frame_count:long>")
+
+
 def read(spark: SparkSession, path: str, o: Options) -> Recording:
     info = _json(os.path.join(path, "meta", "info.json"), True)
     if not str(info.get("codebase_version", "")).lstrip("v").startswith("3"):
@@ -118,12 +207,18 @@ def read(spark: SparkSession, path: str, o: Options) -> Recording:
             raise SourceError(f"episode {row['episode_index']} is declared twice")
         declared[int(row["episode_index"])] = int(row["length"])
     tasks = {int(t["task_index"]): str(t["task"]) for t in _lines(os.path.join(path, "meta", "tasks.jsonl"), False) if "task_index" in t and "task" in t}
-    stored = _json(os.path.join(path, "meta", "stats.json")) or {}
+    try:
+        stored = _json(os.path.join(path, "meta", "stats.json")) or {}
+    except SourceError:  # the recording is read all the same, and says that its statistics are not
+        stored, broken = {}, ["meta/stats.json"]
+    else:
+        broken = []
     totals = [(f"declared_{k}", str(info[k])) for k in ("total_episodes", "total_frames") if k in info]
     rec.put("metadata", spark.createDataFrame(totals, "key string, value string"))
     lic = licence(path)
     rec.put("provenance", spark.createDataFrame([("dataset", 0, "license", lic, "known")] if lic else [], "scope_kind string, record_id long, key string, value string, class string"))
     files, rec.unread = shards(path)
+    rec.unread += broken
     names = sorted(features)
     number = {n: k for k, n in enumerate(names)}
 
@@ -141,6 +236,8 @@ def read(spark: SparkSession, path: str, o: Options) -> Recording:
         if len(indices) * len(names) > o.max_frames:
             raise SourceError("more streams than the frame budget")
         rec.coverage = "metadata-only"
+        if not declared:  # the episodes were made from the total, which can't be tested by them
+            rec.put("metadata", rec.metadata.where("key <> 'declared_total_episodes'"))
         eps = spark.createDataFrame([(i, i, declared.get(i)) for i in indices], "ep_ord long, episode long, declared_frame_count long")
         return rec.put("episodes", eps).put("streams", eps.select("ep_ord").crossJoin(by_name))  # a row for each is what is asked for
 
@@ -157,7 +254,7 @@ def read(spark: SparkSession, path: str, o: Options) -> Recording:
     have = [n for n in names if n in rows.columns]
     rec.notes = {"omitted": [n for n in names if n not in rows.columns], "unmapped": [c for c in rows.columns if c not in features and c not in BOOKS and c != "_order"]}
     n_rows = rows.agg(F.count("*"), F.min("episode_index")).first()
-    if (n_rows[0] or 0) * max(1, len(have)) > o.max_frames:
+    if (n_rows[0] or 0) * max(1, len(names)) > o.max_frames:
         raise SourceError("more frames than the frame budget")
     if n_rows[1] is not None and n_rows[1] < 0:
         raise SourceError("a negative episode index")
@@ -169,8 +266,10 @@ def read(spark: SparkSession, path: str, o: Options) -> Recording:
         ts = F.when(t.isNotNull() & ~F.isnan(t) & (F.abs(t) < 9.2e9), F.round(t * 1e9).cast("long")).otherwise(step)
     else:
         ts = step
-    cell = lambda n: F.struct(F.lit(number[n]).cast("long").alias("st_ord"), F.when(F.col(f"`{n}`").isNotNull(), F.sha2(F.to_json(F.struct(F.col(f"`{n}`").alias("v"))), 256)).alias("content_hash"))
-    frames = rows.select(F.col("episode_index").cast("long").alias("ep_ord"), ts.alias("ts"), "_order", F.explode(F.array(*map(cell, have))).alias("c")).select("ep_ord", "c.st_ord", "_order", "ts", "c.content_hash")
+    # A row is a frame of every declared feature; what has no column (pictures in video files) has no fingerprint.
+    digest = lambda n: F.when(F.col(f"`{n}`").isNotNull(), F.sha2(F.to_json(F.struct(F.col(f"`{n}`").alias("v"))), 256)) if n in have else F.lit(None).cast("string")
+    cell = lambda n: F.struct(F.lit(number[n]).cast("long").alias("st_ord"), digest(n).alias("content_hash"))
+    frames = rows.select(F.col("episode_index").cast("long").alias("ep_ord"), ts.alias("ts"), "_order", F.explode(F.array(*map(cell, names))).alias("c")).select("ep_ord", "c.st_ord", "_order", "ts", "c.content_hash")
     rec.put("frames", frames.withColumn("frame_idx", F.expr("row_number() OVER (PARTITION BY ep_ord, st_ord ORDER BY _order) - 1")))
     seen = rows.select(F.col("episode_index").cast("long").alias("ep_ord")).distinct()
     length = spark.createDataFrame(list(declared.items()), "ep_ord long, declared_frame_count long")
@@ -189,7 +288,7 @@ def read(spark: SparkSession, path: str, o: Options) -> Recording:
         value = F.array(F.col(f"`{n}`").cast("double")) if numeric(t) else F.transform(F.col(f"`{n}`"), lambda x: x.cast("double")) if isinstance(t, T.ArrayType) and numeric(t.elementType) else None
         if value is not None:
             arrays.append(F.struct(F.lit(number[n]).cast("long").alias("st_ord"), value.alias("v")))
-    full = seen.crossJoin(F.broadcast(by_name.where(F.col("name").isin(have))))
+    full = seen.crossJoin(F.broadcast(by_name))
     if arrays:
         s = dimension_stats(rows.select(F.explode(F.array(*arrays)).alias("x")).select("x.*"), ("st_ord",), "v")
         one = F.struct("min", "max", "mean", "std")
@@ -197,6 +296,9 @@ def read(spark: SparkSession, path: str, o: Options) -> Recording:
         g = s.groupBy("st_ord").agg(F.max(F.when(F.col("dim") == 0, one)).alias("observed_stats"), o_dims.alias("observed_dim_stats"), F.sum("non_finite").alias("observed_non_finite"))
         w = worst_saturation(s, ("st_ord",)).select("st_ord", F.struct("n", "at_min", "at_max", "min", "max", F.col("dim").cast("long").alias("dim")).alias("observed_saturation"))
         full = full.join(F.broadcast(g.join(w, "st_ord")), "st_ord", "left")  # a row for each feature
+    videos = {n: (number[n], declared_media(features[n])) for n in names if features[n].get("dtype") == "video"}
+    if videos:
+        full = full.join(media(seen, path, videos), ["ep_ord", "st_ord"], "left")
     return rec.put("streams", full)
 
 

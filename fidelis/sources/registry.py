@@ -15,6 +15,10 @@ class SourceError(ValueError):
     """A source that can't be read, or options that it can't be read with."""
 
 
+#: Bytes that any source may expand to.
+EXPANDED = 64 << 20
+
+
 @dataclass(frozen=True)
 class Options:
     format: str | None = None
@@ -24,6 +28,14 @@ class Options:
     metadata_only: bool = False
     max_frames: int = 20_000_000
 
+    #: Bytes that a source may expand to: so many times its own, or ``EXPANDED`` if that is more.
+    max_expansion: int = 100
+
+    def expanded(self, made: int, size: int) -> None:
+        """Refuses a source of ``size`` bytes that declares or makes too many."""
+        if made > max(EXPANDED, self.max_expansion * size):
+            raise SourceError(f"{made} bytes out of {size} are over the decompression budget")
+
     @property
     def sampled(self) -> bool:
         return self.first is not None or self.fraction is not None
@@ -38,10 +50,21 @@ class Format:
     samples: bool = False
 
 
+_more: list[Format] = []
+
+
+def register(format: Format) -> Format:
+    """Adds a reader to those that ``open_recording`` chooses from; its id must be new."""
+    if any(f.id == format.id for f in formats()):
+        raise ValueError(f"{format.id} is registered")
+    _more.append(format)
+    return format
+
+
 def formats() -> list[Format]:
-    from fidelis.sources import candbc, lerobot
+    from fidelis.sources import candbc, lerobot, mcap, rlds, zarr
 
-    return [lerobot.FORMAT, candbc.FORMAT]
+    return [lerobot.FORMAT, candbc.FORMAT, mcap.FORMAT, rlds.FORMAT, zarr.FORMAT, *_more]
 
 
 def dataset_id(path: str) -> str:
