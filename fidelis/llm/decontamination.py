@@ -3,11 +3,14 @@
 Words are lowered and stripped of punctuation at their ends; numbers, units behind numbers and names (capitalised words
 that begin no sentence) become typed placeholders, and what they stood for is kept aside as slots. Windows of ``WINDOW``
 canonical words are compared by hash. Where windows of a document and of a benchmark item agree along one diagonal, the
-slots are checked: one value of the item must always stand for one value of the document, and the other way round. So a
-question whose numbers or names were replaced consistently is caught, and a chance agreement of placeholders is not.
+slots are checked: one value of the item must always stand for one value of the document, and the other way round, in
+each run of overlapping windows; where a window breaks this, a new run begins with it. So a question whose numbers or
+names were replaced consistently is caught as far as they were, and a chance agreement of placeholders is not.
 
-The benchmark is read in blocks of at most ``BLOCK`` windows, each sent to all executors (16 MB at most) and compared
-with all documents in one narrow pass; a benchmark of any size only makes more passes.
+Words of the documents are canonicalised as arrays, by their 64-bit hashes; only those that the cache of a worker has not
+met are looked at as text, and only documents with a window of the benchmark are split into words. The benchmark is read
+in blocks of ``BLOCK`` words (one more item at most), each sent to all executors as arrays of 24 bytes a window and
+compared with all documents in one narrow pass; a benchmark of any size only makes more passes.
 
 Windows are compared as they stand too, word for word, so an exact copy is found whatever its words are. The first word
 of an item, if it is capitalised, is read both as a word and as a name, as a document may have anything before it.
@@ -30,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.text import gram_hashes, mix, split_words
+from fidelis.llm.store import fresh
+from fidelis.llm.text import Words, gram_hashes, hashes_of, mix, pieces, split_words
 
 WINDOW, LITERALS = 8, 5
 BLOCK = 1_000_000
-MEMO = 300_000
+#: Words that a worker remembers when it reads texts word for word, and places of its cache of word hashes.
+MEMO, CACHE = 300_000, 1 << 18
 
 # Units that are placeholders behind a number.
 UNITS = (
@@ -51,55 +56,112 @@ LITERAL, CAPITAL, NUMBER, UNIT, EMPTY = range(5)
 _NUM, _UNIT, _NAME = (np.uint64(x) for x in mix(np.array([11, 12, 13], np.uint64)))
 
 
-def literal_hash(word: str) -> int:
-    h = 1469598103934665603
-    for b in word.encode():
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return h
+def reading(word: str) -> tuple[int, bool, str]:
+    """Kind of a word, whether it ends a sentence, and what is hashed of it."""
+    core = _EDGES.sub("", word)
+    low = core.lower()
+    ends = word[-1] in ".!?:" or word[-2:-1] in (".", "!", "?")
+    if _NUMBER.fullmatch(core):
+        return NUMBER, ends, low.replace(",", "")
+    kind = EMPTY if not core else UNIT if low in _UNITS else CAPITAL if core[0] != low[0] else LITERAL
+    return kind, ends, low or word
+
+
+def canonical(kind: np.ndarray, ends: np.ndarray, raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical hash of each word, and whether it is a placeholder; ``begin`` are the first words of texts."""
+    starts = np.ones(len(raw), bool)
+    starts[1:] = ends[:-1]
+    starts[begin] = True
+    number, unit = kind == NUMBER, kind == UNIT
+    unit[1:] &= number[:-1]
+    unit[begin] = False
+    name = (kind == CAPITAL) & ~starts
+    h = raw.copy()
+    h[number], h[unit], h[name] = _NUM, _UNIT, _NAME
+    return h, number | unit | name
 
 
 class Canon:
-    """Kinds and hashes of words, remembered for about ``MEMO`` different ones."""
+    """Kinds and hashes of the words of one text after another, remembered for about ``MEMO`` different ones."""
 
     def __init__(self):
         self.memo: dict[str, int] = {}
-        self.kind, self.ends = np.zeros(1024, np.int8), np.zeros(1024, bool)
-        self.hash, self.raw = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
-
-    def learn(self, word: str) -> int:
-        if (k := self.memo.setdefault(word, len(self.memo))) < len(self.memo) - 1:
-            return k
-        if k == len(self.kind):
-            for name in ("kind", "ends", "hash", "raw"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        core = _EDGES.sub("", word)
-        low = core.lower()
-        number = _NUMBER.fullmatch(core)
-        self.ends[k] = word[-1] in ".!?:" or word[-2:-1] in (".", "!", "?")
-        self.kind[k] = NUMBER if number else EMPTY if not core else UNIT if low in _UNITS else CAPITAL if core[0] != low[0] else LITERAL
-        self.raw[k] = literal_hash(low.replace(",", "") if number else low or word)
-        self.hash[k] = _NUM if number else self.raw[k]
-        return k
+        self.kind, self.ends, self.raw = np.zeros(0, np.int8), np.zeros(0, bool), np.zeros(0, np.uint64)
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Canonical hash of each word, whether it is a placeholder, and the hash of the word itself."""
         if len(self.memo) >= MEMO:
-            self.memo.clear()
-        ids = list(map(self.memo.get, words))
-        if None in ids:
-            ids = [self.learn(w) if k is None else k for k, w in zip(ids, words, strict=True)]
-        ids = np.array(ids, np.int64)
-        kind, h = self.kind[ids], self.hash[ids]
-        starts = np.ones(len(words), bool)
-        starts[1:] = self.ends[ids[:-1]]
-        number = kind == NUMBER
-        unit = kind == UNIT
-        unit[1:] &= number[:-1]
-        unit[:1] = False
-        name = (kind == CAPITAL) & ~starts
-        h[unit], h[name] = _UNIT, _NAME
-        return h, number | unit | name, self.raw[ids]
+            self.__init__()
+        if new := [w for w in dict.fromkeys(words) if w not in self.memo]:
+            self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
+            kind, ends, hashed = zip(*map(reading, new), strict=True)
+            self.kind, self.ends = np.append(self.kind, np.array(kind, np.int8)), np.append(self.ends, np.array(ends, bool))
+            self.raw = np.append(self.raw, hashes_of(list(hashed)))
+        ids = np.array([self.memo[w] for w in words], np.int64)
+        raw = self.raw[ids]
+        return *canonical(self.kind[ids], self.ends[ids], raw, np.zeros(1, np.int64)), raw
+
+
+#: Bytes of words that no pattern has to look at: ASCII letters, and the underscore, which is no punctuation.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"]] = True
+_ODD = np.zeros(256, bool)
+_ODD[[*b"0123456789", *range(128, 256)]] = True
+_STOP, _AFTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[*b".!?:"]] = True
+_AFTER[[*b".!?"]] = True
+_UNIT_HASHES = np.sort(hashes_of(list(dict.fromkeys(UNITS))))
+
+
+class Lexicon:
+    """What ``Canon`` gives, for the words of many rows at once.
+
+    Words of ASCII letters between punctuation are read as arrays of bytes. Others are looked up by their hashes in a
+    cache, a place of which keeps the last word that needed it, and read one by one if they are not there.
+    """
+
+    def __init__(self):
+        self.keys, self.kind, self.ends, self.raw = np.zeros(CACHE, np.uint64), np.zeros(CACHE, np.int8), np.zeros(CACHE, bool), np.zeros(CACHE, np.uint64)
+
+    def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Canonical hash of each word, whether it is a placeholder, and the hash of the word itself."""
+        data, start, end = w.data, w.start.copy(), w.end.copy()
+        if not len(start):
+            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.uint64)
+        ends = _STOP[data[end - 1]]
+        ends |= _AFTER[data[end - 2]] & (end - start > 1)
+        for at, step, edge in ((start, 1, 0), (end, -1, 1)):  # punctuation at the edges goes
+            todo = np.flatnonzero(~_LETTER[data[at - edge]])
+            while len(todo):
+                at[todo] += step
+                todo = todo[start[todo] < end[todo]]
+                todo = todo[~_LETTER[data[at[todo] - edge]]]
+        empty = start >= end
+        start[empty], end[empty] = w.start[empty], w.end[empty]
+        raw = w.hashes(True, start, end)
+        kind = np.full(len(raw), LITERAL, np.int8)
+        first = data[start]
+        kind[(first >= 65) & (first <= 90)] = CAPITAL
+        kind[_UNIT_HASHES[np.searchsorted(_UNIT_HASHES, raw).clip(max=len(_UNIT_HASHES) - 1)] == raw] = UNIT
+        kind[empty] = EMPTY
+        count = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_ODD[data], out=count[1:])
+        odd = np.flatnonzero(count[w.end] != count[w.start])
+        if len(odd):
+            key = w.hashes()[odd]
+            at = (key >> np.uint64(64 - CACHE.bit_length() + 1)).astype(np.int64)
+            kind[odd], ends[odd], raw[odd] = self.kind[at], self.ends[at], self.raw[at]
+            miss = np.flatnonzero(self.keys[at] != key)
+            if len(miss):
+                _, one, each = np.unique(key[miss], return_index=True, return_inverse=True)
+                where = odd[miss[one]]
+                new, stop, hashed = zip(*(reading(data[a:z].tobytes().decode()) for a, z in zip(w.start[where].tolist(), w.end[where].tolist(), strict=True)), strict=True)
+                place = at[miss[one]]
+                for mine, learned, cache in ((kind, np.array(new, np.int8), self.kind), (ends, np.array(stop, bool), self.ends), (raw, hashes_of(list(hashed)), self.raw)):
+                    mine[odd[miss]] = learned[each]
+                    cache[place] = learned
+                self.keys[place] = key[miss[one]]
+        return *canonical(kind, ends, raw, w.off[:-1][np.diff(w.off) > 0]), raw
 
 
 def slot(word: str) -> str:
@@ -118,24 +180,32 @@ def windows(h: np.ndarray, held: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 @dataclass(frozen=True)
 class Windows:
-    """Windows of one length: sorted hashes, a table of their upper bits that tells most others apart, and the item's number and place of each."""
+    """Windows of one length, by hash in order: hash, number of the item and place in it; a table of upper bits tells most others apart."""
 
     hashes: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
     maybe: np.ndarray
-    where: dict[int, list[tuple[int, int]]]
 
     def of(self, w: np.ndarray) -> np.ndarray:
         """Places in ``w`` of hashes that are here."""
         k = np.flatnonzero(self.maybe[w >> np.uint64(65 - len(self.maybe).bit_length())])
         return k[self.hashes[np.searchsorted(self.hashes, w[k]).clip(max=len(self.hashes) - 1)] == w[k]]
 
+    def where(self, x: np.uint64) -> Iterator[tuple[int, int]]:
+        """(number of the item, place) of each window with the hash ``x``."""
+        a, z = np.searchsorted(self.hashes, x, "left"), np.searchsorted(self.hashes, x, "right")
+        return zip(self.items[a:z].tolist(), self.places[a:z].tolist(), strict=True)
+
 
-def _windows(where: dict[int, list[tuple[int, int]]]) -> Windows:
-    hashes = np.array(sorted(where), np.uint64)
+def _windows(found: list[tuple[np.ndarray, int, np.ndarray]]) -> Windows:
+    hashes = np.concatenate([x for x, _, _ in found])
+    items = np.repeat(np.array([i for _, i, _ in found], np.int64), [len(x) for x, _, _ in found])
+    order = np.argsort(hashes, kind="stable")
     bits = max(10, (16 * len(hashes)).bit_length())
     maybe = np.zeros(1 << bits, bool)
     maybe[hashes >> np.uint64(64 - bits)] = True
-    return Windows(hashes, maybe, dict(where))
+    return Windows(hashes[order], items[order], np.concatenate([at for _, _, at in found])[order], maybe)
 
 
 @dataclass(frozen=True)
@@ -151,7 +221,7 @@ class Benchmark:
 
 def compiled(rows: list[tuple[int, str]]) -> Benchmark:
     canon = Canon()
-    canonical, exact = (defaultdict(lambda: defaultdict(list)) for _ in range(2))
+    templates, exact = defaultdict(list), defaultdict(list)
     items, slots, either = [], [], []
     for item, text in rows:
         words = split_words(text)
@@ -159,8 +229,8 @@ def compiled(rows: list[tuple[int, str]]) -> Benchmark:
             continue
         h, held, raw = canon(words)
         n = min(WINDOW, len(words))
-        for at, x in enumerate(gram_hashes(raw, n).tolist()):
-            exact[n][x].append((len(items), at))
+        grams = gram_hashes(raw, n)
+        exact[n].append((grams, len(items), np.arange(len(grams))))
         core = _EDGES.sub("", words[0])
         first = bool(core) and not held[0] and core[0] != core[0].lower()
         readings = [(h, held)]
@@ -170,19 +240,28 @@ def compiled(rows: list[tuple[int, str]]) -> Benchmark:
             readings.append((other, also))
         if n >= LITERALS:
             for hashes, places in readings:
-                for x, at in zip(*(v.tolist() for v in windows(hashes, places, n)), strict=True):
-                    canonical[n][x].append((len(items), at))
+                x, at = windows(hashes, places, n)
+                if len(x):
+                    templates[n].append((x, len(items), at))
         items.append(item)
         slots.append([slot(w) if p or first and not i else None for i, (w, p) in enumerate(zip(words, held.tolist(), strict=True))])
         either.append(first)
-    return Benchmark({n: _windows(w) for n, w in sorted(canonical.items())}, {n: _windows(w) for n, w in sorted(exact.items())}, items, slots, either)
+    return Benchmark({n: _windows(w) for n, w in sorted(templates.items())}, {n: _windows(w) for n, w in sorted(exact.items())}, items, slots, either)
 
 
-def consistent(pairs: list[tuple[str, str]]) -> bool:
-    """Whether values map one to one."""
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in pairs)
+def touched(w: Words, bench: Benchmark, lexicon: Lexicon) -> np.ndarray:
+    """The rows of ``w`` that have a window of the benchmark, by hash."""
+    h, held, raw = lexicon(w)
+    row = w.row_of_word()
+    found = []
+    for n, known in bench.canonical.items():
+        x, at = windows(h, held, n)
+        k = known.of(x)
+        found.append(at[k][row[at[k]] == row[at[k] + n - 1]])
+    for n, known in bench.exact.items():
+        at = known.of(gram_hashes(raw, n))
+        found.append(at[row[at] == row[at + n - 1]])
+    return np.unique(row[np.concatenate(found)]) if found else np.zeros(0, np.int64)
 
 
 def matched(text: str | None, bench: Benchmark, canon: Canon) -> list[tuple[int, int]]:
@@ -196,57 +275,79 @@ def matched(text: str | None, bench: Benchmark, canon: Canon) -> list[tuple[int,
     for n, known in bench.canonical.items():
         w, at = windows(h, held, n)
         for k in known.of(w).tolist():
-            for item, place in known.where[int(w[k])]:
+            for item, place in known.where(w[k]):
                 found[item, int(at[k]) - place].append((place, n))
     for n, known in bench.exact.items():
         w = gram_hashes(raw, n)
         for k in known.of(w).tolist():
-            for item, place in known.where[int(w[k])]:
+            for item, place in known.where(w[k]):
                 same[item, k - place].add(place)
     best: dict[int, int] = {}
     for item, shift in {**found, **same}:
-        # Runs of windows that overlap are one passage; its slots must agree as a whole. Windows of equal words need no slots.
-        slots, good, run, places = bench.slots[item], same.get((item, shift), set()), [], found.get((item, shift), ())
-        for k, (place, n) in enumerate(places):
-            run.append(place)
-            if k + 1 == len(places) or places[k + 1][0] > place + n:
-                span = range(run[0], place + n)
-                if consistent([(slots[i], slot(words[i + shift])) for i in span if slots[i] is not None and (i or not bench.either[item] or held[i + shift])]):
-                    good = good.union(run)
-                run = []
+        # Windows of equal words need no slots.
+        good = same.get((item, shift), set()) | agreeing(found.get((item, shift), []), bench.slots[item], words, shift, bench.either[item] and not held[shift] if shift >= 0 else False)
         if good:
             best[bench.items[item]] = max(len(good), best.get(bench.items[item], 0))
     return sorted(best.items())
 
 
-def benchmark_blocks(bench: DataFrame) -> Iterator[Benchmark]:
-    """The benchmark, in blocks of about ``BLOCK`` words that the driver reads one at a time."""
-    b = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    words = b.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
-    n = -(-words // BLOCK) or 1
-    for k in range(n):
-        rows = b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        yield compiled(sorted((r["item_id"], r["text"]) for r in rows))
+def agreeing(places: list[tuple[int, int]], slots: list[str | None], words: list[str], shift: int, skip: bool) -> set[int]:
+    """The windows (place in the item, length) whose slots map one to one, in themselves and along their run.
 
+    A run goes on while windows overlap and agree; ``skip``: the item's first word is no slot here.
+    """
+    good: set[int] = set()
+    there: dict[str, str] = {}
+    back: dict[str, str] = {}
+    end = -1
+    for place, n in places:
+        if place > end:
+            there, back = {}, {}
+        for fresh_run in (False, True):
+            if fresh_run:
+                there, back = {}, {}
+            now, then = dict(there), dict(back)
+            pairs = [(slots[i], slot(words[i + shift])) for i in range(place, place + n) if slots[i] is not None and (i or not skip)]
+            if all(now.setdefault(a, b) == b and then.setdefault(b, a) == a for a, b in pairs):
+                there, back = now, then
+                good.add(place)
+                break
+        end = place + n
+    return good
 
-def flagged(df: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with _items (ids of the items found, in order) and _windows (of all of them)."""
-    out = df.withColumn("_items", F.array().cast("array<long>")).withColumn("_windows", F.lit(0).cast("long"))
+
+def benchmark_blocks(bench: DataFrame) -> Iterator[Benchmark]:
+    """The benchmark, in blocks of ``BLOCK`` words or one item more, which the driver reads one after the other."""
+    b = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    rows, words = [], 0
+    for r in b.toLocalIterator():
+        rows.append((r["item_id"], r["text"]))
+        words += len(split_words(r["text"]))
+        if words >= BLOCK:
+            yield compiled(sorted(rows))
+            rows, words = [], 0
+    if rows:
+        yield compiled(sorted(rows))
+
+
+def flagged(df: DataFrame, bench: DataFrame, text: str = "text", items: str = "_items", windows: str = "_windows") -> DataFrame:
+    """``df`` with two columns more: ``items`` (ids of the items found, in order) and ``windows`` (of all of them)."""
+    out = df.withColumn(items, F.array().cast("array<long>")).withColumn(windows, F.lit(0).cast("long"))
     names = df.columns
     at = names.index(text)
     for block in benchmark_blocks(bench):
         shared = df.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench, canon = shared.value, Canon()
+            bench, canon, lexicon = shared.value, Canon(), Lexicon()
             for b in batches:
-                items, counts = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist()
-                if bench.items:
-                    for i, t in enumerate(b.column(at).to_pylist()):
-                        if got := matched(t, bench, canon):
-                            items[i] = sorted(items[i] + [x for x, _ in got])
+                found, counts, texts = b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), b.column(at)
+                for w in pieces(texts):
+                    for i in (w.first + touched(w, bench, lexicon)).tolist() if bench.items else ():
+                        if got := matched(texts[i].as_py(), bench, canon):
+                            found[i] = sorted(found[i] + [x for x, _ in got])
                             counts[i] += sum(n for _, n in got)
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(items, pa.list_(pa.int64())), pa.array(counts, pa.int64())], names=[*names, "_items", "_windows"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.list_(pa.int64())), pa.array(counts, pa.int64())], names=[*names, items, windows])
 
         out = out.mapInArrow(run, out.schema)
     return out
@@ -254,8 +355,8 @@ def flagged(df: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
 
 def clean(df: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df`` that hold nothing of the benchmark, with the columns of ``df``."""
-    names = df.columns
-    return flagged(df, bench, text).where(F.size("_items") == 0).select(*(F.col(f"`{n}`") for n in names))
+    items, windows = fresh(df, "items", "windows")
+    return flagged(df, bench, text, items, windows).where(F.size(F.col(f"`{items}`")) == 0).select(*(F.col(f"`{n}`") for n in df.columns))
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
