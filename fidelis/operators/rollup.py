@@ -42,6 +42,18 @@ def scenario_coverage(labels: DataFrame, sparse: float = 0.1) -> DataFrame:
     return l.groupBy("key", "value").agg(F.count("*").alias("episodes")).join(covered, "key").withColumn("sparse", F.col("episodes") < sparse * F.col("covered"))
 
 
+def ordered_coverage(labels: DataFrame, sparse: float = 0.1) -> DataFrame:
+    """``scenario_coverage`` of labels whose keys name one of the six dimensions, in their order, each's most frequent value first."""
+    from fidelis.sources.scenario import DIMENSIONS
+
+    spellings = [(s, d, k) for k, (d, names) in enumerate(DIMENSIONS.items()) for s in names]
+    named = labels.sparkSession.createDataFrame(spellings, "spelling string, dimension string, place int")
+    known = labels.withColumn("spelling", F.lower(F.trim("key"))).join(F.broadcast(named), "spelling")  # a few spellings
+    of = scenario_coverage(known.select("ep_ord", F.col("dimension").alias("key"), "value"), sparse)
+    place = F.array_position(F.array(*(F.lit(d) for d in DIMENSIONS)), F.col("key"))
+    return of.orderBy(place, F.desc("episodes"), "value")
+
+
 def transitions(rows: DataFrame, key: str, order: str, state: str) -> DataFrame:
     """Rows whose state differs from that of the row before, with it."""
     from pyspark.sql import Window

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 
 from fidelis.model import Recording, Tolerances
 from fidelis.operators import provenance
-from fidelis.operators.base import RANKS, SEVERITIES, Check, profiled
-from fidelis.plans.catalog import BY_ID, CHECKS
+from fidelis.operators.base import RANKS, SEVERITIES, Check, is_rig, profiled
+from fidelis.plans.catalog import CHECKS
 
 DOMAIN = "fidelis.verdict.v1\0"
 CATEGORIES = tuple(dict.fromkeys(c.category for c in CHECKS))
@@ -153,7 +153,9 @@ def run(rec: Recording, config: RunConfig | None = None) -> Verdict:
 
 def readiness(rec: Recording, verdict: Verdict) -> dict:
     """The profile for world models: it applies to whole rigs with poses, and each of its checks must have run and found nothing."""
-    rig = bool(rec.streams.where("modality IN ('point-cloud', 'video', 'imu', 'gnss')").limit(1).count()) and bool(rec.ego_poses.limit(1).count())
+    # One episode must have all: a rig's sensors, one of them a cloud or a camera, and poses.
+    sees = rec.streams.where("modality IN ('point-cloud', 'video')").select("ep_ord")
+    rig = not is_rig(rec).join(sees, "ep_ord", "left_semi").join(rec.ego_poses.select("ep_ord"), "ep_ord", "left_semi").isEmpty()
     narrowed = any(f.code == "SCOPE.NARROWED" for f in verdict.findings)
     applies = verdict.coverage == "full" and not narrowed and rig
     criteria = {c: c in verdict.executed and not any(f.check_id == c for f in verdict.findings) for c in PROFILE}
@@ -173,5 +175,3 @@ def exit_code(verdict: Verdict, config: RunConfig) -> int:
         return 20
     return 10 if verdict.status == "pass-with-warnings" else 0
 
-
-assert set(PROFILE) <= set(BY_ID)

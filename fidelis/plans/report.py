@@ -5,9 +5,10 @@ from __future__ import annotations
 import html
 import json
 from collections import Counter
+from urllib.parse import quote
 
 from fidelis.operators import provenance as _provenance
-from fidelis.plans.catalog import BY_ID, CHECKS
+from fidelis.plans.catalog import CHECKS
 from fidelis.plans.engine import Verdict
 
 SCHEMA = "fidelis-report/1"
@@ -81,4 +82,28 @@ def croissant(rec) -> dict:
     return out | {there: real[here] for here, there in (("license", "license"), ("annotator", "creator"), ("upstream", "isBasedOn")) if here in real}
 
 
-assert BY_ID
+def iri(text: str) -> str:
+    """A part of an address: every byte but letters, digits and ``-._~`` as a percentage sign and its number."""
+    return quote(text, safe="-._~")
+
+
+def w3c_prov(rec) -> dict:
+    """The recording's lineage as W3C PROV in JSON-LD; only real values are mapped, each with how it is known."""
+    rows = rec.provenance.where(_provenance.real(rec.provenance["value"], rec.provenance["class"])).select("scope_kind", "scope_episode", "scope_stream", "key", "value", "class").distinct().orderBy("scope_kind", "scope_episode", "scope_stream", "key", "value").collect()
+    top = f"urn:dataset:{iri(rec.dataset_id)}"
+    graph: dict[str, dict] = {top: {"@id": top, "@type": "prov:Entity", "rdfs:label": rec.dataset_id}}
+    for r in rows:
+        parts = [x for x in (None if r["scope_episode"] is None else f"episode/{r['scope_episode']}", r["scope_stream"] and f"stream/{iri(r['scope_stream'])}") if x]
+        at = "/".join([top, *parts])
+        node = graph.setdefault(at, {"@id": at, "@type": "prov:Entity", "prov:wasDerivedFrom": []} if at != top else {})
+        if at != top and not node["prov:wasDerivedFrom"]:
+            node["prov:wasDerivedFrom"].append({"@id": top})
+        if r["key"] == "upstream":
+            node.setdefault("prov:wasDerivedFrom", []).append({"@id": f"urn:source:{iri(r['value'])}"})
+        elif r["key"] in ("annotator", "author", "recorder"):
+            agent = f"urn:agent:{iri(r['value'])}"
+            graph[agent] = {"@id": agent, "@type": "prov:Agent", "rdfs:label": r["value"]}
+            node.setdefault("prov:wasAttributedTo", []).append({"@id": agent})
+        else:
+            node.setdefault("fidelis:element", []).append({"key": r["key"], "value": r["value"], "class": r["class"]})
+    return {"@context": {"prov": "http://www.w3.org/ns/prov#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "fidelis": "urn:fidelis:"}, "@graph": list(graph.values())}
