@@ -18,8 +18,7 @@ Only line hashes and numbers are joined; texts are shuffled once, when lines are
 
 Special input: a null text has no lines and stays null; lines without words are neither matched nor deleted; rows
 without a doc_id are left out of the alignment and lose nothing; of rows that repeat a doc_id the smallest text counts
-for the alignment, and lines at the same numbers go from rows whose text is that text; an empty table gives an empty
-result; texts of any length are taken whole; columns of other names are passed on untouched.
+for the alignment, and only rows with that text (told by its hash) lose lines; an empty table gives an empty result; texts of any length are taken whole; columns of other names are passed on untouched.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.store import cut, keyed
+from fidelis.llm.store import Scratch, fresh, keyed
 from fidelis.llm.text import mix, pieces, signed
 
 MIN_WORDS = 5
@@ -45,7 +44,7 @@ ROUNDS = (1, 32, 0)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, hashes and words of its lines; the hash of a line without words is 0."""
+    """doc_id, th (of the text), hashes and words of its lines; the hash of a line without words is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -63,9 +62,15 @@ def line_table(docs: DataFrame) -> DataFrame:
                         n[w.first : w.first + len(size)] = size
                 hashes.append(signed(h))
                 counts.append(n)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "h", "n"])
+            yield pa.RecordBatch.from_arrays([ids, b.column(2), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "th", "h", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, h array<long>, n array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, h array<long>, n array<int>")
+
+
+def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch one after the other, so that only one row's arrays are held as Python numbers."""
+    for i in range(len(b)):
+        yield tuple(c[i].as_py() for c in b.columns)
 
 
 def rising(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -177,21 +182,22 @@ def blocks(matches: list[tuple[int, int]], words: list[int], least: int) -> list
     return out
 
 
-def reduced(lines: DataFrame, least: int) -> DataFrame:
-    """doc_id, and s, n, at: hashes, words and numbers of its lines that another document holds, and a 0 for whatever is between.
+def reduced(lines: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """doc_id, th, and s, n, at: hashes, words and numbers of its lines that another document holds, and a 0 for whatever is between.
 
     Documents of equal ``s``, which ``sig`` tells, are aligned alike with any other. Those without ``least`` words in a
     row are left out, as they neither lose nor take a line.
     """
     flat = lines.select("doc_id", F.explode(F.array_distinct("h")).alias("line")).where("line <> 0")
-    shared = flat.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line")
+    # A table of its own: the join below then reads both sides as they were dealt, and a hot line's rows can be split.
+    shared = scratch.keep(flat.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line"))
     known = flat.join(shared, "line").groupBy("doc_id").agg(F.collect_list("line").alias("known"))  # bounded by the document's lines
-    schema = "doc_id long, sig binary, s array<long>, n array<int>, at array<int>"
+    schema = "doc_id long, th long, sig binary, s array<long>, n array<int>, at array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, h, n, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, th, h, n, known in rows_of(b):
                 known, out = set(known), []
                 for i, x in enumerate(h):
                     if x in known:
@@ -200,13 +206,13 @@ def reduced(lines: DataFrame, least: int) -> DataFrame:
                         out.append((0, 0, i))
                 s, words, at = ([o[k] for o in out] for k in range(3))
                 if whole_runs(s, words, least):
-                    rows.append((doc, hashlib.sha256(np.array(s, np.int64).tobytes()).digest(), s, words, at))
+                    rows.append((doc, th, hashlib.sha256(np.array(s, np.int64).tobytes()).digest(), s, words, at))
             yield pa.RecordBatch.from_pylist([dict(zip(SIGNED.names, r, strict=True)) for r in rows], schema=SIGNED)
 
-    return lines.join(known, "doc_id").select("doc_id", "h", "n", "known").mapInArrow(run, schema)
+    return lines.join(known, "doc_id").select("doc_id", "th", "h", "n", "known").mapInArrow(run, schema)
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("s", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("sig", pa.binary()), ("s", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("at", pa.list_(pa.int32()))])
 
 
 def whole_runs(s: list[int], n: list[int], least: int) -> list[int]:
@@ -252,7 +258,7 @@ def untested(reps: DataFrame, found: DataFrame | None, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
-            for doc, s, n, gone in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, s, n, gone in rows_of(b):
                 gone = set(gone or ())
                 left = {hash(tuple(s[i:j])) for i, j in windows(s, n, least) if not gone.issuperset(range(i, j))}
                 ids += [doc] * len(left)
@@ -270,7 +276,7 @@ def aligned(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, gone = [], []
-            for doc, s1, s, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, s1, s, n in rows_of(b):
                 if found := blocks(patience(s1, s), n, least):
                     ids.append(doc)
                     gone.append(found)
@@ -280,13 +286,17 @@ def aligned(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
 
 
 def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, gone): the numbers, from 0, of the lines that each document loses."""
-    runs = cut(reduced(cut(line_table(docs)), least))
+    """(doc_id, th, gone): the numbers, from 0, of the lines that each document loses, and the hash of the text they were counted in."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    lines = scratch.keep(line_table(docs))
+    runs = scratch.keep(reduced(lines, least, scratch))
+    scratch.drop(lines)
     firsts = runs.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    reps = cut(runs.join(firsts, "doc_id", "left_semi"))
-    held = untested(reps, None, least)
-    several = held.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
-    held = cut(held.join(several, "w"))
+    reps = scratch.keep(runs.join(firsts, "doc_id", "left_semi"))
+    held = scratch.keep(untested(reps, None, least))
+    several = scratch.keep(held.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first"))
+    before, held = held, scratch.keep(held.join(several, "w"))
+    scratch.drop(before)
     left, found = held, None
     for spread in ROUNDS:
         left = left.where("first < doc_id")
@@ -298,50 +308,56 @@ def deletions(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 near = near.groupBy("w", F.pmod(F.xxhash64("next"), F.lit(spread))).agg(F.min("next").alias("next"))
             near = left.select("doc_id", "w").join(near.select("w", F.col("next").alias("first")), "w").where("first < doc_id")
         new = aligned(near.select("first", "doc_id").distinct(), reps, least)
-        found = new if found is None else found.unionByName(new)
-        found = cut(found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))  # bounded by the document's lines and partners
+        both = new if found is None else found.unionByName(new)
+        before, found = found, scratch.keep(both.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))  # bounded by the document's lines and partners
+        if before is not None:
+            scratch.drop(before)
         if not spread:
             break
-        left = cut(untested(reps, found, least).join(several, "w"))
+        left = scratch.keep(untested(reps, found, least).join(several, "w"))
         if left.where("first < doc_id").isEmpty():
             break
     # A document that is reduced to the same as an earlier one shares all its runs with it.
-    again = runs.join(firsts, "doc_id", "left_anti").select("doc_id", "s", "n", "at", F.lit(None).cast("array<int>").alias("gone"))
-    once = reps.join(found, "doc_id").select("doc_id", "s", "n", "at", "gone")
+    again = runs.join(firsts, "doc_id", "left_anti").select("doc_id", "th", "s", "n", "at", F.lit(None).cast("array<int>").alias("gone"))
+    once = reps.join(found, "doc_id").select("doc_id", "th", "s", "n", "at", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
-            for doc, s, n, at, gone in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids.append(doc)
+            for s, n, at, gone in rows_of(b.select(["s", "n", "at", "gone"])):
                 out.append([at[k] for k in (whole_runs(s, n, least) if gone is None else gone)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "th", "gone"])
 
-    return again.unionByName(once).mapInArrow(run, "doc_id long, gone array<int>")
+    out = scratch.keep(again.unionByName(once).mapInArrow(run, "doc_id long, th long, gone array<int>"))
+    scratch.drop(*(t for t, _ in list(scratch.paths.values()) if t is not out))
+    return out
 
 
 def without_lines(text, gone):
     """Expression: ``text`` without the lines whose numbers are in ``gone`` (null: none)."""
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
-    return F.when(gone.isNull(), text).otherwise(left)
+    lines = F.split(text, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
 
 
 def deduplicated(df: DataFrame, least: int = MIN_WORDS, text: str = "text") -> DataFrame:
     """``df`` with the deleted lines gone from ``text``, and ``n_chars``, if it is there, counted anew."""
     docs = keyed(df, "doc_id", text).withColumnRenamed(text, "text")
-    gone = deletions(docs, least).withColumnsRenamed({"doc_id": "_id", "gone": "_gone"})
-    names = df.columns
-    out = df.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left").withColumn("_new", without_lines(F.col(text), F.col("_gone")))
-    new = {text: F.col("_new").alias(text)}
-    if "n_chars" in names:
-        new["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(df.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*(new.get(n, F.col(f"`{n}`")) for n in names))
+    doc, th, gone, new = fresh(df, "doc", "th", "gone", "new")
+    lost = deletions(docs, least).withColumnsRenamed({"doc_id": doc, "th": th, "gone": gone})
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col(text).cast("string")) == F.col(th))
+    out = df.join(lost, same, "left").withColumn(new, without_lines(F.col(text), F.col(gone)))
+    put = {text: F.col(new).alias(text)}
+    if "n_chars" in df.columns:
+        put["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(df.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*(put.get(n, F.col(f"`{n}`")) for n in df.columns))
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed and the SHA-256 of the lines left of every document."""
-    docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    out = docs.join(deletions(docs), "doc_id", "left")
+    """doc_id, n_lines, n_removed and the SHA-256 of the lines left of every row."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lost = deletions(keyed(docs)).withColumnsRenamed({"doc_id": "doc"})
+    out = docs.join(lost, (F.col("doc_id") == F.col("doc")) & (F.xxhash64("text") == F.col("th")), "left")
     left = without_lines(F.coalesce("text", F.lit("")), F.col("gone"))
     return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.encode(left, "UTF-8"), 256).alias("kept_sha256"))
 
