@@ -48,4 +48,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.op1_sql(),
+        "op4_substring_dedup": substring_dedup.op4_sql(),
+        "op8_minhash": near_dup.op8_sql(),
+        "op9_warc": warc.op9_sql(),
     }

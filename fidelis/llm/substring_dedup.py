@@ -18,15 +18,16 @@ in a document with a smaller doc_id.
    work grows with the text and not with text times shards.
 5. Occurrences whose phrase has a smaller doc_id cover words; what is left is put together from the whole text.
 
-Special input: a null or empty text has no words; a text with fewer than ``n`` words loses none; rows without a doc_id
-are left out; of rows that repeat a doc_id the smallest text counts; an empty table gives an empty result; texts of any
-length are taken whole; other columns are not looked at. Texts travel between stages compressed.
+Special input: a null or empty text has no words; a text with fewer than ``n`` words loses none. Every row has a row in
+the result: a row without a doc_id is neither earlier nor later than any other and loses nothing; rows that repeat a
+doc_id are judged each by its own text, and take nothing from each other. An empty table gives an empty result; texts of
+any length are taken whole; other columns are not looked at. Texts travel between stages compressed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -35,12 +36,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.store import keyed
-from fidelis.llm.text import Words, gram_hashes, mix, pieces, signed, split_words
+from fidelis.llm.store import Scratch
+from fidelis.llm.text import Words, gram_hashes, mix, pieces, signed
 
 WINDOW, ANCHOR = 13, 4
 #: Documents with an anchor up to which it is kept in one shard; for more, its pieces are dealt to several.
-PIECES = 20_000
+PIECES = 2000
 #: Parts of a shard whose automata are built one after the other.
 PARTS = 16
 
@@ -67,7 +68,7 @@ def runs(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def document_anchors(docs: DataFrame, n: int) -> DataFrame:
-    """(h, doc_id): the anchors of each document, those of neighbouring windows once."""
+    """(h, doc_id): the anchors of each document, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,20 +77,27 @@ def document_anchors(docs: DataFrame, n: int) -> DataFrame:
                 h, at = anchors_of(w, n)
                 row = w.row_of_word()[at]
                 first = runs(h, row)[:-1]
+                h, row = h[first], row[first]
+                order = np.lexsort((h, row))
+                first = order[runs(h[order], row[order])[:-1]]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h[first])), pa.array(ids[w.first + row[first]])], names=["h", "doc_id"])
 
     return docs.mapInArrow(run, "h long, doc_id long")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and z, the words joined by blanks, compressed."""
+    """doc_id, th (of the text) and z, the words joined by blanks, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=5)
+        z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(" ".join(split_words(t)).encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "z"])
+            out = []
+            for w in pieces(b.column(1)):
+                raw, at = w.joined()
+                out += [z.compress(raw[x:y]) for x, y in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["doc_id", "th", "z"])
 
-    return docs.mapInArrow(run, "doc_id long, z binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, z binary")
 
 
 def unpacked(z: list[bytes]) -> pa.Array:
@@ -98,21 +106,21 @@ def unpacked(z: list[bytes]) -> pa.Array:
 
 
 def passages(texts: DataFrame, known: DataFrame, n: int) -> DataFrame:
-    """(doc_id, start, passage, hot, shards): runs of words that lie in windows with a recurring anchor, compressed.
+    """(doc_id, th, start, passage, hot, shards): runs of words that lie in windows with a recurring anchor, compressed.
 
     ``hot`` has those of its anchors that need several shards, in order, and ``shards`` how many each.
     """
-    both = texts.join(known, "doc_id").select("doc_id", "z", "known", "hot")
+    both = texts.join(known, "doc_id").select("doc_id", "z", "known", "hot", "th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for b in batches:
-            all_ids, known = b.column(0).to_numpy(), b.column(2)
+            all_ids, all_th, known = b.column(0).to_numpy(), b.column(4).to_numpy(), b.column(2)
             size = known.value_lengths().to_numpy()
             salt = mix(np.arange(len(b), dtype=np.uint64))
             wanted = np.sort(known.flatten().to_numpy().view(np.uint64) ^ np.repeat(salt, size))  # anchors, told apart by document
             wide = [{x["h"]: x["shards"] for x in hot} for hot in b.column(3).to_pylist()]
-            ids, starts, texts, hots, shards = [], [], [], [], []
+            ids, th, starts, texts, hots, shards = [], [], [], [], [], []
             for w in pieces(unpacked(b.column(1).to_pylist())):
                 h, at = anchors_of(w, n)
                 row = w.row_of_word()[at]
@@ -127,12 +135,13 @@ def passages(texts: DataFrame, known: DataFrame, n: int) -> DataFrame:
                     hots.append(got)
                     shards.append([many[x] for x in got])
                 ids += all_ids[w.first + row[edge]].tolist()
+                th += all_th[w.first + row[edge]].tolist()
                 starts += (at[edge] - w.off[row[edge]]).tolist()
                 raw = w.data.tobytes()
                 texts += [c.compress(raw[x:y]) for x, y in zip(w.start[at[edge]].tolist(), w.end[at[last] + n - 1].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.binary()), pa.array(hots, pa.list_(pa.int64())), pa.array(shards, pa.list_(pa.int32()))], names=["doc_id", "start", "passage", "hot", "shards"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(th, pa.int64()), pa.array(starts, pa.int32()), pa.array(texts, pa.binary()), pa.array(hots, pa.list_(pa.int64())), pa.array(shards, pa.list_(pa.int32()))], names=["doc_id", "th", "start", "passage", "hot", "shards"])
 
-    return both.mapInArrow(run, "doc_id long, start int, passage binary, hot array<long>, shards array<int>")
+    return both.mapInArrow(run, "doc_id long, th long, start int, passage binary, hot array<long>, shards array<int>")
 
 
 def cut_at_anchors(distinct: DataFrame, n: int) -> DataFrame:
@@ -156,18 +165,30 @@ def cut_at_anchors(distinct: DataFrame, n: int) -> DataFrame:
 
 
 def windows_of(segments: DataFrame, n: int) -> DataFrame:
-    """(h, phrase, low, high, shards): each window of each piece with the smallest and largest doc_id of its passage."""
+    """(h, phrase, low, high, shards): the windows of all pieces with the smallest and largest doc_id of their passages, each about once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, str], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(h, phrase, *ends) for (h, phrase), ends in found.items()]
+            found.clear()
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+            columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "phrase", "low", "high", "shards"])
+
         for b in batches:
-            at, texts = [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
+            for h, text, low, high, shards in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = text.split(" ")
                 for k in range(len(words) - n + 1):
-                    at.append(i)
-                    texts.append(" ".join(words[k : k + n]))
-            got = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(texts, pa.string()), got.column(2), got.column(3), got.column(4)], names=["h", "phrase", "low", "high", "shards"])
+                    key = h, " ".join(words[k : k + n])
+                    if ends := found.get(key):
+                        ends[:2] = min(low, ends[0]), max(high, ends[1])
+                    else:
+                        found[key] = [low, high, shards]
+            if len(found) >= 50_000:
+                yield out()
+        yield out()
 
     return segments.select("h", "piece", "low", "high", "shards").mapInArrow(run, "h long, phrase string, low long, high long, shards int")
 
@@ -188,7 +209,7 @@ class Automaton:
     def add(self, phrase: tuple[int, ...], first: int) -> None:
         self.tree.add_word(phrase, first)
 
-    def confirm(self, rows: list[tuple[tuple[int, ...], int, bool]]) -> None:
+    def confirm(self, rows: Iterable[tuple[tuple[int, ...], int, bool]]) -> None:
         """Adds the windows of ``rows`` (piece, smallest doc_id, whether there are more) that two documents at least have."""
         n = self.n
         low: dict[tuple[int, ...], int] = {}
@@ -204,14 +225,21 @@ class Automaton:
         for w in several:
             self.tree.add_word(w, low[w])
 
-    def occurrences(self, piece: tuple[int, ...]) -> list[tuple[int, int]]:
-        """(place of its first word, smallest doc_id) of each phrase in ``piece``."""
+    def occurrences(self, piece: tuple[int, ...]) -> list[tuple[int, int, int]]:
+        """Runs (place of the first phrase's first word, number of phrases, smallest doc_id) of the phrases in ``piece``."""
         if not len(self.tree):
             return []
         if not self.made:
             self.tree.make_automaton()
             self.made = True
-        return [(end - self.n + 1, first) for end, first in self.tree.iter(piece)]
+        out: list[tuple[int, int, int]] = []
+        for end, first in self.tree.iter(piece):
+            at = end - self.n + 1
+            if out and first == out[-1][2] and at == out[-1][0] + out[-1][1]:
+                out[-1] = (out[-1][0], out[-1][1] + 1, first)
+            else:
+                out.append((at, 1, first))
+        return out
 
 
 def located(segments: DataFrame, n: int) -> DataFrame:
@@ -227,26 +255,24 @@ def located(segments: DataFrame, n: int) -> DataFrame:
     rows = rows.repartition("to").withColumn("part", F.pmod("to", F.lit(PARTS))).sortWithinPartitions("part", "kind").select("part", "kind", "words", "low", "shared", "pid", "off")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, automaton, waiting = None, Automaton(n), []
+        part, automaton = None, Automaton(n)
+        # Pieces of one part whose phrases aren't confirmed yet: words, smallest doc_id, whether several documents have them, and where they stand.
+        waiting: dict[str, list] = {}
+        seen: dict[str, list[tuple[int, int, int]]] = {}
         found: tuple[list, ...] = ([], [], [], [])
 
-        def locate(piece: tuple[int, ...], pid: int, off: int) -> None:
-            if got := automaton.occurrences(piece):
-                offs, counts, firsts = [], [], []
-                for at, first in got:
-                    if offs and first == firsts[-1] and off + at == offs[-1] + counts[-1]:
-                        counts[-1] += 1
-                    else:
-                        offs.append(off + at)
-                        counts.append(1)
-                        firsts.append(first)
-                for x, y in zip(found, (pid, offs, counts, firsts), strict=True):
+        def locate(runs: list[tuple[int, int, int]], pid: int, off: int) -> None:
+            if runs:
+                offs, counts, firsts = zip(*runs, strict=True)
+                for x, y in zip(found, (pid, [off + at for at in offs], counts, firsts), strict=True):
                     x.append(y)
 
         def confirmed() -> None:
-            automaton.confirm([(piece, low, shared) for piece, low, shared, _, _ in waiting])
-            for piece, _, _, pid, off in waiting:
-                locate(piece, pid, off)
+            automaton.confirm((piece, low, shared) for piece, low, shared, _ in waiting.values())
+            for piece, _, _, places in waiting.values():
+                runs = automaton.occurrences(piece)
+                for pid, off in places:
+                    locate(runs, pid, off)
             waiting.clear()
 
         def out() -> pa.RecordBatch:
@@ -261,15 +287,22 @@ def located(segments: DataFrame, n: int) -> DataFrame:
                 if now != part:
                     confirmed()
                     part, automaton = now, Automaton(n)
-                piece = automaton.numbers(words)
+                    seen.clear()
                 if kind == 0:
-                    automaton.add(piece, low)
+                    automaton.add(automaton.numbers(words), low)
                 elif kind == 1:
-                    waiting.append((piece, low, shared, pid, off))
+                    if (held := waiting.get(words)) is None:
+                        waiting[words] = [automaton.numbers(words), low, shared, [(pid, off)]]
+                    else:
+                        held[2] = held[2] or shared or low != held[1]
+                        held[1] = min(low, held[1])
+                        held[3].append((pid, off))
                 else:
                     if waiting:
                         confirmed()
-                    locate(piece, pid, off)
+                    if words not in seen:
+                        seen[words] = automaton.occurrences(automaton.numbers(words))
+                    locate(seen[words], pid, off)
             yield out()
         confirmed()
         yield out()
@@ -277,19 +310,24 @@ def located(segments: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "pid long, offs array<int>, counts array<int>, firsts array<long>")
 
 
-def covered(docs: DataFrame, texts: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(doc_id, places): for each document that loses words, the runs (at, n) of its windows that an earlier document has."""
-    anchors = document_anchors(docs, n)
-    recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("h", F.ceil(F.col("n") / PIECES).cast("int").alias("shards"))
+def covered(docs: DataFrame, texts: DataFrame, scratch: Scratch, n: int = WINDOW) -> DataFrame:
+    """(doc_id, own): for each doc_id whose rows lose words, by text (th) the runs (at, n) of windows that an earlier document has; a kept table."""
+    anchors = scratch.keep(document_anchors(docs, n))
+    recurring = scratch.keep(anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("h", F.ceil(F.col("n") / PIECES).cast("int").alias("shards")))
     wide = F.when(F.col("shards") > 1, F.struct("h", "shards"))
     known = anchors.join(recurring, "h").groupBy("doc_id").agg(F.collect_list("h").alias("known"), F.collect_list(wide).alias("hot"))  # bounded by the document
-    found = passages(texts, known, n).withColumn("pid", F.xxhash64("passage"))
+    found = scratch.keep(passages(texts, known, n).withColumn("pid", F.xxhash64("passage")))
+    scratch.drop(anchors, recurring)
     # Passages with equal words are one, named by a 64-bit hash of their words.
-    distinct = found.groupBy("pid", "passage").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("hot").alias("hot"), F.first("shards").alias("shards"))
-    hits = located(cut_at_anchors(distinct, n), n).groupBy("pid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("offs", "counts", "firsts")))  # bounded by the passage
+    distinct = found.groupBy("pid").agg(F.first("passage").alias("passage"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.first("hot").alias("hot"), F.first("shards").alias("shards"))
+    segments = scratch.keep(cut_at_anchors(distinct, n))
+    hits = scratch.keep(located(segments, n).groupBy("pid").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("offs", "counts", "firsts"))))  # bounded by the passage
     hit = F.arrays_zip("offs", "counts", "firsts")
     earlier = F.transform(F.filter(hit, lambda x: x["firsts"] < F.col("doc_id")), lambda x: F.struct((x["offs"] + F.col("start")).alias("at"), x["counts"].alias("n")))
-    return found.select("doc_id", "start", "pid").join(hits, "pid").select("doc_id", earlier.alias("places")).where(F.size("places") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))  # bounded by the document
+    places = found.select("doc_id", "th", "start", "pid").join(hits, "pid").select("doc_id", "th", earlier.alias("places")).where(F.size("places") > 0)
+    out = scratch.keep(places.groupBy("doc_id").agg(F.collect_list(F.struct("th", "places")).alias("own")))  # bounded by the document
+    scratch.drop(found, segments, hits)
+    return out
 
 
 def kept_words(words: list[str], places: list[dict], n: int) -> list[str]:
@@ -303,24 +341,29 @@ def kept_words(words: list[str], places: list[dict], n: int) -> list[str]:
 
 
 def deduplicated(df: DataFrame, n: int = WINDOW, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by blanks) of every document."""
-    docs = keyed(df)
-    z = packed(docs).where("doc_id IS NOT NULL")  # as the inner join inside asks for, so that both joins share one shuffle
-    both = z.join(covered(docs, z, n), "doc_id", "left").select("doc_id", "z", "places")
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by blanks) of every row."""
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = docs.where("doc_id IS NOT NULL")
+    z = packed(named).where("doc_id IS NOT NULL")  # as the inner join inside asks for, so that both joins share one shuffle
+    lone = packed(docs.where("doc_id IS NULL"))
+    both = z.join(covered(named, z, Scratch(df.sparkSession, "substrings"), n), "doc_id", "left").select("doc_id", "th", "z", "own")
+    both = both.union(lone.withColumn("own", F.lit(None).cast(both.schema["own"].dataType)))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, gone, shas, kept = [], [], [], []
-            for text, places in zip(unpacked(b.column(1).to_pylist()).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = text.split(" ") if text else []
-                left = kept_words(words, places, n) if places else words
+            for th, raw, own in zip(b.column(1).to_pylist(), unpacked(b.column(2).to_pylist()).to_pylist(), b.column(3).to_pylist(), strict=True):
+                places = [p for x in own or () if x["th"] == th for p in x["places"]]
+                total, lost = raw.count(" ") + 1 if raw else 0, 0
                 if places:
-                    text = " ".join(left)
-                counts.append(len(words))
-                gone.append(len(words) - len(left))
-                shas.append(hashlib.sha256(text.encode()).hexdigest())
-                kept.append(text)
+                    left = kept_words(raw.split(" "), places, n)
+                    lost = total - len(left)
+                    raw = " ".join(left)
+                counts.append(total)
+                gone.append(lost)
+                shas.append(hashlib.sha256(raw.encode()).hexdigest())
+                kept.append(raw)
             out = [b.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.string())] * texts, names=names)
 
@@ -329,3 +372,17 @@ def deduplicated(df: DataFrame, n: int = WINDOW, texts: bool = False) -> DataFra
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def op4_sql(n: int = WINDOW) -> str:
+    """DuckDB text of the query: windows as lists of words, and the smallest doc_id that has each."""
+    return f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, k, md5(array_to_string(w[k + 1 : k + {n}], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - {n - 1})) AS k FROM d WHERE len(w) >= {n})
+), first AS (SELECT g, min(doc_id) AS low FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT g.doc_id, list(DISTINCT g.k + j.j) AS gone FROM g JOIN first USING (g), (SELECT unnest(range(1, {n + 1})) AS j) j WHERE first.low < g.doc_id GROUP BY g.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)"""

@@ -242,3 +242,17 @@ def round_trip(pages: DataFrame, folder: str | None = None, key: str = "page_id"
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return round_trip(pages)
+
+
+def op9_sql() -> str:
+    """DuckDB text of the query; base 32 is put together from every five hexadecimal digits, which are four of its characters."""
+    letter = lambda shift: f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> {shift}) & 31)::INT, 1)"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (
+  SELECT page_id, strlen(body) AS payload_bytes, max(page_id) OVER (PARTITION BY body) AS top,
+    list_transform(list_transform(range(0, 8), lambda k: CAST('0x' || substr(sha1(body), (1 + 5 * k)::INT, 5) AS BIGINT)), lambda v: {" || ".join(letter(x) for x in (15, 10, 5, 0))}) AS parts
+  FROM p
+)
+SELECT page_id, payload_bytes, array_to_string(parts, '') AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d"""
