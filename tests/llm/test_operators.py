@@ -590,17 +590,95 @@ def test_scores(spark):
     assert len(got) == len(texts) and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_class_probabilities_sum_to_one():
+def _plain_scores(model, texts):
+    """log10 of each text's probability, token by token, with softmaxes over plain lists."""
     import numpy as np
 
-    k = lm_scoring.CLASSES
-    t = np.array([0, 1, k + 1, 5 * k + 2])
-    m = lm_scoring.train(t, np.array([5.0, 1.0, 2.0, 3.0]))
-    assert np.allclose((10.0 ** m.astype(float)).sum(axis=2), 1, atol=1e-4)
-    assert np.allclose((10.0 ** lm_scoring.train(t[:0], t[:0].astype(float)).astype(float)).sum(axis=2), 1, atol=1e-4)
+    from fidelis.llm.text import hashes_of
+
+    n = model.counts
+    rank = dict(zip(n.frequent.tolist(), n.rank.tolist(), strict=True))
+    count = dict(zip(n.frequent.tolist(), n.counts.tolist(), strict=True))
+    own = sum(c for h, c in count.items() if rank[h] < n.own)
+    out = {}
+    for i, t in texts.items():
+        words = split_words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        tokens = [*hashes_of(words).view(np.int64).tolist(), lm_scoring.END]
+        ids = [min(rank.get(h, n.own), n.own) for h in tokens]
+        total, one, two = 0.0, n.own + 1, n.own + 1
+        for h, k in zip(tokens, ids):
+            hat = model.context[one].astype(float) @ model.last + model.context[two].astype(float) @ model.second
+            soft = lambda table, at: float(table[at, :-1] @ hat + table[at, -1] - np.log(np.exp(table[:, :-1] @ hat + table[:, -1]).sum()))  # noqa: B023, E731
+            kind = n.classes if k == n.own else k // n.width
+            p = soft(model.kind, kind)
+            if k < n.own:
+                p += soft(model.word[kind * n.width : (kind + 1) * n.width], k - kind * n.width)
+            total += p / math.log(10)
+            if k == n.own:
+                total += math.log10(count.get(h, 0) + 0.1) - math.log10(n.total - own + 0.1 * (n.distinct - n.own + 1))
+            one, two = k, one
+        out[i] = total
+    return out
+
+
+def test_scores_token_by_token(spark, data, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CONTEXTS", 50)
+    d = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 60").select("doc_id", "text")
+    counts = lm_scoring.collected(lm_scoring.token_counts(d.where(lm_scoring.fold() != 0)))
+    model = lm_scoring.first_model(d.where(lm_scoring.fold() != 0), counts)  # alike each time
+    assert counts.own < counts.distinct and counts.classes > 5
+    want = _plain_scores(model, {r["doc_id"]: r["text"] for r in d.collect()})
+    for r in lm_scoring.scored(d).collect():
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-3 * max(1, abs(want[r["doc_id"]]))
+
+
+def test_probabilities_sum_to_one():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    c = np.sort(rng.integers(1, 500, 90))[::-1]
+    order = rng.permutation(90)
+    counts = lm_scoring.Counts(int(c.sum()) + 40, 120, np.arange(90) * 7, c[order], order, 70)
+    model = lm_scoring.Model(counts)
+    lm_scoring.Trainer(model, 0.1, 1).examples(*(rng.integers(0, k, 5000) for k in (72, 72, 71)))
+    for one, two in ((0, 1), (70, 71), (71, 71)):
+        p = model.log_probabilities(np.full(71, one), np.full(71, two), np.arange(71))
+        assert abs((10.0 ** p.astype(float)).sum() - 1) < 1e-4
+    empty = lm_scoring.Model(lm_scoring.Counts(0, 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0))
+    assert empty.log_probabilities(np.zeros(1, int), np.ones(1, int), np.zeros(1, int)).tolist() == [0.0]
+
+
+def test_model_learns_what_follows_what():
+    """After training, words that always follow their context are far likelier than by their counts."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    counts = lm_scoring.Counts(30_000, 31, np.arange(30), np.full(30, 1000), np.arange(30), 30)
+    model = lm_scoring.Model(counts)
+    one = rng.integers(0, 30, 40_000)
+    lm_scoring.Trainer(model, 0.1, 1).examples(one, rng.integers(0, 30, 40_000), (one * 7 + 3) % 30)
+    k = np.arange(30)
+    assert model.log_probabilities(k, k[::-1], (k * 7 + 3) % 30).mean() > math.log10(1 / 30) + 0.8
+
+
+def test_training_goes_on_in_tasks(spark, monkeypatch):
+    """Copies that tasks trained are averaged, and held-out texts become likelier than after the first model alone."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = lambda: lm_scoring.scored(d).where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
+    monkeypatch.setattr(lm_scoring, "FIRST", 20_000)
+    monkeypatch.setattr(lm_scoring, "ROWS", 100)
+    monkeypatch.setattr(lm_scoring, "EVERY", 1)
+    after = held()
+    monkeypatch.setattr(lm_scoring, "trained", lambda learn, model, scratch: None)
+    before = held()
+    assert after[0] > before[0] and after[0] > after[1]
 
 
 def test_scores_special(spark):
-    r = {x["doc_id"]: x for x in lm_scoring.scored(special(spark)).collect()}
-    assert len(r) == 9 and r[1]["n_tokens"] == r[2]["n_tokens"] == 1 and all(math.isfinite(x["score"]) for x in r.values())
+    rows = lm_scoring.scored(special(spark)).collect()
+    r = {x["doc_id"]: x for x in rows}
+    assert len(rows) == 11 and r[1]["n_tokens"] == r[2]["n_tokens"] == 1 and all(math.isfinite(x["score"]) for x in rows)
+    assert r[None]["held_out"] and sorted(x["n_tokens"] for x in rows if x["doc_id"] == 4) == [2, 4]
     assert lm_scoring.scored(docs(spark, [])).count() == 0
+    twice = {(x["n_known"], x["base_score"], x["score"]) for x in lm_scoring.scored(docs(spark, [(10, "only here only"), (10, "only here only")])).collect()}
+    assert len(twice) == 1
