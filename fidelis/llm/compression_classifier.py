@@ -2,9 +2,8 @@
 
 Two zstandard dictionaries are built from labelled good and bad texts. A text is cut at blanks of bytes into blocks of
 ``BLOCK`` bytes (so that the dictionary, not the text's own past, does the work in long texts too), every block is
-compressed with either dictionary, and the difference of the two sums over the smaller of them is the raw score. With
-the mean compressed share of the text (repetition compresses well after anything) it is turned into a probability by a
-logistic curve that is fitted on labelled texts which made no dictionary.
+compressed with either dictionary, and the difference of the two sums over the text's own bytes is the raw score. It
+alone is turned into a probability, by a logistic curve that is fitted on labelled texts which made no dictionary.
 
 Fitting reads at most ``SAMPLE`` labelled rows of each class for the dictionaries and as many for the curve: those with
 the smallest ``xxhash64(doc_id)``, so the choice doesn't depend on partitions. Scoring is one narrow pass over whole
@@ -30,7 +29,9 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that make the dictionaries, and as many that make the curve.
 SAMPLE = 800
-DICTIONARY, BLOCK, LEVEL = 112 * 1024, 2048, 3
+DICTIONARY, BLOCK, LEVEL = 112 * 1024, 512, 3
+#: Differences are a few hundredths; the fit's small ridge is meant for numbers about 1.
+SCALE = 10
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -63,20 +64,18 @@ class Pair:
             made.precompute_compress(level=LEVEL)
             self.of.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=made, write_content_size=False, write_dict_id=False))
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """Difference of the sizes over the smaller, and mean size over the text's."""
+    def difference(self, text: str | None) -> float:
+        """Bytes that the text takes more after the bad dictionary than after the good one, for each of its own."""
         cut = blocks(text or "")
-        if not cut:
-            return 0.0, 0.0
         good, bad = (sum([len(c.compress(b)) for b in cut]) for c in self.of)
-        return (bad - good) / min(good, bad), (good + bad) / (2 * sum(map(len, cut)))
+        return (bad - good) / max(1, sum(map(len, cut)))
 
 
 @dataclass(frozen=True)
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]  # of 1 and the terms of ``terms``
+    weights: tuple[float, ...]  # of 1 and the difference
     constant: float | None = None  # the score of all texts where nothing could be learnt
 
     def score(self, pair: Pair | None, text: str | None) -> float:
@@ -84,15 +83,10 @@ class Model:
             return 0.0
         if self.constant is not None:
             return self.constant
-        z = float(np.dot(self.weights, terms(*pair.features(text))))
+        z = self.weights[0] + self.weights[1] * SCALE * pair.difference(text)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
-def terms(difference: float, share: float) -> np.ndarray:
-    d, s = math.tanh(difference * 4), min(share, 1.0)
-    return np.array([1.0, d, s, s * s, d * s])
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 50) -> np.ndarray:
     """Weights of a logistic curve by Newton's method with a small ridge."""
     w = np.zeros(x.shape[1])
@@ -112,7 +106,7 @@ def train(good: list[str], bad: list[str], more_good: list[str], more_bad: list[
         return Model(b"", b"", (), share_good)
     made = dictionary(good), dictionary(bad)
     pair = Pair(*made)
-    x = np.array([terms(*pair.features(t)) for t in [*more_good, *more_bad]])
+    x = np.array([(1.0, SCALE * pair.difference(t)) for t in [*more_good, *more_bad]])
     y = np.r_[np.ones(len(more_good)), np.zeros(len(more_bad))]
     w = logistic(x, y)
     # The sample has the classes in its own proportion; the intercept goes back to that of the labels.

@@ -168,7 +168,7 @@ def licences(ids: list[str]) -> list[str]:
 
 def scanned(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, sentence_ids, licences (in order) of every row."""
-    source = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("_text"))
+    source = df.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias(f"{key}_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.llm.store import fresh
+
 # The white space between words and the symbols that are counted.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -51,36 +53,38 @@ RULES = (
 MIN_WORDS, MAX_REPEAT, WINDOW = 50, 50, 3
 
 
-def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with a struct column ``_m`` of all counts. Names that begin with ``_m`` are this function's own."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def measured(df: DataFrame, text: str = "text", name: str = "_m") -> DataFrame:
+    """``df`` with a struct column ``name`` of all counts; a column of that name is replaced."""
+    df = df.drop(name)
+    made = fresh(df, "t", "w", "l", "h", "s")
+    t_, w_, l_, h_, s_ = made
     stops = sorted({*STOP_WORDS, *(w[:1].upper() + w[1:] for w in STOP_WORDS)})
-    df = df.withColumn("_mt", t)
-    df = df.withColumn("_mw", F.array_remove(F.split("_mt", SPACE), "")).withColumn("_ml", F.filter(F.split("_mt", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    w = F.col("_mw")
-    df = df.withColumn("_mh", F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - WINDOW, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>")))
-    h = F.col("_mh")
+    df = df.withColumn(t_, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    df = df.withColumn(w_, F.array_remove(F.split(t_, SPACE), "")).withColumn(l_, F.filter(F.split(t_, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))))
+    w = F.col(w_)
+    df = df.withColumn(h_, F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - WINDOW, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>")))
+    h = F.col(h_)
     # Windows in the order of their hash, with their places; only where any hash repeats.
-    df = df.withColumn("_ms", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    s = F.col("_ms")
+    df = df.withColumn(s_, F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    s = F.col(s_)
     twice = F.filter(s, lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False)))
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(*(x["i"] + k for k in range(WINDOW)))))))
     counts = {
-        "n_words": F.size("_mw"),
-        "word_chars": F.length(F.array_join("_mw", "")),
-        "n_symbols": F.regexp_count("_mt", F.lit(SYMBOLS)),
-        "n_dup_lines": F.size("_ml") - F.size(F.array_distinct("_ml")),
+        "n_words": F.size(w_),
+        "word_chars": F.length(F.array_join(w_, "")),
+        "n_symbols": F.regexp_count(t_, F.lit(SYMBOLS)),
+        "n_dup_lines": F.size(l_) - F.size(F.array_distinct(l_)),
         "n_repeat_words": F.when(s.isNull(), F.lit(0)).otherwise(covered),
-        "n_lines": F.size("_ml"),
-        "n_chars": F.length("_mt"),
+        "n_lines": F.size(l_),
+        "n_chars": F.length(t_),
         "n_stop_words": F.size(F.filter(w, lambda x: x.isin(stops))),
-        "n_capitals": F.regexp_count("_mt", F.lit("[A-Z]")),
-        "n_exclamation": F.regexp_count("_mt", F.lit("!")),
+        "n_capitals": F.regexp_count(t_, F.lit("[A-Z]")),
+        "n_exclamation": F.regexp_count(t_, F.lit("!")),
     }
     # Made by a generator of one row, not by a projection: filters on the counts then stay above, where each is computed
     # once. Pushed down, they would hold every expression as often as they name it, also inside the loops over words.
     m = F.explode(F.array(F.struct(*(v.cast("long").alias(k) for k, v in counts.items()))))
-    return df.withColumn("_m", m).drop("_mt", "_mw", "_ml", "_mh", "_ms")
+    return df.withColumn(name, m).drop(*made)
 
 
 def base_failed(m: Column) -> Column:
@@ -99,7 +103,7 @@ def passes(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``df`` with ``_m`` (counts), ``base_failed``, ``kept`` and ``failed_rules`` (names, in the table's order)."""
+    """``df`` with ``_m`` (counts), ``base_failed``, ``kept`` and ``failed_rules`` (names, in the table's order); columns of these names are replaced."""
     m = F.col("_m")
     failed = F.array_compact(F.array(*(F.when(~passes(m, (r,)), F.lit(r.name)) for r in rules)))
     out = measured(df, text).withColumn("base_failed", base_failed(m)).withColumn("failed_rules", failed)
@@ -109,8 +113,9 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``df`` whose text passes, with the columns of ``df`` alone."""
     names = df.columns
-    m = F.col("_m")
-    return measured(df, text).where(~base_failed(m) & passes(m, rules)).select(*(F.col(f"`{n}`") for n in names))
+    (name,) = fresh(df, "m")
+    m = F.col(name)
+    return measured(df, text, name).where(~base_failed(m) & passes(m, rules)).select(*(F.col(f"`{n}`") for n in names))
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

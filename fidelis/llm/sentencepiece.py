@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fidelis.llm.store import fresh
+
 BLANK = "▁"
 #: Stands between words that are encoded together; no piece may hold it.
 BREAK = "\n"
@@ -280,7 +282,7 @@ def encoded(df: DataFrame, model_file: str, text: str = "text", ids: bool = Fals
     """
     new = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>")] * ids
     kept = [c for c in df.columns if c not in {n for n, _ in new} and not (drop_text and c == text)]
-    source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias("_encode"))
+    source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").cast("string").alias(*fresh(df, "encode")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table(model_file)

@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fidelis.llm.store import cut, keyed, new_folder
+from fidelis.llm.store import Scratch, drop_folder, keyed, new_folder
 
 MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 1000
 #: Revisits, or places of records, (two numbers each) up to which they are sent to all executors: at most 8 MB.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 50_000
+#: Payloads of over ``LARGE`` bytes go to files of their own, so many to a file that it stays under ``FILE`` bytes if one does.
+LARGE, FILE = 256 << 10, 256 << 20
 #: Bytes of a file that one task looks through for candidates; a header may reach over by HEADER.
 RANGE, HEADER = 8 << 20, 1 << 16
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -67,9 +69,10 @@ def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", min_
 
 def write(pages: DataFrame, path: str, key: str = "page_id", payload: str = "html", url: str = "url", min_bytes: int = 0) -> None:
     """Writes an archive of ``pages`` (key, payload and, if there is one, url) into the folder ``path``."""
+    scratch = Scratch(pages.sparkSession, "warc-write")
     own = keyed(pages, key, payload, (url,) if url in pages.columns else ())
     own = own.select(key, payload, (F.col(url) if url in pages.columns else F.lit(None).cast("string")).alias("_url"))
-    repeats = cut(revisits(own, key, payload, min_bytes))
+    table = repeats = scratch.keep(revisits(own, key, payload, min_bytes))
     if repeats.count() <= BROADCAST_ROWS:
         repeats = F.broadcast(repeats)
     body = F.coalesce(F.col(payload), F.lit(""))
@@ -86,7 +89,12 @@ def write(pages: DataFrame, path: str, key: str = "page_id", payload: str = "htm
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("_n")), F.lit(END),
     )
     record = F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("_body")))
-    d.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).mode("errorifexists").text(path)
+    most = own.agg(F.max(F.octet_length(payload))).first()[0] or 0
+    large = F.col("_n") > LARGE
+    parts = [(d.where(~large), RECORDS_PER_FILE), (d.where(large), max(1, min(RECORDS_PER_FILE, FILE // max(1, most))))]
+    for k, (rows, n) in enumerate(parts[: 1 + (most > LARGE)]):
+        rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", n).mode("append" if k else "errorifexists").text(path)
+    scratch.drop(table)
 
 
 _HEADER = re.compile(rb"WARC/1\.0\r\n((?:[^\r\n]+\r\n)+)\r\n")
@@ -118,8 +126,8 @@ def files_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
 
 
-def boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """path, offset and length of each true record of the archive in the folder ``path``."""
+def boundaries(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+    """path, offset and length of each true record of the archive in the folder ``path``; reads tables of ``scratch``."""
     ranges = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(RANGE).cast("long")))
     cuts = files_of(spark, path).select("path", "length", "content", ranges.alias("base"))
     cuts = cuts.select("path", "length", "base", F.substring("content", F.col("base").cast("int") + 1, F.lit(RANGE + HEADER)).alias("raw"))
@@ -133,19 +141,19 @@ def boundaries(spark: SparkSession, path: str) -> DataFrame:
                 rows += [(p, size, at, after, far[at]) for at, after in steps]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _EMITTED, strict=True)], names=["path", "size", "offset", "after", "far"])
 
-    found = cut(cuts.mapInArrow(emit, "path string, size long, offset long, after long, far long"))
+    found = scratch.keep(cuts.mapInArrow(emit, "path string, size long, offset long, after long, far long"))
     # Chains between ranges: (path, offset) -> far. Reached so far: places a chain from 0 leads to.
     jump = found.select("path", "offset", "far")
     reached = found.where("offset = 0").select("path", "offset")
     n = reached.count()
     while True:
         more = reached.join(jump, ["path", "offset"]).select("path", F.col("far").alias("offset"))
-        reached = cut(reached.union(more).distinct())
+        reached = scratch.keep(reached.union(more).distinct())
         if (now := reached.count()) == n:
             break
         n = now
         ahead = jump.select("path", F.col("offset").alias("far"), F.col("far").alias("farther"))
-        jump = cut(jump.join(ahead, ["path", "far"], "left").select("path", "offset", F.coalesce("farther", "far").alias("far")))
+        jump = scratch.keep(jump.join(ahead, ["path", "far"], "left").select("path", "offset", F.coalesce("farther", "far").alias("far")))
     whole = files_of(spark, path).select("path", "length")
     broken = whole.join(reached, (whole["path"] == reached["path"]) & (whole["length"] == reached["offset"]), "left_anti").limit(1).collect()
     if broken:
@@ -184,7 +192,9 @@ RECORD = T.StructType().add("record_id", "string").add("record_type", "string").
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of an archive: ids, type, what it refers to, the digest and length its header states, and the payload."""
-    found = cut(boundaries(spark, path))
+    scratch = Scratch(spark, "warc-read")
+    found = scratch.keep(boundaries(spark, path, scratch))
+    scratch.drop(*(t for t, _ in list(scratch.paths.values()) if t is not found))
     places = found.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))  # bounded by the file
     if found.count() <= BROADCAST_ROWS:
         places = F.broadcast(places)
@@ -225,18 +235,23 @@ def round_trip(pages: DataFrame, folder: str | None = None, key: str = "page_id"
     A response's digest and length are taken from the payload that was read; a revisit's from its header.
     """
     spark = pages.sparkSession
+    own = folder is None
     folder = folder or new_folder(spark, "warc")
     write(pages, folder, key, payload, url, min_bytes)
     got = read(spark, folder)
     number = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1).cast("long")
     response = F.col("record_type") == "response"
-    return got.select(
+    out = got.select(
         number("record_id").alias(key),
         F.when(response, F.length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
         F.when(response, base32_sha1(F.col("payload"))).otherwise(F.col("digest")).alias("payload_digest"),
         "record_type",
         F.when(~response, number("refers_to")).alias("refers_to"),
     )
+    if own:  # nobody else reads the archive
+        out = Scratch(spark, "warc-out").keep(out)
+        drop_folder(spark, folder)
+    return out
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:

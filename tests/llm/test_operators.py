@@ -49,6 +49,31 @@ def corpus():
     return out
 
 
+INNER = "t w l h s m _m _mt _mw _ml encode _encode items windows _items _windows doc th gone new _id _gone _new node sig n c key band low root set at k z own places known hot place row rows top".split()
+
+
+def test_columns_with_the_names_that_operators_use_inside(spark):
+    """All of them at once, in capitals too; the texts alone decide, and columns that are passed on keep their values."""
+    names = [n.upper() if i % 2 else n for i, n in enumerate(INNER)]
+    texts = [(1, PROSE * 4), (2, PROSE * 4), (3, "one line of five words\nand one more line of many"), (4, "one line of five words\nand one more line of many\nown")]
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in texts]
+    d = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    bench = spark.createDataFrame([(1, "one line of five words and one more line of many")], "item_id long, text string")
+    for made in (quality_rules.keep_good(d), decontamination.clean(d, bench), line_dedup.deduplicated(d), near_dup.representatives(d, 2, 80)):
+        assert made.columns == d.columns
+        for r in made.collect():
+            assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+    import public_tokenizers
+
+    tokens = sentencepiece.encoded(d, public_tokenizers.path("piece_bpe_32k.model"))
+    assert tokens.columns[1 : 1 + len(names)] == names and tokens.count() == 4
+    assert {r["doc_id"] for r in near_dup.representatives(d, 2, 80).collect()} == {1, 3, 4} - ({4} if near_dup.components(d, 2, 80).where("doc_id = 4 AND component_id = 3").count() else set())
+    assert {r["doc_id"] for r in decontamination.clean(d, bench).collect()} == {1, 2}
+    plain = d.select("doc_id", "text")
+    for f in (near_dup.components, substring_dedup.deduplicated, lm_scoring.scored, license_scan.scanned, lambda x: compression_classifier.scored(x, compression_classifier.Model(b"", b"", (), 0.5)), lambda x: quality_rules.judge(x).select("doc_id", "kept", "failed_rules"), lambda x: warc.round_trip(x, key="doc_id", payload="text")):
+        assert sorted(map(repr, f(d).collect())) == sorted(map(repr, f(plain).collect()))
+
+
 # --- 1
 
 
@@ -565,6 +590,18 @@ def test_archive_sql(spark, data):
     _same_as_sql(spark, data, warc.op9_warc, warc.op9_sql())
 
 
+def test_large_payloads_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE", 1000)
+    monkeypatch.setattr(warc, "FILE", 4500)
+    rows = [(i, str(i) * (2000 if i % 3 == 0 else 10)) for i in range(1, 31)]
+    got = {r["page_id"]: r["payload_bytes"] for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, html string").coalesce(1), f"file://{tmp_path}/a").collect()}
+    assert got == {i: len(t) for i, t in rows}
+    import os
+
+    sizes = [os.path.getsize(tmp_path / "a" / n) for n in os.listdir(tmp_path / "a") if n.startswith("part-")]
+    assert max(sizes) < 2 * 4500 + 20 * 500 and len(sizes) >= 6
+
+
 def test_broken_archive(spark, tmp_path):
     (tmp_path / "part-0").write_bytes(b"WARC/1.0\r\nContent-Length: 5\r\n\r\nabc")
     with pytest.raises(warc.BrokenArchive):
