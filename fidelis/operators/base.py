@@ -87,7 +87,7 @@ def profile(rec: Recording) -> DataFrame:
         .agg(
             F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("d").alias("n_iv"), F.count(step).alias("n_pos"),
             F.percentile(step, 0.5).alias("median"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC)").alias("upper"),
-            F.avg(step).alias("mean"), F.stddev_pop(step).alias("std"), F.sum(F.xxhash64("k", "ts") % (2**31)).alias("fp"), F.count("content_hash").alias("n_hashed"),
+            F.avg(step).alias("mean"), F.stddev_pop(step).alias("std"), F.bit_xor(F.xxhash64("k", "ts")).alias("fp"), F.count("content_hash").alias("n_hashed"),
         )
     )
     s = rec.streams.select("ep_ord", "st_ord", "name", "modality", "declared_rate_hz", "clock_id", "clock_kind").join(rec.episodes.select("ep_ord", "episode"), "ep_ord")
@@ -116,7 +116,7 @@ def profiled(rec: Recording):
 
 def representatives(p: DataFrame) -> DataFrame:
     """Streams of ``profile`` that speak for all with their timeline: the first name; ``twins`` counts the others."""
-    w = Window.partitionBy("ep_ord", "fp", "n")
+    w = Window.partitionBy("ep_ord", "fp", "n", "lo", "hi")
     return p.withColumn("twins", F.count("*").over(w) - 1).withColumn("_first", F.min("name").over(w)).where(F.col("name") == F.col("_first")).drop("_first")
 
 

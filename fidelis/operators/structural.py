@@ -9,6 +9,8 @@ from fidelis.operators.base import Check, found, minus, once, profile, recorded
 
 STUCK_RUN = 5
 LISTED = 8
+#: Episode numbers that are looked at together.
+BUCKET = 4096
 
 
 def _lengths(rec):
@@ -40,14 +42,19 @@ def degenerate_episode(rec, tol):
 
 
 def missing_indices(df, index: str):
-    """One row of a column of distinct indices: lo, hi, missing (how many), listed (the first few), by gaps alone."""
-    w = Window.orderBy(index)
-    d = df.select(F.col(index).cast("decimal(20,0)").alias("i")).distinct()
-    ends = d.agg(F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"))
-    # Gaps between neighbours: ranges are sorted locally, and a gap over the border of two is found by the shifted join.
-    nxt = d.select("i").withColumn("after", F.lead("i").over(w.orderBy("i"))).where("after - i > 1")
-    some = nxt.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.col("after") - F.col("i") - 1, F.lit(LISTED)).cast("int")), lambda k: (F.col("i") + k).cast("decimal(20,0)"))).alias("m")).orderBy("m").limit(LISTED)
+    """One row of a column of distinct indices: lo, hi, missing (how many), listed (the first few), by gaps alone.
+
+    Indices are sorted inside buckets of ``BUCKET``; a gap between two buckets shows at the ends of both, so only a row
+    for each bucket is ever sorted as a whole.
+    """
+    d = df.select(F.col(index).cast("decimal(20,0)").alias("i")).distinct().withColumn("b", F.floor(F.col("i") / BUCKET))
+    inside = d.select("i", F.lead("i").over(Window.partitionBy("b").orderBy("i")).alias("after"))
+    buckets = d.groupBy("b").agg(F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi"))
+    between = buckets.select(F.col("hi").alias("i"), F.lead("lo").over(Window.orderBy("b")).alias("after"))
+    gap = F.col("after") - F.col("i") - 1
+    some = inside.union(between).where(gap > 0).select(F.explode(F.transform(F.sequence(F.lit(1), F.least(gap, F.lit(LISTED)).cast("int")), lambda k: (F.col("i") + k).cast("decimal(20,0)"))).alias("m")).orderBy("m").limit(LISTED)
     listed = some.agg(F.array_sort(F.collect_list("m")).alias("listed"))
+    ends = buckets.agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return ends.withColumn("missing", F.col("hi") - F.col("lo") - (F.col("n") - 1)).crossJoin(F.broadcast(listed))
 
 
@@ -81,13 +88,22 @@ def shape_consistency(rec, tol):
 
 
 def stream_presence(rec, tol):
-    """Names that some episodes lack: for each name, the episodes with streams less its own, by an anti join."""
-    have = rec.streams.join(rec.episodes.select("ep_ord", "episode"), "ep_ord").select("episode", "name").distinct()
-    eps = have.select("episode").distinct()
-    total = eps.agg(F.count("*").alias("total"))
+    """Names that some episodes lack; how many is a difference of counts, and the first is found by buckets of episodes.
+
+    A name's full buckets (it has as many episodes there as there are) are numbered; the first whose number is not its
+    place in the row of all buckets tells the first bucket that isn't full, and only that one's episodes are looked at.
+    """
+    bucket = F.floor(F.col("episode") / BUCKET).alias("b")
+    have = rec.streams.join(rec.episodes.select("ep_ord", "episode"), "ep_ord").select("episode", "name", bucket).distinct()
+    eps = have.select("episode", "b").distinct()
+    buckets = eps.groupBy("b").agg(F.count("*").alias("t")).withColumn("j", F.row_number().over(Window.orderBy("b")) - 1)
+    total = buckets.agg(F.sum("t").alias("total"))
     names = have.groupBy("name").agg(F.count("*").alias("k")).crossJoin(F.broadcast(total)).where("total >= 2 AND k < total")
-    lack = names.crossJoin(eps).join(have, ["name", "episode"], "left_anti").groupBy("name", "total", "k").agg(F.min("episode").alias("first"), F.count("*").alias("missing"))
-    return found(lack, "STREAM_PRESENCE_INCONSISTENT", "warning", "stream", None, "name", nums=["k", "total", "first", "missing"])
+    full = have.groupBy("name", "b").agg(F.count("*").alias("c")).join(buckets, "b").where("c = t").withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("j")) - 1)
+    first = full.groupBy("name").agg(F.coalesce(F.min(F.when(F.col("r") != F.col("j"), F.col("r"))), F.count("*")).alias("j"))
+    short = names.join(first, "name", "left").withColumn("j", F.coalesce("j", F.lit(0))).join(buckets.select("b", "j"), "j")
+    lack = short.join(eps, "b").join(have.select("name", "episode"), ["name", "episode"], "left_anti").groupBy("name", "total", "k").agg(F.min("episode").alias("first"))
+    return found(lack, "STREAM_PRESENCE_INCONSISTENT", "warning", "stream", None, "name", nums=["k", "total", "first", F.col("total") - F.col("k")])
 
 
 def content_measurability(rec, tol):
@@ -102,7 +118,7 @@ def duplicate_episode(rec, tol):
     p = profile(rec).where("n > 0")
     full = rec.streams.select("ep_ord").distinct().join(profile(rec).where("n = 0 OR n_hashed < n").select("ep_ord"), "ep_ord", "left_anti")
     k = rec.frames.withColumn("k", F.row_number().over(recorded()))
-    part = lambda seed: F.sum(F.xxhash64("k", "ts", "content_hash", F.lit(seed)) % (2**31)).alias(f"h{seed}")
+    part = lambda seed: F.bit_xor(F.xxhash64("k", "ts", "content_hash", F.lit(seed))).alias(f"h{seed}")  # noqa: E731  every k is another one
     content = k.join(full, "ep_ord", "left_semi").groupBy("ep_ord", "st_ord").agg(part(1), part(2))
     s = p.select("ep_ord", "st_ord", "name", "modality", "declared_rate_hz", "clock_id", "n").join(content, ["ep_ord", "st_ord"]).join(rec.streams.select("ep_ord", "st_ord", "dtype", "shape", "stats"), ["ep_ord", "st_ord"])
     one = F.to_json(F.struct("name", "modality", "declared_rate_hz", "clock_id", "dtype", "shape", "stats", "n", "h1", "h2"))
@@ -110,7 +126,7 @@ def duplicate_episode(rec, tol):
     lab = rec.labels.groupBy("ep_ord").agg(F.array_sort(F.collect_list(F.to_json(F.struct("key", "value")))).alias("labels"))
     e = rec.episodes.join(sig, "ep_ord").join(lab, "ep_ord", "left").withColumn("sig", F.sha2(F.to_json(F.struct("task", "labels", "streams")), 256))
     g = e.groupBy("sig").agg(F.array_sort(F.collect_list("episode")).alias("eps")).where("size(eps) > 1")
-    return found(g, "DUPLICATE_EPISODE", "warning", "episode", F.col("eps")[0], nums=[F.size("eps")], texts=[F.array_join(F.transform("eps", lambda x: x.cast("string")), ",")])
+    return found(g, "DUPLICATE_EPISODE", "warning", nums=[F.size("eps")], texts=[F.array_join(F.transform("eps", lambda x: x.cast("string")), ",")])
 
 
 def stuck_runs(rec):

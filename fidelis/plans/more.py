@@ -53,7 +53,7 @@ def worst_episodes(spark, d):
 
 def trust_score(spark, d):
     rec, f = _some(spark, d)
-    return rollup.trust_score(f.where("code = 'EPISODE_BOUNDARY' AND episode < 9"), provenance.coverage(rec))
+    return rollup.trust_score(f, provenance.coverage(rec))
 
 
 def report_diff(spark, d):
@@ -70,9 +70,8 @@ def sample_first_n(spark, d):
 
 def sample_fraction(spark, d):
     rec = tables.events(spark, d)
-    all_of = [int(r[0]) for r in rec.episodes.select("episode").collect()]  # a manifest's indices
-    chosen = sampling.fraction(all_of, 0.2, 7)
-    return rec.frames.where(F.col("ep_ord").isin(chosen)).groupBy("ep_ord").agg(F.count("*").alias("n"))
+    chosen = sampling.fraction_of(rec.episodes, "episode", 0.2, 7).select("ep_ord")
+    return rec.frames.join(chosen, "ep_ord", "left_semi").groupBy("ep_ord").agg(F.count("*").alias("n"))
 
 
 def task_transitions(spark, d):
@@ -127,7 +126,7 @@ def undeclared_orders(spark, d):
 
 
 def stream_keys(spark, d):
-    c = _t(spark, d, "customer").where("c_custkey < 400")
+    c = _t(spark, d, "customer")
     name = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit(" "), F.lower("c_mktsegment"))).otherwise(F.col("c_mktsegment"))
     rec = Recording(spark, "customers", "table")
     rec.put("streams", c.select(F.col("c_nationkey").cast("long").alias("ep_ord"), F.col("c_custkey").alias("st_ord"), name.alias("name")))
@@ -141,7 +140,7 @@ def annotation_integrity(spark, d):
     rec = Recording(spark, "conversations", "table")
     value = F.when((u + F.col("turn")) % 5 == 0, "  ").otherwise(F.col("role"))
     rec.put("labels", c.select(u.alias("ep_ord"), F.lit("language").alias("key"), value.alias("value"), F.floor(F.col("turn") / 2).alias("ts")))
-    rec.put("frames", c.where("turn < 4").select(u.alias("ep_ord"), F.lit(0).alias("st_ord"), F.col("turn").alias("frame_idx"), F.floor(F.col("turn") / 2).alias("ts")))
+    rec.put("frames", c.select(u.alias("ep_ord"), F.lit(0).alias("st_ord"), F.col("turn").alias("frame_idx"), F.floor(F.least(F.col("turn"), F.lit(3)) / 2).alias("ts")))
     rec.put("episodes", c.select(u.alias("ep_ord"), u.alias("episode")).distinct())
     return _flat(semantic.annotation_integrity(rec, Tolerances()))
 
@@ -189,7 +188,7 @@ def oracle_sql() -> dict[str, str]:
     other = some.replace("sd_d / mean_d > 0.5", "sd_d / mean_d > 0.9").replace("abs(seen - rate) / rate > 0.1", "abs(seen - rate) / rate > 0.05")
     md = "(SELECT s_suppkey AS k, 'cam' || s_nationkey AS name, s_nationkey AS nk, CASE WHEN s_nationkey = 3 OR s_suppkey % 11 = 0 THEN 'missing' WHEN s_suppkey % 13 = 0 THEN 'unreadable' WHEN s_suppkey % 17 = 0 THEN 'unattributable' ELSE 'read' END AS status, CASE WHEN s_nationkey = 5 THEN 3 ELSE 2 + CAST(s_suppkey % 6 = 0 AS INT) END AS fc FROM supplier)"
     can = "(SELECT 256 + user_id % 5 AS id, event_id % 4 AS m, CAST(floor(value * 100) AS BIGINT) AS v, user_id % 200 AS t FROM events)"
-    ck = "(SELECT c_nationkey AS u, c_custkey AS s, CASE WHEN c_custkey % 7 = 0 THEN ' ' || lower(c_mktsegment) ELSE c_mktsegment END AS name FROM customer WHERE c_custkey < 400)"
+    ck = "(SELECT c_nationkey AS u, c_custkey AS s, CASE WHEN c_custkey % 7 = 0 THEN ' ' || lower(c_mktsegment) ELSE c_mktsegment END AS name FROM customer)"
     conv = "(SELECT conv_id AS u, turn, turn // 2 AS ts, CASE WHEN (conv_id + turn) % 5 = 0 THEN '' ELSE role END AS v FROM conversations)"
     roll = lambda code, cond, detail: rows(code, "warning", "stream", f"(SELECT name, min(k) AS k, count(*) AS n FROM {md} WHERE status = 'read' AND {cond} GROUP BY name)", "k", "name", x=["n"], texts=f"'{detail}'")
     read = f"(SELECT *, fc - 2 AS delta FROM {md} WHERE status = 'read')"
@@ -200,9 +199,10 @@ def oracle_sql() -> dict[str, str]:
         "dim_stats": "WITH x AS (SELECT label, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), s AS (SELECT label, dim, count(v) AS n, min(v) AS min, max(v) AS max, avg(v) AS mean, stddev_pop(v) AS std FROM x GROUP BY ALL) SELECT label, dim, n, round(min, 6) AS min, round(max, 6) AS max, round(mean, 6) AS mean, round(std, 6) AS std, (SELECT count(*) FROM x WHERE x.label = s.label AND x.dim = s.dim AND v = s.min) AS at_min, (SELECT count(*) FROM x WHERE x.label = s.label AND x.dim = s.dim AND v = s.max) AS at_max, 0 AS non_finite FROM s",
         "worst_dimension": "WITH x AS (SELECT label, unnest(range(64)) AS dim, greatest(-0.2, least(0.2, round(CAST(unnest(embedding) AS DOUBLE), 1))) AS v FROM embeddings), s AS (SELECT label, dim, count(v) AS n, min(v) AS mn, max(v) AS mx FROM x GROUP BY ALL), c AS (SELECT s.label, s.dim, n, count(*) FILTER (v = mn) AS at_min, count(*) FILTER (v = mx) AS at_max FROM s JOIN x USING (label, dim) WHERE mn < mx GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY label ORDER BY greatest(at_min, at_max) / n DESC, dim DESC) = 1",
         "worst_episodes": f"{base}, f AS ({some}) SELECT episode, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM f WHERE episode IS NOT NULL GROUP BY episode ORDER BY 2 DESC, 3 DESC, 4 DESC, 1 LIMIT 10",
-        "trust_score": f"{base}, f AS ({some}), d AS (SELECT greatest(0, least(100, 100 - 15 * count(*))) AS data, 33 AS provenance FROM f WHERE code = 'EPISODE_BOUNDARY' AND episode < 9) SELECT data, provenance, (7 * data + 3 * provenance) // 10 AS score, CASE WHEN (7 * data + 3 * provenance) // 10 >= 90 THEN 'A' WHEN (7 * data + 3 * provenance) // 10 >= 80 THEN 'B' WHEN (7 * data + 3 * provenance) // 10 >= 70 THEN 'C' WHEN (7 * data + 3 * provenance) // 10 >= 60 THEN 'D' ELSE 'F' END AS grade FROM d",
+        "trust_score": f"{base}, f AS ({some}), d AS (SELECT greatest(0, least(100, 100 - 15 * count(*) FILTER (severity = 'error') - 4 * count(*) FILTER (severity = 'warning'))) AS data, 33 AS provenance FROM f) SELECT data, provenance, (7 * data + 3 * provenance) // 10 AS score, CASE WHEN (7 * data + 3 * provenance) // 10 >= 90 THEN 'A' WHEN (7 * data + 3 * provenance) // 10 >= 80 THEN 'B' WHEN (7 * data + 3 * provenance) // 10 >= 70 THEN 'C' WHEN (7 * data + 3 * provenance) // 10 >= 60 THEN 'D' ELSE 'F' END AS grade FROM d",
         "report_diff": f"{base}, o AS ({some}), n AS ({other}) SELECT change, code, count(*) AS n FROM (SELECT 'introduced' AS change, code FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o) UNION ALL SELECT 'resolved', code FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) UNION ALL SELECT 'unchanged', code FROM (SELECT * FROM n INTERSECT ALL SELECT * FROM o)) GROUP BY ALL",
         "sample_first_n": base + "SELECT u AS ep_ord, count(*) AS n FROM e WHERE u IN (SELECT u FROM ep ORDER BY u LIMIT 10) GROUP BY u",
+        "sample_fraction": base + f", h AS (SELECT u, sha256(unhex('{sampling.little_endian(7)}' || {sampling.LITTLE_ENDIAN_SQL})) AS d FROM (SELECT DISTINCT u FROM ep)), r AS (SELECT u, row_number() OVER (ORDER BY {sampling.RANK_SQL}, u) AS k, count(*) OVER () AS total FROM h) SELECT u AS ep_ord, count(*) AS n FROM e WHERE u IN (SELECT u FROM r WHERE k <= greatest(1, ceil(0.2 * total))) GROUP BY u",
         "task_transitions": "SELECT * FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before <> role",
         "replay_slices": "SELECT r.episode, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN (SELECT n_nationkey AS episode, n_nationkey * n_nationkey * 3 AS start, (n_nationkey + 1) * (n_nationkey + 1) * 3 AS stop FROM nation) r ON event_id >= start AND event_id < stop GROUP BY r.episode",
         "can_decode": f"SELECT id, signal, count(*) AS n, round(CAST(min(x) AS DOUBLE), 4) AS low, round(CAST(max(x) AS DOUBLE), 4) AS high FROM (SELECT id, 'speed' AS signal, (v % 16777216) * 0.01 AS x FROM {can} WHERE id IN (256, 258) UNION ALL SELECT id, 'temp', (CASE WHEN t >= 128 THEN t - 256 ELSE t END) - 40.0 FROM {can} WHERE id = 256 UNION ALL SELECT id, 'a', (v % 65536) * 0.25 FROM {can} WHERE id = 257 AND m = 0 UNION ALL SELECT id, 'b', (CASE WHEN v % 65536 >= 32768 THEN v % 65536 - 65536 ELSE v % 65536 END) * 0.5 + 1 FROM {can} WHERE id = 257 AND m = 1) GROUP BY ALL",
@@ -213,7 +213,7 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_documents": "SELECT min(doc_id) AS first, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1",
         "undeclared_orders": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 1",
         "stream_keys": rows("DUPLICATE_STREAM_KEY", "error", "stream", f"(SELECT * FROM (SELECT u, name, count(*) AS k FROM {ck} GROUP BY u, name HAVING count(*) > 1) QUALIFY row_number() OVER (PARTITION BY name ORDER BY u) = 1)", "u", "name", x=["k"]) + " UNION ALL " + rows("AMBIGUOUS_STREAM_KEY", "warning", "stream", f"(SELECT u, norm, len(ns) AS k, unnest(ns) AS name FROM (SELECT u, norm, ns FROM (SELECT u, lower(trim(name)) AS norm, list(DISTINCT name) AS ns FROM {ck} GROUP BY ALL) WHERE len(ns) > 1 QUALIFY row_number() OVER (PARTITION BY norm ORDER BY u) = 1))", "u", "name", x=["k"], texts="norm"),
-        "annotation_integrity": rows("ANNOTATION_UNALIGNED", "error", "episode", f"(SELECT l.*, lo, hi FROM {conv} l JOIN (SELECT u, min(ts) AS lo, max(ts) AS hi FROM {conv} WHERE turn < 4 GROUP BY u) USING (u)) WHERE ts < lo OR ts > hi", "u", x=["ts", "lo", "hi"]) + " UNION ALL " + rows("ANNOTATION_CONFLICT", "warning", "episode", f"(SELECT u, ts, count(DISTINCT v) AS k FROM {conv} GROUP BY u, ts HAVING count(DISTINCT v) > 1)", "u", x=["ts", "k"]) + " UNION ALL " + rows("EMPTY_ANNOTATION", "warning", "episode", f"{conv} WHERE v = ''", "u", x=["ts"]),
+        "annotation_integrity": rows("ANNOTATION_UNALIGNED", "error", "episode", f"(SELECT l.*, lo, hi FROM {conv} l JOIN (SELECT u, min(least(turn, 3) // 2) AS lo, max(least(turn, 3) // 2) AS hi FROM {conv} GROUP BY u) USING (u)) WHERE ts < lo OR ts > hi", "u", x=["ts", "lo", "hi"]) + " UNION ALL " + rows("ANNOTATION_CONFLICT", "warning", "episode", f"(SELECT u, ts, count(DISTINCT v) AS k FROM {conv} GROUP BY u, ts HAVING count(DISTINCT v) > 1)", "u", x=["ts", "k"]) + " UNION ALL " + rows("EMPTY_ANNOTATION", "warning", "episode", f"{conv} WHERE v = ''", "u", x=["ts"]),
         "media_readable": rows("MEDIA_ABSENT", "error", "stream", f"(SELECT name, any_value(eps) AS n FROM {gone} WHERE eps = g GROUP BY name)", "NULL", "name", x=["n"]) + " UNION ALL " + rows("MEDIA_MISSING", "error", "stream", f"{gone} WHERE eps <> g AND status = 'missing'", "k", "name", texts="'v/' || k") + " UNION ALL " + rows("MEDIA_UNREADABLE", "error", "stream", f"{md} WHERE status = 'unreadable'", "k", "name", texts="'v/' || k || '|why'") + " UNION ALL " + rows("MEDIA_UNATTRIBUTED", "info", "stream", f"(SELECT name, count(*) AS n FROM {md} WHERE status = 'unattributable' GROUP BY name)", "NULL", "name", x=["n"], texts="'why'"),
         "media_conformance": rows("FRAME_COUNT_MISMATCH", "warning", "stream", same, "NULL", "name", x=["d", "n"], texts="'systematic'") + " UNION ALL " + rows("FRAME_COUNT_MISMATCH", "error", "stream", f"{read} WHERE delta <> 0 AND name NOT IN (SELECT name FROM {same})", "k", "name", x=["fc", "2"], texts="'episode'") + " UNION ALL " + " UNION ALL ".join((roll("RESOLUTION_MISMATCH", "k % 7 = 0", "640x480/320x480"), roll("CODEC_MISMATCH", "k % 5 = 0", "avc1/hvc1"), roll("FPS_MISMATCH", "k % 9 = 0", "30.0/25.0"))),
         "durations": base + "SELECT ep.u AS ep_ord, CASE WHEN ep.z > ep.a THEN ep.z - ep.a ELSE m.span END AS duration FROM ep LEFT JOIN (SELECT u, max(span) AS span FROM pr WHERE kind = 'measured' AND span > 0 GROUP BY u) m USING (u) WHERE CASE WHEN ep.z > ep.a THEN ep.z - ep.a ELSE m.span END IS NOT NULL",
