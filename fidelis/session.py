@@ -30,18 +30,20 @@ def session(app: str = "fidelis", cores: str = "*", **conf: str) -> SparkSession
 def ship(spark: SparkSession) -> None:
     """Gives the Python workers this package, once an application, whatever their own path is."""
     context = spark.sparkContext
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        # Rows may be long texts: a batch of them must fit into a worker several times.
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not getattr(context, "_fidelis_batch", False) and not context.getConf().contains(batch) and spark.conf.get(batch) == "10000":
+        # Nobody has chosen a size. Rows may be long texts: a batch of them must fit into a worker several times.
+        spark.conf.set(batch, "1000")
+        context._fidelis_batch = True
     if getattr(context, "_fidelis_shipped", False):
         return
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(_PACKAGE.parent))
-    # addPyFile copies the file into the application's own file server at once.
-    folder = tempfile.mkdtemp()
-    path = os.path.join(folder, "fidelis_package.zip")
-    Path(path).write_bytes(packed.getvalue())
-    context.addPyFile(path)
+    # addPyFile copies the file into the application's own file server at once, so the folder of this one may go.
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "fidelis_package.zip")
+        Path(path).write_bytes(packed.getvalue())
+        context.addPyFile(path)
     context._fidelis_shipped = True

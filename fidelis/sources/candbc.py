@@ -1,4 +1,4 @@
-"""CAN logs with a database of messages: a folder with one ``.dbc`` and at least one ``.log``.
+"""CAN logs with a database of messages: a folder with one ``.dbc`` and at least one ``.log`` or ``.asc``.
 
 The database is small and parsed on the driver. Log lines are parsed and decoded by Spark expressions: the payload's
 bits are taken from its reversed hex digits (little-endian) or from them as they stand (big-endian).
@@ -32,6 +32,16 @@ def database(text: str) -> list[tuple]:
     return out
 
 
+def logs(path: str) -> list[str]:
+    return sorted(n for ext in ("log", "asc") for n in glob.glob(os.path.join(path, f"*.{ext}")))
+
+
+def number(raw, length, signed):
+    """The number that a string of bits stands for, with the sign carried on."""
+    unsigned = F.conv(raw, 2, 10).cast("decimal(20,0)").cast("double")
+    return F.when(signed & raw.startswith("1"), unsigned - F.pow(F.lit(2.0), length)).otherwise(unsigned)
+
+
 def bits(hex_digits, start, length, big):
     """The bits of a signal as a string of 0 and 1, most significant first; null if the payload is too short.
 
@@ -52,36 +62,32 @@ def read(spark: SparkSession, path: str, o: Options) -> Recording:
     if not signals:
         raise SourceError("a database without signals")
     table = spark.createDataFrame(signals, "id long, name string, start int, length int, big boolean, signed boolean, factor double, offset double, selector boolean, selected long")
-    text = spark.read.text(sorted(glob.glob(os.path.join(path, "*.log")))).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("_order"))
+    text = spark.read.text(logs(path)).select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("_order"))
     part = lambda k: F.regexp_extract("value", LINE, k)
     lines = text.where(F.col("value").rlike(LINE)).select("_order", (part(1).cast("long") * 1_000_000_000 + F.rpad(part(2), 9, "0").cast("long")).alias("ts"), F.conv(part(3), 16, 10).cast("long").bitwiseAND(0x1FFFFFFF).alias("id"), part(4).alias("data"))
     if not lines.limit(1).count():
         raise SourceError("no line of the logs can be parsed")
     rec = Recording(spark, dataset_id(path), "can-dbc")
-    raw = lambda d: bits(d["data"], d["start"], d["length"], d["big"])
-    j = lines.join(F.broadcast(table), "id")  # a database file's signals
-    j = j.withColumn("_bits", raw(j)).where("_bits IS NOT NULL")
-    unsigned = F.conv("_bits", 2, 10).cast("decimal(20,0)")
-    full = F.pow(F.lit(2.0), F.col("length"))
-    j = j.withColumn("_raw", F.when(F.col("signed") & F.col("_bits").startswith("1"), unsigned.cast("double") - full).otherwise(unsigned.cast("double")))
-    chosen = j.where("selector").select("_order", F.col("_raw").cast("long").alias("_mux"))
-    if any(s[8] for s in signals):
-        j = j.join(chosen, "_order", "left").where("selected IS NULL OR selected = _mux")
-    else:
-        j = j.where("selected IS NULL")
+    raw = bits(F.col("data"), F.col("start"), F.col("length"), F.col("big"))
+    value = number(F.col("_bits"), F.col("length"), F.col("signed"))
+    # A message's selector is decoded in the line itself, and tells which of the message's other signals are in it.
+    selectors = F.broadcast(table.where("selector").select("id", "start", "length", "big", "signed"))  # one for each message at most
+    lines = lines.join(selectors, "id", "left").withColumn("_bits", raw).withColumn("_mux", value.cast("long")).select("_order", "ts", "id", "data", "_mux")
+    j = lines.join(F.broadcast(table), "id").withColumn("_bits", raw).where("_bits IS NOT NULL").withColumn("_raw", value)  # a database file's signals
+    j = j.where("selected IS NULL OR selected = _mux")
     names = sorted({s[1] for s in signals})
-    number = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, st_ord long")
-    j = j.withColumn("v", F.col("_raw") * F.col("factor") + F.col("offset")).join(F.broadcast(number), "name")
+    numbers = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, st_ord long")
+    j = j.withColumn("v", F.col("_raw") * F.col("factor") + F.col("offset")).join(F.broadcast(numbers), "name")
     frames = j.select(F.lit(0).cast("long").alias("ep_ord"), "st_ord", "ts", "v", "_order", F.sha2(F.col("v").cast("string"), 256).alias("content_hash"))
     if frames.count() > o.max_frames:
         raise SourceError("more frames than the frame budget")
     rec.put("frames", frames.withColumn("frame_idx", F.expr("row_number() OVER (PARTITION BY st_ord ORDER BY _order) - 1")))
     stats = frames.groupBy("st_ord").agg(F.struct(F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).alias("observed_stats"))
-    rec.put("streams", number.join(stats, "st_ord", "left").select(F.lit(0).alias("ep_ord"), "st_ord", "name", F.lit("can-signal").alias("modality"), F.lit("can").alias("clock_id"), F.lit("measured").alias("clock_kind"), "observed_stats"))
+    rec.put("streams", numbers.join(stats, "st_ord", "left").select(F.lit(0).alias("ep_ord"), "st_ord", "name", F.lit("can-signal").alias("modality"), F.lit("can").alias("clock_id"), F.lit("measured").alias("clock_kind"), "observed_stats"))
     rec.put("episodes", spark.createDataFrame([(0, 0)], "ep_ord long, episode long"))
     undefined = lines.join(F.broadcast(table.select("id").distinct()), "id", "left_anti").groupBy("id").agg(F.count("*").alias("n")).orderBy("id").limit(100)
     rec.notes = {"undefined": [f"{r['id']}: {r['n']}" for r in undefined.collect()]}
     return rec
 
 
-FORMAT = Format("can-dbc", lambda p: os.path.isdir(p) and len(glob.glob(os.path.join(p, "*.dbc"))) == 1 and bool(glob.glob(os.path.join(p, "*.log"))), read)
+FORMAT = Format("can-dbc", lambda p: os.path.isdir(p) and len(glob.glob(os.path.join(p, "*.dbc"))) == 1 and bool(logs(p)), read)

@@ -75,8 +75,10 @@ def test_can(spark, tmp_path):
     root.mkdir()
     (root / "a.dbc").write_text("BO_ 256 Engine: 8 X\n SG_ Speed : 0|16@1+ (0.25,0) [0|1] \"\" X\n SG_ Temp : 16|8@1- (1,-40) [0|1] \"\" X\n SG_ Wheel : 39|16@0+ (1,0) [0|1] \"\" X\nBO_ 257 Mux: 8 X\n SG_ Sel M : 0|8@1+ (1,0) [0|1] \"\" X\n SG_ A m0 : 8|8@1+ (1,0) [0|1] \"\" X\n SG_ B m1 : 8|8@1+ (2,0) [0|1] \"\" X\n")
     (root / "a.log").write_text("(1000.000000) can0 100#40010000123434FF\n(1000.5) can0 101#0105\nnoise\n(1001.000000001) can0 101#0007\n(1001.1) can0 200#00\n")
+    (root / "b.asc").write_text("(1002.0) can0 101#0109\n")
     rec = open_recording(spark, str(root))
     s = {r["name"]: r["observed_stats"] for r in rec.streams.collect()}
+    assert s["Mux.B"]["max"] == 18 and s["Mux.Sel"]["max"] == 1
     assert s["Engine.Speed"]["min"] == 0x0140 * 0.25 and s["Engine.Temp"]["min"] == -40 and s["Engine.Wheel"]["min"] == 0x1234
     assert s["Mux.A"]["min"] == 7 and s["Mux.B"]["min"] == 10
     assert rec.notes["undefined"] == ["512: 1"] and 1_001_000_000_001 in {r["ts"] for r in rec.frames.collect()}
