@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share about tables: keys, checkpoints, shared folders."""
+"""What the operators of this subpackage share about tables: keys, tables in the shared folder, names."""
 
 from __future__ import annotations
 
@@ -12,18 +12,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(there)
     return there
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, so that a lost executor costs no recomputation of what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Tables that one run of an operator writes into the shared folder and drops when their last reader has run.
 
