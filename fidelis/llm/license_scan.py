@@ -49,6 +49,35 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+    "isc-liability": "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "bsd-advert": "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    "bsd-warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "bsd-liability": "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-liability": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "zlib-origin": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "zlib-altered": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+    "zlib-notice": "This notice may not be removed or altered from any source distribution.",
+    "unlicense-domain": "This is free and unencumbered software released into the public domain.",
+    "unlicense-free": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "boost-line": "Distributed under the Boost Software License, Version 1.0.",
+    "boost-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "mpl-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "epl-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-details": "See the GNU Lesser General Public License for more details.",
+    "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-sa-work": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "cc-by-nd-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "cc-by-nc-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-line": "Licensed under CC BY 4.0.",
     "cc-by-sa-line": "Licensed under CC BY-SA 4.0.",
@@ -60,8 +89,36 @@ RULES = (
     (("apache-not-except", "apache-copy", "apache-as-is", "apache-limits"), "Apache-2.0"),
     (("mit-grant", "mit-notice", "mit-warranty", "mit-liability"), "MIT"),
     (("mit-grant", "mit-notice"), "MIT"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse", "bsd-warranty", "bsd-liability"), "BSD-4-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"), "BSD-4-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty", "bsd-liability"), "BSD-3-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability"), "BSD-2-Clause"),
     (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+    (("isc-grant", "isc-warranty", "isc-liability"), "ISC"),
+    (("isc-grant-and", "isc-warranty", "isc-liability"), "ISC"),
+    (("isc-grant-and",), "ISC"),
+    (("0bsd-grant", "isc-warranty", "isc-liability"), "0BSD"),
+    (("0bsd-grant",), "0BSD"),
+    (("zlib-warranty", "zlib-liability", "zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice"), "Zlib"),
+    (("zlib-grant", "zlib-origin", "zlib-altered", "zlib-notice"), "Zlib"),
+    (("unlicense-domain", "unlicense-free", "mit-warranty", "mit-liability"), "Unlicense"),
+    (("unlicense-domain", "unlicense-free"), "Unlicense"),
+    (("unlicense-domain",), "Unlicense"),
+    (("boost-line",), "BSL-1.0"),
+    (("boost-grant",), "BSL-1.0"),
+    (("mpl-notice", "mpl-copy"), "MPL-2.0"),
+    (("epl-notice",), "EPL-2.0"),
+    (("agpl-free", "gpl-hope", "agpl-details"), "AGPL-3.0-or-later"),
+    (("agpl-free",), "AGPL-3.0-or-later"),
+    (("lgpl3-free", "lgpl-hope", "lgpl-details"), "LGPL-3.0-or-later"),
+    (("lgpl3-free",), "LGPL-3.0-or-later"),
+    (("lgpl-free", "lgpl-hope", "lgpl-details"), "LGPL-2.1-or-later"),
+    (("cc-by-work",), "CC-BY-4.0"),
+    (("cc-by-sa-work",), "CC-BY-SA-4.0"),
+    (("cc-by-nc-work",), "CC-BY-NC-4.0"),
+    (("cc-by-nc-sa-work",), "CC-BY-NC-SA-4.0"),
+    (("cc-by-nd-work",), "CC-BY-ND-4.0"),
     (("gpl-free", "gpl-hope", "gpl-details"), "GPL-3.0-or-later"),
     (("gpl-free",), "GPL-3.0-or-later"),
     (("gpl2-free", "gpl-hope", "gpl-details"), "GPL-2.0-or-later"),
@@ -82,13 +139,18 @@ RULES = (
     (("cc0-line",), "CC0-1.0"),
 )
 
+# The short form of every licence that a rule can find.
+_SPDX = {f"spdx-{name}": f"SPDX-License-Identifier: {name}" for name in dict.fromkeys(name for _, name in RULES)}
+SENTENCES |= _SPDX
+RULES += tuple(((k,), k.removeprefix("spdx-")) for k in _SPDX)
+
 _NOT_WORD = re.compile(r"[^0-9a-z]+")
 #: A text is cut at a mark that white space follows and at each line's end; the known sentences may be wrapped over any lines.
 _END = re.compile(r"(?<=[.;:!?])\s+|\n+")
 #: Comment signs that are words; others are no letters.
 _COMMENT = re.compile(r"^[ \t]*@?(?:rem|dnl)\b", re.M)
-#: One of these is in every known sentence.
-HINTS = ("license", "permission", "copyright", "redistribut", "free software", "in the hope", "licensed", "warrant")
+#: One of these is in every known sentence; each is one word, which no line end can part.
+HINTS = ("license", "permission", "copyright", "redistribut", "warrant", "liable", "unencumbered", "anyone", "misrepresented", "altered", "advertising", "mpl")
 
 
 def normalised(sentence: str) -> str:

@@ -136,6 +136,21 @@ def test_licences_wrapped(prefix, width):
     assert license_scan.licences(license_scan.identifiers(gpl)) == ["GPL-2.0-or-later"]
 
 
+def test_every_rule_finds_its_licence():
+    """The sentences of each rule, one a line in a comment, between other words."""
+    for ids, name in license_scan.RULES:
+        text = "Some words.\n" + "\n".join(f"# {license_scan.SENTENCES[k]}" for k in ids) + "\n\nOther words.\n"
+        assert license_scan.identifiers(text) == list(ids) and license_scan.licences(list(ids)) == [name]
+    # A sentence between them that no rule takes is passed over; a sequence that is broken gives what its parts do.
+    assert license_scan.licences(["zlib-notice", "isc-grant", "isc-warranty", "isc-liability", "spdx-Zlib"]) == ["ISC", "Zlib"]
+    assert license_scan.licences(["mit-grant", "bsd-grant", "bsd-source", "bsd-binary", "mit-notice"]) == ["MIT", "BSD-2-Clause"]
+
+
+def test_licences_in_a_very_long_text():
+    long = "plain words without any mark " * 40_000
+    assert license_scan.licences(license_scan.identifiers(f"{long}\n\nSPDX-License-Identifier: Apache-2.0\n\n{long}. {license_scan.SENTENCES['unlicense-domain']}")) == ["Apache-2.0", "Unlicense"]
+
+
 def test_licences_not_across_sentences():
     assert license_scan.identifiers("Licensed under\n\nthe MIT License.") == []
     assert license_scan.identifiers("Licensed under. the MIT License.") == []
