@@ -207,13 +207,30 @@ def read(spark: SparkSession, path: str, o: Options) -> Recording:
         chosen = set(sampling.first(every, o.first) if o.first is not None else sampling.fraction(every, o.fraction, o.seed))
         cuts, rec.coverage = [c for c in cuts if c[0] in chosen], "sample"
 
-    # A timeline for each prefix: the first of its arrays by name that is one column with units.
+    task = next((str(v).strip() for n, v in sorted(attrs.items()) if n.lower() in TASKS and isinstance(v, str) and v.strip()), None)
+    assembled(spark, rec, arrays, cuts, o, most, unmapped, lambda a: _json(os.path.join(a.folder, ".zattrs")).get("units"), lambda _: task, "zarr")
+    text = lambda v: (v if isinstance(v, str) else json.dumps(v, separators=(",", ":")))[:4096]
+    top = [("dataset", None, 0, "source_format", "zarr")] + [("dataset", None, 0, LINEAGE[n.lower()], text(v)) for n, v in sorted(attrs.items()) if n.lower() in LINEAGE]
+    own = [("episode", c[0], n + 1, "upstream", c[1]) for n, c in enumerate(cuts)]
+    rec.put("provenance", spark.createDataFrame(top + own, "scope_kind string, scope_episode long, record_id long, key string, value string").withColumn("class", F.lit("known")))
+    declared = [("declared_total_episodes", str(len(cuts)))] if o.sampled or ends is not None else []
+    rec.put("metadata", spark.createDataFrame([("source_format", "zarr"), ("zarr_format", "2"), *((f"zarr:{n}", text(v)) for n, v in sorted(attrs.items())), *declared], "key string, value string"))
+    return rec
+
+
+def assembled(spark: SparkSession, rec: Recording, arrays: list, cuts: list[tuple], o: Options, most: int, unmapped: list[str], units, task, kind: str) -> None:
+    """Puts frames, streams, episodes and labels of arrays into ``rec``.
+
+    An array has path, leaf, shape, chunks, dtype, numeric, row_items, modality and rows(run, most). A cut is an episode:
+    (index, source, first row, last row, prefix of its arrays). ``units`` tells an array's units, ``task`` a cut's task.
+    """
     prefixes = sorted({c[4] for c in cuts})
     used = [(p, k, a) for p in prefixes for k, a in enumerate(arrays) if a.path.startswith(p)]
+    # A timeline for each prefix: the first of its arrays by name that is one column with units.
     timeline: dict[str, tuple[int, int]] = {}
     for p, k, a in used:
         if p not in timeline and a.leaf in TIMES and a.numeric and (len(a.shape) == 1 or len(a.shape) == 2 and a.shape[1] == 1):
-            ns = ns_per_unit(_json(os.path.join(a.folder, ".zattrs")).get("units"))
+            ns = ns_per_unit(units(a))
             if ns is None:
                 unmapped.append(a.path)  # its numbers can't be placed on a clock
             timeline[p] = (k, ns or 0)
@@ -255,7 +272,7 @@ def read(spark: SparkSession, path: str, o: Options) -> Recording:
                 continue
             timed = covers(p, stop)
             member.append((k, n, s, y, stop, timed, *(clocks[p] if timed else (None, None))))
-            streams.append((n, s, a.path.removeprefix(p), a.modality, "zarr-time" if timed else "zarr-step-index", "measured" if timed else "step-index", a.dtype.name, list(a.shape[1:]) or None, k))
+            streams.append((n, s, a.path.removeprefix(p), a.modality, f"{kind}-time" if timed else f"{kind}-step-index", "measured" if timed else "step-index", a.dtype.name, list(a.shape[1:]) or None, k))
     if not streams:
         raise SourceError("no arrays under any episode")
     parts = spark.createDataFrame(member, "array long, ep_ord long, st_ord long, start long, stop long, timed boolean, clock long, ns long")
@@ -274,20 +291,12 @@ def read(spark: SparkSession, path: str, o: Options) -> Recording:
     bad = held.where("bad IS NOT NULL").groupBy(*key).agg(F.sum("bad").alias("observed_non_finite"))
     rec.put("streams", base.join(g, [*key], "left").join(w, [*key], "left").join(bad, [*key], "left"))
 
-    task = next((str(v).strip() for n, v in sorted(attrs.items()) if n.lower() in TASKS and isinstance(v, str) and v.strip()), None)
-    eps = spark.createDataFrame([(n, c[0], c[1], task, all(x[5] for x in member if x[1] == n) and any(x[1] == n for x in member), c[4] in clocks) for n, c in enumerate(cuts)], "ep_ord long, episode long, source string, task string, timed boolean, clocked boolean")
+    eps = spark.createDataFrame([(n, c[0], c[1], task(c), all(x[5] for x in member if x[1] == n) and any(x[1] == n for x in member), c[4] in clocks) for n, c in enumerate(cuts)], "ep_ord long, episode long, source string, task string, timed boolean, clocked boolean")
     edge = frames.groupBy("ep_ord").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
     ends_known = F.col("timed") | ~F.col("clocked")
     rec.put("episodes", eps.join(edge, "ep_ord", "left").select("ep_ord", "episode", "task", *(F.when(ends_known, F.col(c)).alias(c) for c in ("start_ts", "end_ts"))))
     rec.put("labels", eps.where("task IS NOT NULL").select("ep_ord", F.lit("language").alias("key"), F.col("task").alias("value")))
-    text = lambda v: (v if isinstance(v, str) else json.dumps(v, separators=(",", ":")))[:4096]
-    top = [("dataset", None, 0, "source_format", "zarr")] + [("dataset", None, 0, LINEAGE[n.lower()], text(v)) for n, v in sorted(attrs.items()) if n.lower() in LINEAGE]
-    own = [("episode", c[0], n + 1, "upstream", c[1]) for n, c in enumerate(cuts)]
-    rec.put("provenance", spark.createDataFrame(top + own, "scope_kind string, scope_episode long, record_id long, key string, value string").withColumn("class", F.lit("known")))
-    declared = [("declared_total_episodes", str(len(cuts)))] if o.sampled or ends is not None else []
-    rec.put("metadata", spark.createDataFrame([("source_format", "zarr"), ("zarr_format", "2"), *((f"zarr:{n}", text(v)) for n, v in sorted(attrs.items())), *declared], "key string, value string"))
-    rec.notes = {"omitted": [a.path for _, _, a in used if a.numeric and a.row_items > WIDE], "unmapped": unmapped}
-    return rec
+    rec.notes = {"omitted": sorted({a.path for _, _, a in used if a.numeric and a.row_items > WIDE}), "unmapped": unmapped}
 
 
 def _held(rows: DataFrame, parts: DataFrame) -> DataFrame:
