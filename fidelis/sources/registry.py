@@ -62,9 +62,9 @@ def register(format: Format) -> Format:
 
 
 def formats() -> list[Format]:
-    from fidelis.sources import candbc, hdf5, lerobot, mcap, rlds, zarr
+    from fidelis.sources import candbc, hdf5, lerobot, mcap, mdf4, rlds, zarr
 
-    return [lerobot.FORMAT, candbc.FORMAT, mcap.FORMAT, rlds.FORMAT, zarr.FORMAT, hdf5.FORMAT, *_more]
+    return [lerobot.FORMAT, candbc.FORMAT, mcap.FORMAT, rlds.FORMAT, zarr.FORMAT, hdf5.FORMAT, mdf4.FORMAT, *_more]
 
 
 def dataset_id(path: str) -> str:

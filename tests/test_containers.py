@@ -385,3 +385,61 @@ def test_registering_a_reader():
             registry.register(f)
     finally:
         registry._more.clear()
+
+
+# --- MDF 4
+
+
+def measurement(path, groups):
+    """Groups of (channels, records, cycles, record id size, data kind); a channel is (name, role, sync, kind, bit, byte, bits, flags, conversion)."""
+    b = bytearray(64)
+    b[:16] = b"MDF     4.10    "
+
+    def block(kind, links, data=b""):
+        at = len(b)
+        b.extend(kind + bytes(4) + struct.pack("<QQ", 24 + 8 * len(links) + len(data), len(links)) + struct.pack(f"<{len(links)}Q", *links) + data)
+        b.extend(bytes(-len(b) % 8))
+        return at
+
+    top = block(b"##HD", [0] * 6, bytes(24))
+    later = 0
+    for channels, length, records, cycles, id_size, kind in reversed(groups):
+        after = 0
+        for name, role, sync, number, bit, byte, bits, flags, rule in reversed(channels):
+            cc = block(b"##CC", [0] * 4, bytes([rule[0]]) + bytes(23) + struct.pack(f"<{len(rule) - 1}d", *rule[1:])) if rule else 0
+            tx = block(b"##TX", [], name.encode() + b"\0")
+            after = block(b"##CN", [after, 0, tx, 0, cc, 0, 0, 0], struct.pack("<BBBBIII", role, sync, number, bit, byte, bits, flags) + bytes(8))
+        cg = block(b"##CG", [0, after, 0, 0, 0, 0], struct.pack("<QQHHIII", 0, cycles, 0, 0, 0, length, 0))
+        later = block(b"##DG", [later, cg, block(kind, [], records), 0], bytes([id_size]) + bytes(7))
+    struct.pack_into("<Q", b, top + 24, later)
+    path.write_bytes(bytes(b))
+    return str(path)
+
+
+def test_mdf4(spark, tmp_path, monkeypatch):
+    from fidelis.sources import mdf4
+
+    monkeypatch.setattr(mdf4, "RUN", 100)
+    n = 30
+    t, speed, count = np.arange(n) / 10, np.arange(n, dtype="<f4"), np.arange(n, dtype=">i2") - 5
+    t[7] = np.nan
+    speed[3] = np.inf
+    record = np.zeros(n, np.dtype([("t", "<f8"), ("speed", "<f4"), ("count", ">i2")]))
+    record["t"], record["speed"], record["count"] = t, speed, count
+    time = ("t", 2, 1, 4, 0, 0, 64, 0, None)
+    channels = [time, ("speed", 0, 0, 4, 0, 8, 32, 0, None), ("count", 0, 0, 3, 0, 12, 16, 0, (1, 100.0, 0.5)), ("speed", 0, 0, 3, 0, 12, 16, 0, (7,)), ("bits", 0, 0, 0, 3, 0, 5, 0, None)]
+    path = measurement(tmp_path / "drive.mf4", [(channels, 14, record.tobytes(), n + 9, 0, b"##DT"), ([time], 14, record.tobytes(), n, 0, b"##DZ"), ([("x", 0, 0, 4, 0, 0, 64, 0, None)], 14, record.tobytes(), n, 0, b"##DT"), (channels, 14, record.tobytes(), n, 1, b"##DT")])
+    rec = open_recording(spark, path)
+    s = {r["name"]: r for r in rec.streams.collect()}
+    assert set(s) == {"speed", "count", "speed#2"} and s["speed"]["clock_id"] == "mf4-master#0"
+    assert s["count"]["observed_stats"]["min"] == 100 - 2.5 and s["speed#2"]["observed_stats"]["min"] == -5 and s["speed"]["observed_non_finite"] == 1
+    f = rec.frames.where(f"st_ord = {s['count']['st_ord']}").orderBy("frame_idx").collect()
+    assert [r["ts"] for r in f] == [int(x * 1e9) for x in t if x == x] and f[2]["content_hash"] == hashlib.sha256(struct.pack("<d", 100 - 1.5)).hexdigest()
+    notes = " ".join(rec.notes["unmapped"])
+    assert all(x in notes for x in ("bits is not decoded", "##DZ", "no time master", "unsorted", "39 records are declared, 30", "type 7"))
+    e = rec.episodes.first()
+    assert (e["start_ts"], e["end_ts"]) == (0, 2_900_000_000)
+    (tmp_path / "old.mdf").write_bytes(b"MDF     3.30    " + bytes(80))
+    for bad, o in ((path, Options(max_frames=20)), (path, Options(first=1)), (str(tmp_path / "old.mdf"), Options())):
+        with pytest.raises(SourceError):
+            open_recording(spark, bad, o)
