@@ -83,3 +83,8 @@ class Tolerances:
         """Names of the bounds that let more pass than the defaults do."""
         default = Tolerances()
         return [f.name for f in fields(self) if getattr(self, f.name) > getattr(default, f.name)]
+
+    def departures(self) -> list[str]:
+        """The loosened bounds with what they are and what they are by default."""
+        default = Tolerances()
+        return [f"{n} = {getattr(self, n):g}, by default {getattr(default, n):g}" for n in self.loosened()]

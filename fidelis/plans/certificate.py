@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from fidelis.functions import ed25519
 from fidelis.model import SCHEMAS, Recording
-from fidelis.plans.engine import CATEGORIES, RunConfig, Verdict
+from fidelis.plans.catalog import categories
+from fidelis.plans.engine import RunConfig, Verdict
 from fidelis.plans.report import _plain
 
 SCHEMA, ALGORITHM, VERSION = "fidelis.certificate/1", "ed25519", "1"
@@ -62,7 +63,7 @@ def build(verdict: Verdict, config: RunConfig, content: str, key_id: str, timest
     out = {
         "schema": SCHEMA, "dataset_id": verdict.dataset_id, "content_hash": content, "version": VERSION, "status": verdict.status, "verdict": verdict.digest,
         "config": {"categories": config.categories, "only": config.only, "disabled": list(config.disabled), "severities": dict(sorted(config.severities.items())), "tolerances": asdict(config.tolerances)},
-        "checks_run": list(verdict.executed), "checks_errored": sorted(verdict.errored), "categories_skipped": [c for c in CATEGORIES if c not in ran],
+        "checks_run": list(verdict.executed), "checks_errored": sorted(verdict.errored), "categories_skipped": [c for c in categories() if c not in ran],
         "findings": {"by_severity": verdict.counts, "by_category": dict(sorted(Counter(f.category for f in verdict.findings).items()))},
         "score": {"data": verdict.data_score, "provenance": verdict.provenance, "score": verdict.score, "grade": verdict.grade},
         "issuance": {"key_id": key_id, "timestamp": timestamp},

@@ -7,8 +7,8 @@ from dataclasses import replace
 
 from fidelis.model import Tolerances
 from fidelis.operators.base import SEVERITIES
-from fidelis.plans.catalog import BY_ID
-from fidelis.plans.engine import CATEGORIES, RunConfig
+from fidelis.plans.catalog import BY_ID, categories
+from fidelis.plans.engine import RunConfig
 
 
 class ConfigError(ValueError):
@@ -43,7 +43,7 @@ def parse(text: str) -> RunConfig:
     ids = [*raw.get("only_checks", []), *raw.get("disabled_checks", []), *raw.get("severity_overrides", {})]
     if unknown := sorted(set(ids) - set(BY_ID)):
         raise ConfigError(f"unknown checks: {', '.join(unknown)}")
-    if unknown := sorted(set(raw.get("categories", [])) - set(CATEGORIES)):
+    if unknown := sorted(set(raw.get("categories", [])) - set(categories())):
         raise ConfigError(f"unknown categories: {', '.join(unknown)}")
     for s in [raw.get("fail_on", "error"), *raw.get("severity_overrides", {}).values()]:
         if s not in SEVERITIES:

@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame
 from fidelis.model import Recording, Tolerances
 from fidelis.operators import provenance
 from fidelis.operators.base import RANKS, SEVERITIES, Check, is_rig, profiled
-from fidelis.plans.catalog import CHECKS
+from fidelis.plans.catalog import categories, checks
 
 DOMAIN = "fidelis.verdict.v1\0"
-CATEGORIES = tuple(dict.fromkeys(c.category for c in CHECKS))
 PROFILE = ("autonomy.rig-sync", "autonomy.sequence-complete", "autonomy.ego-pose-continuity", "autonomy.calibration-completeness", "autonomy.sensor-frame-resolution")
 
 
@@ -110,21 +109,21 @@ def notices(rec: Recording, config: RunConfig, selected: list[Check]) -> list[Fi
         out.append(own("COVERAGE.METADATA_ONLY", "info"))
     if rec.unread:
         out.append(own("COVERAGE.SOURCE_UNREAD", "warning", *rec.unread))
-    loose = config.tolerances.loosened()
+    loose = config.tolerances.departures()
     changed = sorted(k for k in config.severities if any(c.id == k for c in selected))
-    if len(selected) < len(CHECKS) or changed or loose:
-        out.append(own("SCOPE.NARROWED", "info", f"{len(selected)} of {len(CHECKS)} checks", *changed, *loose))
+    if len(selected) < len(checks()) or changed or loose:
+        out.append(own("SCOPE.NARROWED", "info", f"{len(selected)} of {len(checks())} checks", *changed, *loose))
     return out
 
 
 def run(rec: Recording, config: RunConfig | None = None) -> Verdict:
     """Selected checks, a job for each category; if one fails, each of its checks runs alone, so the failing one is named and the rest count."""
     config = config or RunConfig()
-    selected = [c for c in CHECKS if config.selects(c)]
+    selected = [c for c in checks() if config.selects(c)]
     errored: dict[str, str] = {}
     findings: list[Finding] = []
     with profiled(rec):
-        for category in CATEGORIES:
+        for category in categories():
             parts: dict[str, DataFrame] = {}
             for c in selected:
                 if c.category == category:

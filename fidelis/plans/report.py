@@ -8,7 +8,8 @@ from collections import Counter
 from urllib.parse import quote
 
 from fidelis.operators import provenance as _provenance
-from fidelis.plans.catalog import CHECKS
+from fidelis.plans.advice import ADVICE
+from fidelis.plans.catalog import checks
 from fidelis.plans.engine import Verdict
 
 SCHEMA = "fidelis-report/1"
@@ -16,7 +17,12 @@ LEVEL = {"info": "note", "warning": "warning", "error": "error"}
 
 
 def finding_dict(f) -> dict:
-    return {"check_id": f.check_id, "severity": f.severity, "category": f.category, "code": f.code, "location": {"kind": f.loc_kind, "episode": f.episode, "stream": f.stream, "a": f.a, "b": f.b}, "message": f.message}
+    return {"check_id": f.check_id, "severity": f.severity, "category": f.category, "code": f.code, "location": {"kind": f.loc_kind, "episode": f.episode, "stream": f.stream, "a": f.a, "b": f.b}, "message": f.message, "risk": _advice(f.check_id)[0], "remedy": _advice(f.check_id)[1]}
+
+
+def _advice(check_id: str) -> tuple[str | None, str | None]:
+    """What a check's findings put at risk and what helps; nothing is known of checks that others register."""
+    return ADVICE.get(check_id, (None, None))
 
 
 def as_dict(v: Verdict) -> dict:
@@ -29,9 +35,10 @@ def to_json(v: Verdict) -> str:
 
 def to_sarif(v: Verdict) -> str:
     rules = sorted({f.code for f in v.findings} | ({"CHECK_ERRORED"} if v.errored else set()))
+    told = {f.code: dict(zip(("fullDescription", "help"), ({"text": t} for t in _advice(f.check_id)), strict=True)) for f in v.findings if _advice(f.check_id)[0]}
     results = [{"ruleId": f.code, "level": LEVEL[f.severity], "message": {"text": f.message}, "locations": [{"logicalLocations": [{"fullyQualifiedName": "/".join(str(x) for x in (v.dataset_id, f.episode, f.stream) if x is not None)}]}]} for f in v.findings]
     results += [{"ruleId": "CHECK_ERRORED", "level": "error", "message": {"text": f"{k}: {e}"}} for k, e in sorted(v.errored.items())]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "fidelis", "rules": [{"id": r} for r in rules]}}, "results": results}]}, indent=2)
+    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "fidelis", "rules": [{"id": r, **told.get(r, {})} for r in rules]}}, "results": results}]}, indent=2)
 
 
 def _plain(text: str) -> str:
@@ -49,19 +56,21 @@ def worst(v: Verdict, n: int = 10) -> list[tuple[int, Counter]]:
 
 def to_text(v: Verdict) -> str:
     lines = [f"{_plain(v.dataset_id)}: {v.status}, {v.score} of 100 ({v.grade}), coverage {v.coverage}"]
-    lines += [f"  {f.severity:7} {f.code}: {_plain(f.message)}" for f in v.findings]
+    for f in v.findings:
+        lines.append(f"  {f.severity:7} {f.code}: {_plain(f.message)}")
+        lines += [f"          {word}: {text}" for word, text in zip(("risk", "remedy"), _advice(f.check_id), strict=True) if text]
     lines += [f"  not run: {k} ({e})" for k, e in sorted(v.errored.items())]
     lines += [f"  episode {i}: " + ", ".join(f"{c[s]} {s}" for s in ("error", "warning", "info") if c[s]) for i, c in worst(v)]
     return "\n".join(lines)
 
 
 def to_html(v: Verdict) -> str:
-    row = lambda f: f"<tr class='{f.severity}'><td>{f.severity}</td><td>{html.escape(f.code)}</td><td>{html.escape(f.message)}</td></tr>"
+    row = lambda f: f"<tr class='{f.severity}'><td>{f.severity}</td><td>{html.escape(f.code)}</td><td>{html.escape(f.message)}</td><td>{html.escape(_advice(f.check_id)[0] or '')}</td><td>{html.escape(_advice(f.check_id)[1] or '')}</td></tr>"
     return f"<!DOCTYPE html><html lang='en'><meta charset='utf-8'><title>{html.escape(v.dataset_id)}</title><h1>{html.escape(v.dataset_id)}</h1><p>{v.status}, {v.score} of 100 ({v.grade})</p><table>{''.join(map(row, v.findings))}</table></html>"
 
 
 def catalog() -> list[dict]:
-    return [{"id": c.id, "title": c.title, "category": c.category, "severity": c.severity, "version": c.version, "codes": c.codes} for c in CHECKS]
+    return [{"id": c.id, "title": c.title, "category": c.category, "severity": c.severity, "version": c.version, "codes": c.codes, "risk": _advice(c.id)[0], "remedy": _advice(c.id)[1]} for c in checks()]
 
 
 def difference(old: dict, new: dict) -> dict:

@@ -41,9 +41,9 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(_PACKAGE.rglob("*.py")):
             z.write(p, p.relative_to(_PACKAGE.parent))
-    # addPyFile copies the file into the application's own file server at once, so the folder of this one may go.
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "fidelis_package.zip")
-        Path(path).write_bytes(packed.getvalue())
-        context.addPyFile(path)
+    # Executors fetch the file when they first need it, from the driver, so its folder lives as long as the application.
+    context._fidelis_folder = folder = tempfile.TemporaryDirectory()
+    path = os.path.join(folder.name, "fidelis_package.zip")
+    Path(path).write_bytes(packed.getvalue())
+    context.addPyFile(path)
     context._fidelis_shipped = True
