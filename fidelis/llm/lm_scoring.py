@@ -9,12 +9,15 @@ Tokens: A-Z lowered, words, then one end token a document.
 3. The log-bilinear model makes a vector of the last two tokens, each through its own matrix, and predicts the class of
    the next token and then the word in the class by inner products. It is trained against noise (from the distribution
    of the classes, and even in a class, whose words are about as frequent); nothing is normalised in training.
-4. The driver trains a first model on a bounded number of drawn tokens (``FIRST``). From it each task trains a copy of its
-   own on one of ``EVERY`` of all its tokens, drawn over whole texts, so examples grow with the corpus. The copies'
-   rows are averaged, weighted by how often each was trained, in two stages that hold one block of rows at a time.
+4. Every token of every training document is an example, none is drawn. Each task trains a copy of its own on all its
+   tokens, in two rounds: first the texts whose hash is divisible by ``EVERY``, then, from the mean of the copies, all
+   others. Equal examples of a chunk are one with a weight. The copies' rows are averaged, weighted by how often each was
+   trained, in two stages that hold one block of rows at a time. A corpus of ``FIRST`` tokens at most is trained on, as
+   a whole, by the driver.
 5. Scoring is one pass over whole texts. Batched matrix products give the normalised log-probabilities of the class and
-   of the word in its class. A word of the tail gets the probability of the tail in its context times its own smoothed
-   share of the tail, so the probabilities of all words sum to 1 (all unseen words together count as one word).
+   of the word in its class, once for equal contexts and words. A word of the tail gets the probability of the tail in
+   its context times its own smoothed share of the tail, so the probabilities of all words sum to 1 (all unseen words
+   together count as one word).
 6. Tokens that aren't among the ``FREQUENT`` are joined with the table of counts, a row for each in a document; rows of one
    word, seen or not, can be split, as both sides of the join are tables.
 
@@ -40,14 +43,18 @@ from fidelis.llm.text import PIECE, mix, pieces, signed
 FREQUENT, FOLDS = 65_536, 10
 #: Added to each count.
 SMOOTH = 0.1
-DIMENSIONS, BATCH, CLASS_NOISE, WORD_NOISE = 16, 2048, 32, 8
-#: Tokens drawn for the first model, about; afterwards one token in so many is an example.
+DIMENSIONS, CLASS_NOISE, WORD_NOISE = 16, 32, 8
+#: Training tokens up to which the driver trains on them all; for more, one text in so many is in the first round, the others in the second.
 FIRST, EVERY = 400_000, 8
-RATE, LATER_RATE = 0.1, 0.03
+RATE = 0.2
+#: Weighted examples of a step in the first round and in the second, tokens whose equal examples are joined, and weight of an example.
+BATCH, LATER_BATCH, CHUNK, HEAVY = 512, 4096, 1 << 18, 4
+#: Training tokens for which a copy is worth its while: there are no more copies than so many of them, and than tasks.
+COPY = 4_000_000
 #: Rows of the model that are averaged together, parts that a block's copies are first summed in, and contexts that are normalised together.
 ROWS, PARTS, CONTEXTS = 1024, 16, 1024
 #: Bytes of texts that are scored at once.
-TEXTS = 1 << 18
+TEXTS = 1 << 20
 #: Hash of the end token; words are never hashed to it but by chance.
 END = int(signed(mix(np.array([0xE0D], np.uint64)))[0])
 
@@ -157,14 +164,19 @@ class Model:
         if self.moved is None:  # every context through both matrices, once
             self.moved = self.context @ self.last, self.context @ self.second
             self.turned = np.ascontiguousarray(self.kind[:, :-1].T), np.ascontiguousarray(self.word[:, :-1].T)
-        hat = self.moved[0][one]
-        hat += self.moved[1][two]
-        kinds = nxt // n.width
-        kinds[nxt == n.own] = n.classes
-        out = np.empty(len(nxt), np.float32)
-        for a in range(0, len(nxt), CONTEXTS):
+        keys, back = np.unique(_key(one, two, nxt, n.own + 2), return_inverse=True)
+        one, two, nxt = _parts(keys, n.own + 2)
+        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])] if len(one) else np.zeros(0, bool)
+        pair = np.cumsum(new) - 1
+        hats = self.moved[0][one[new]]
+        hats += self.moved[1][two[new]]
+        kinds = _kinds(nxt, n)
+        total = np.empty(len(hats), np.float32)  # over the classes, of each pair of contexts
+        for a in range(0, len(hats), CONTEXTS):
             z = slice(a, a + CONTEXTS)
-            out[z] = _chosen(hat[z] @ self.turned[0], self.kind[:, -1], kinds[z])
+            total[z] = _log_sums(hats[z] @ self.turned[0] + self.kind[:, -1])
+        hat, own = hats[pair], self.kind[kinds]
+        out = np.einsum("bd,bd->b", hat, own[:, :-1]) + own[:, -1] - total[pair]
         order = np.argsort(kinds, kind="stable")
         edge = np.searchsorted(kinds[order], np.arange(n.classes + 1))
         for k in np.flatnonzero(np.diff(edge)).tolist():  # the tokens of one class at a time
@@ -172,108 +184,167 @@ class Model:
             for a in range(edge[k], edge[k + 1], CONTEXTS):
                 at = order[a : min(a + CONTEXTS, edge[k + 1])]
                 out[at] += _chosen(hat[at] @ self.turned[1][:, own], self.word[own, -1], nxt[at] - k * n.width)
-        return out / np.float32(np.log(10))
+        return (out / np.float32(np.log(10)))[back]
+
+
+def _key(one: np.ndarray, two: np.ndarray, nxt: np.ndarray, base: int) -> np.ndarray:
+    """One number, in order, for the three of each token, which are below ``base`` (65,538 at most)."""
+    return (one.astype(np.int64) * base + two) * base + nxt
+
+
+def _parts(key: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pair, nxt = np.divmod(key, base)
+    return *np.divmod(pair, base), nxt
+
+
+def _kinds(nxt: np.ndarray, n: Counts) -> np.ndarray:
+    """The class of each token."""
+    kinds = nxt // n.width
+    kinds[nxt == n.own] = n.classes
+    return kinds
 
 
 def _chosen(scores: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Log of the softmax of each row of ``scores + bias`` at one column."""
     scores += bias
-    picked = scores[np.arange(len(which)), which]
+    return scores[np.arange(len(which)), which] - _log_sums(scores)
+
+
+def _log_sums(scores: np.ndarray) -> np.ndarray:
+    """Log of the sum of the powers of each row."""
     with np.errstate(over="ignore"):
         total = np.exp(scores).sum(axis=1)
-    if not np.isfinite(total).all() or total.min() < 1e-30:  # rare: scores out of the range that can be raised as they are
+    if not np.isfinite(total).all() or total.min(initial=1) < 1e-30:  # rare: scores out of the range that can be raised as they are
         most = scores.max(axis=1)
-        return picked - most - np.log(np.exp(scores - most[:, None]).sum(axis=1))
-    return picked - np.log(total)
+        return most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
+    return np.log(total)
+
+
+def _summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, in order, and the sum of the gradients of each."""
+    order = np.sort((rows << 32) | np.arange(len(rows)))
+    r, order = order >> 32, order & 0xFFFFFFFF
+    first = _firsts(r)
+    return r[first], np.add.reduceat(grads[order], first, axis=0)
+
+
+def _firsts(r: np.ndarray) -> np.ndarray:
+    """Where a new value begins in ``r``, which is not empty."""
+    return np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+
+
+def _noise(scores: np.ndarray, bias: np.ndarray | np.float32) -> np.ndarray:
+    """Probability that each is no noise, whose log share times number is ``bias``; in place."""
+    np.subtract(bias, scores, out=scores)
+    np.exp(scores, out=scores)
+    scores += 1
+    return np.reciprocal(scores, out=scores)
 
 
 class Trainer:
     """Stochastic gradient steps on a model, with a rate of its own for each parameter, and how often each row was trained."""
 
-    def __init__(self, model: Model, rate: float, seed: int):
-        self.model, self.rate = model, rate
+    def __init__(self, model: Model, rate: float, seed: int, size: int = BATCH):
+        self.model, self.rate, self.size = model, rate, size
         self.rng = np.random.Generator(np.random.PCG64(seed))
         self.square = {k: np.full_like(v, 1e-6) for k, v in model.tables().items()}
         self.times = {k: np.zeros(len(v), np.float32) for k, v in model.tables().items()}
         self.noise = np.cumsum(model.class_share, dtype=np.float64)
+        self.class_bias = np.log(np.float32(CLASS_NOISE) * model.class_share)
 
-    def step(self, name: str, rows: np.ndarray, grads: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        r = rows[order]
-        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        at, g = r[first], np.add.reduceat(grads[order], first, axis=0)
-        square = self.square[name]
-        square[at] += g * g
-        self.model.tables()[name][at] -= self.rate * g / np.sqrt(square[at])
+    def step(self, name: str, at: np.ndarray | slice, grads: np.ndarray) -> None:
+        square = self.square[name][at] + grads * grads
+        self.square[name][at] = square
+        self.model.tables()[name][at] -= self.rate * grads / np.sqrt(square)
 
-    def batch(self, one: np.ndarray, two: np.ndarray, nxt: np.ndarray) -> None:
+    def batch(self, one: np.ndarray, two: np.ndarray, nxt: np.ndarray, weight: np.ndarray) -> None:
         m, n = self.model, self.model.counts
         size, d = len(nxt), DIMENSIONS
-        kinds = np.where(nxt == n.own, n.classes, nxt // n.width)
+        order = np.sort((nxt << 32) | np.arange(size))  # by the next token, so by class too
+        nxt, order = order >> 32, order & 0xFFFFFFFF
+        one, two, weight = one[order], two[order], weight[order]
+        scale = np.float32(1 / weight.sum())
         ra, rb = m.context[one], m.context[two]
-        hat = ra @ m.last + rb @ m.second
-        flat = np.concatenate([hat, np.ones((size, 1), np.float32)], axis=1)
+        flat = np.ones((size, d + 1), np.float32)
+        flat[:, :d] = ra @ m.last + rb @ m.second
+        heavy = flat * weight[:, None]
         # Classes: the noise is drawn once for the batch.
+        kinds = _kinds(nxt, n)
+        first = _firsts(kinds)
+        there = kinds[first]
         drawn = np.searchsorted(self.noise, self.rng.random(CLASS_NOISE)).clip(max=n.classes)
-        sure = lambda scores, share, k: 1 / (1 + np.exp(np.log(k * share) - scores))  # noqa: E731  that it is no noise
-        good = sure((flat * m.kind[kinds]).sum(axis=1), m.class_share[kinds], CLASS_NOISE) - 1
-        bad = sure(flat @ m.kind[drawn].T, m.class_share[drawn], CLASS_NOISE)
-        dhat = good[:, None] * m.kind[kinds, :d] + bad @ m.kind[drawn, :d]
-        grads = [(np.concatenate([kinds, drawn]), np.concatenate([good[:, None] * flat, bad.T @ flat]))]
-        # Words in their classes: noise of each token's own class.
-        own = np.flatnonzero(nxt < n.own)
-        first = kinds[own] * n.width
-        wide = np.minimum(n.width, n.own - first)
-        among = first[:, None] + (self.rng.random((len(own), WORD_NOISE)) * wide[:, None]).astype(np.int64)
-        words = np.concatenate([nxt[own, None], among], axis=1)
-        q = m.word[words]
-        p = sure(np.einsum("bd,bnd->bn", flat[own], q), 1 / wide[:, None].astype(np.float32), WORD_NOISE)
-        p[:, 0] -= 1
-        dhat[own] += np.einsum("bn,bnd->bd", p, q[:, :, :d])
-        grads.append((words.ravel(), (p[:, :, None] * flat[own][:, None, :]).reshape(-1, d + 1)))
-        scale = np.float32(1 / size)
-        dhat *= scale
-        back = [(one, dhat @ m.last.T), (two, dhat @ m.second.T)]
-        turn = [("last", ra.T @ dhat), ("second", rb.T @ dhat)]
-        for name, (rows, g) in zip(("kind", "word"), grads, strict=True):
-            if len(rows):
-                self.step(name, rows, g * scale)
-        self.step("context", np.concatenate([r for r, _ in back]), np.concatenate([g for _, g in back]))
+        own, other = m.kind[kinds], m.kind[drawn]
+        good = _noise(np.einsum("bd,bd->b", flat, own), self.class_bias[kinds]) - 1
+        bad = _noise(flat @ other.T, self.class_bias[drawn])
+        dhat = good[:, None] * own[:, :d]
+        dhat += bad @ other[:, :d]
+        steps = [("kind", *_summed(np.concatenate([there, drawn]), np.concatenate([np.add.reduceat(good[:, None] * heavy, first, axis=0), bad.T @ heavy])))]
+        self.times["kind"][there] += np.add.reduceat(weight, first)
+        # Words in their classes: the noise is drawn once for each class of the batch.
+        if most := int(np.searchsorted(nxt, n.own)):
+            there = there[there < n.classes]
+            edge = np.append(first[: len(there)], most)
+            wide = np.minimum(n.width, n.own - there * n.width)
+            among = there[:, None] * n.width + (self.rng.random((len(there), WORD_NOISE)) * wide[:, None]).astype(np.int64)
+            bias = np.log(WORD_NOISE / wide).astype(np.float32)
+            words = nxt[:most]
+            own, others = m.word[words], m.word[among]
+            good = _noise(np.einsum("bd,bd->b", flat[:most], own), np.repeat(bias, np.diff(edge))) - 1
+            dhat[:most] += good[:, None] * own[:, :d]
+            back = np.empty_like(others)
+            for a, z, other, b, out in zip(edge[:-1].tolist(), edge[1:].tolist(), others, bias, back, strict=True):
+                bad = _noise(flat[a:z] @ other.T, b)
+                dhat[a:z] += bad @ other[:, :d]
+                np.matmul(bad.T, heavy[a:z], out=out)
+            first = _firsts(words)
+            steps.append(("word", *_summed(np.concatenate([words[first], among.ravel()]), np.concatenate([np.add.reduceat(good[:, None] * heavy[:most], first, axis=0), back.reshape(-1, d + 1)]))))
+            self.times["word"][words[first]] += np.add.reduceat(weight[:most], first)
+        dhat *= (weight * scale)[:, None]
+        (r1, g1), (r2, g2) = _summed(one, dhat), _summed(two, dhat)
+        turn = ("last", ra.T @ dhat), ("second", rb.T @ dhat)
+        at, g = _summed(np.concatenate([r1, r2]), np.concatenate([g1 @ m.last.T, g2 @ m.second.T]))
+        for name, rows, grads in steps:
+            self.step(name, rows, grads * scale)
+        self.step("context", at, g)
         for name, g in turn:
-            self.step(name, np.arange(d), g)
-        for name, rows in (("kind", kinds), ("word", nxt[own]), ("context", one), ("context", two)):
-            self.times[name] += np.bincount(rows, minlength=len(self.times[name])).astype(np.float32)
-        for name in ("last", "second"):
-            self.times[name] += size
+            self.step(name, slice(None), g)
+            self.times[name] += weight.sum()
+        for rows in (one, two):
+            self.times["context"] += np.bincount(rows, weight, minlength=len(m.context)).astype(np.float32)
 
     def examples(self, one: np.ndarray, two: np.ndarray, nxt: np.ndarray) -> None:
-        order = self.rng.permutation(len(nxt))
-        for a in range(0, len(order), BATCH):
-            at = order[a : a + BATCH]
-            self.batch(one[at], two[at], nxt[at])
-
-
-def drawn(b: pa.Array, counts: Counts, share: float) -> Iterator[np.ndarray]:
-    """(last, second last, next) of tokens of the texts of a batch, each token with the chance ``share``; alike whenever the batch is read again."""
+        """Trains on all of them, equal ones as one with a weight; heavier ones than ``HEAVY`` are dealt to several steps."""
+        base = self.model.counts.own + 2
+        keys, times = np.unique(_key(one, two, nxt, base), return_counts=True)
+        parts = -(-times // HEAVY)
+        order = self.rng.permutation(int(parts.sum()))
+        keys, weight = np.repeat(keys, parts)[order], np.repeat((times / parts).astype(np.float32), parts)[order]
+        x = *_parts(keys, base), weight
+        steps = -(-len(order) // self.size)
+        for k in range(steps):
+            self.batch(*(v[k * len(order) // steps : (k + 1) * len(order) // steps] for v in x))
+
+
+def triples(b: pa.Array, counts: Counts) -> Iterator[np.ndarray]:
+    """(last, second last, next) of every token of the texts of a batch."""
     for _, off, h in stream(b):
         c, _ = counts.found(h)
-        one, two = contexts(c, off, counts.own + 1)
-        rng = np.random.Generator(np.random.PCG64(int(np.bitwise_xor.reduce(h.view(np.uint64)) ^ np.uint64(len(h)))))
-        at = np.flatnonzero(rng.random(len(c)) < share)
-        yield np.stack([one[at], two[at], c[at]])
+        yield np.stack([*contexts(c, off, counts.own + 1), c])
 
 
 def first_model(learn: DataFrame, counts: Counts) -> Model:
+    """The model before the rounds of ``trained``; a corpus of ``FIRST`` tokens at most needs none, as the driver trains on all of it."""
+    model = Model(counts)
+    if counts.total > FIRST:
+        return model
     shared = learn.sparkSession.sparkContext.broadcast(counts)
-    share = min(1.0, FIRST / max(1, counts.total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in drawn(b.column(0), shared.value, share):
+            for x in triples(b.column(0), shared.value):
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["one", "two", "nxt"])
 
     rows = learn.select("text").mapInArrow(run, "one long, two long, nxt long").toPandas().sort_values(["one", "two", "nxt"])
-    model = Model(counts)
     trainer = Trainer(model, RATE, 5)
     x = [rows[c].to_numpy(np.int64) for c in ("one", "two", "nxt")]
     for _ in range(2):
@@ -282,23 +353,40 @@ def first_model(learn: DataFrame, counts: Counts) -> Model:
 
 
 def trained(learn: DataFrame, model: Model, scratch: Scratch) -> None:
+    """Trains ``model`` on every token of ``learn``, each in one of two rounds."""
+    early = F.pmod(F.xxhash64("text"), F.lit(EVERY)) == 0
+    texts = learn.select("text").coalesce(max(1, model.counts.total // COPY))
+    for rows, size in ((texts.where(early), BATCH), (texts.where(~early), LATER_BATCH)):
+        a_round(rows, model, size, scratch)
+
+
+def a_round(texts: DataFrame, model: Model, size: int, scratch: Scratch) -> None:
     """Goes on from ``model`` in each task, and gives it the weighted means of what the tasks have made of its rows."""
-    spark = learn.sparkSession
+    spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(model)
     schema = "name string, block long, part long, times binary, total binary"
 
+    def chunks(batches: Iterator[pa.RecordBatch], counts: Counts) -> Iterator[np.ndarray]:
+        held, n = [], 0
+        for b in batches:
+            for x in triples(b.column(0), counts):
+                held.append(x)
+                n += x.shape[1]
+                if n >= CHUNK:
+                    yield np.concatenate(held, axis=1)
+                    held, n = [], 0
+        if held:
+            yield np.concatenate(held, axis=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import copy
 
         trainer, part = None, 0
-        for b in batches:
-            for x in drawn(b.column(0), shared.value.counts, 1 / EVERY):
-                if not x.shape[1]:
-                    continue
-                if trainer is None:
-                    part = int(x.sum()) % PARTS
-                    trainer = Trainer(copy.deepcopy(shared.value), LATER_RATE, int(x.sum()))
-                trainer.examples(*x)
+        for x in chunks(batches, shared.value.counts):
+            if trainer is None:
+                part = int(x.sum()) % PARTS
+                trainer = Trainer(copy.deepcopy(shared.value), RATE, int(x.sum()), size)
+            trainer.examples(*x)
         if trainer is not None:
             for name, table in trainer.model.tables().items():
                 times = trainer.times[name]
@@ -319,7 +407,7 @@ def trained(learn: DataFrame, model: Model, scratch: Scratch) -> None:
         if held:
             yield _block(*now, *held)
 
-    made = scratch.keep(learn.select("text").mapInArrow(run, schema))
+    made = scratch.keep(texts.mapInArrow(run, schema))
     key = ("name", "block", "part")
     some = made.repartition(*key).sortWithinPartitions(*key).mapInArrow(add, schema).withColumn("part", F.lit(0).cast("long"))
     whole = some.repartition(*key).sortWithinPartitions(*key).mapInArrow(add, schema)

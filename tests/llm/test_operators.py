@@ -728,6 +728,24 @@ def test_training_goes_on_in_tasks(spark, monkeypatch):
     assert after[0] > before[0] and after[0] > after[1]
 
 
+def test_every_token_is_trained_on(spark, data, monkeypatch):
+    """Beyond what the driver trains on, the weights of the tasks' examples add up to all training tokens; nothing is drawn."""
+    import numpy as np
+
+    from fidelis.llm.store import Scratch
+
+    monkeypatch.setattr(lm_scoring, "FIRST", 1000)
+    learn = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").where(lm_scoring.fold() != 0)
+    counts = lm_scoring.collected(lm_scoring.token_counts(learn))
+    scratch, made = Scratch(spark, "test"), []
+    keep = scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df: made.append(keep(df)) or made[-1])
+    monkeypatch.setattr(scratch, "drop", lambda *tables: None)
+    lm_scoring.trained(learn, lm_scoring.first_model(learn, counts), scratch)
+    times = sum(float(np.frombuffer(r["times"], np.float32)[0]) for t in made for r in t.where("name = 'last'").collect())
+    assert counts.total > 10_000 and abs(times / counts.total - 1) < 1e-4
+
+
 def test_scores_special(spark):
     rows = lm_scoring.scored(special(spark)).collect()
     r = {x["doc_id"]: x for x in rows}
