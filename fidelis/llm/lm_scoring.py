@@ -49,9 +49,9 @@ FIRST, EVERY = 400_000, 8
 RATE = 0.2
 #: Weighted examples of a step in the first round and in the second, tokens whose equal examples are joined, and weight of an example.
 BATCH, LATER_BATCH, CHUNK, HEAVY = 512, 4096, 1 << 18, 4
-#: Training tokens for which a copy is worth its while: there are no more copies than so many of them, and than tasks.
-COPY = 4_000_000
-#: Rows of the model that are averaged together, parts that a block's copies are first summed in, and contexts that are normalised together.
+#: Training tokens of a round for which a copy is worth its while: there is one for so many of them at most, and one a task.
+COPY = 2_000_000
+#: Rows of the model that are averaged together, parts that a block's copies are first summed in at most, and contexts that are normalised together.
 ROWS, PARTS, CONTEXTS = 1024, 16, 1024
 #: Bytes of texts that are scored at once.
 TEXTS = 1 << 20
@@ -355,15 +355,16 @@ def first_model(learn: DataFrame, counts: Counts) -> Model:
 def trained(learn: DataFrame, model: Model, scratch: Scratch) -> None:
     """Trains ``model`` on every token of ``learn``, each in one of two rounds."""
     early = F.pmod(F.xxhash64("text"), F.lit(EVERY)) == 0
-    texts = learn.select("text").coalesce(max(1, model.counts.total // COPY))
-    for rows, size in ((texts.where(early), BATCH), (texts.where(~early), LATER_BATCH)):
-        a_round(rows, model, size, scratch)
+    texts, total = learn.select("text"), model.counts.total
+    for rows, tokens, size in ((texts.where(early), total // EVERY, BATCH), (texts.where(~early), total, LATER_BATCH)):
+        a_round(rows, max(1, tokens // COPY), model, size, scratch)
 
 
-def a_round(texts: DataFrame, model: Model, size: int, scratch: Scratch) -> None:
+def a_round(texts: DataFrame, copies: int, model: Model, size: int, scratch: Scratch) -> None:
     """Goes on from ``model`` in each task, and gives it the weighted means of what the tasks have made of its rows."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    parts = min(PARTS, 1 + copies // PARTS)
     schema = "name string, block long, part long, times binary, total binary"
 
     def chunks(batches: Iterator[pa.RecordBatch], counts: Counts) -> Iterator[np.ndarray]:
@@ -384,7 +385,7 @@ def a_round(texts: DataFrame, model: Model, size: int, scratch: Scratch) -> None
         trainer, part = None, 0
         for x in chunks(batches, shared.value.counts):
             if trainer is None:
-                part = int(x.sum()) % PARTS
+                part = int(x.sum()) % parts
                 trainer = Trainer(copy.deepcopy(shared.value), RATE, int(x.sum()), size)
             trainer.examples(*x)
         if trainer is not None:
@@ -407,7 +408,7 @@ def a_round(texts: DataFrame, model: Model, size: int, scratch: Scratch) -> None
         if held:
             yield _block(*now, *held)
 
-    made = scratch.keep(texts.mapInArrow(run, schema))
+    made = scratch.keep(texts.coalesce(copies).mapInArrow(run, schema))
     key = ("name", "block", "part")
     some = made.repartition(*key).sortWithinPartitions(*key).mapInArrow(add, schema).withColumn("part", F.lit(0).cast("long"))
     whole = some.repartition(*key).sortWithinPartitions(*key).mapInArrow(add, schema)
