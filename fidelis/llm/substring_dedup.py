@@ -193,6 +193,32 @@ def windows_of(segments: DataFrame, n: int) -> DataFrame:
     return segments.select("h", "piece", "low", "high", "shards").mapInArrow(run, "h long, phrase string, low long, high long, shards int")
 
 
+def candidates(texts: list[str], low: list[int], shared: list[bool], n: int) -> dict[int, list[int]]:
+    """By number of the text: where its windows start that two documents at least have, judged by 64-bit hashes, so with all that do."""
+    h, rows, at = [], [], []
+    for w in pieces(pa.array(texts, pa.string())):
+        g, first = w.grams(w.hashes(), n)
+        row = w.row_of_word()[first]
+        h.append(g)
+        rows.append(w.first + row)
+        at.append(first - w.off[row])
+    if not h:
+        return {}
+    h, rows, at = (np.concatenate(x) for x in (h, rows, at))
+    if not len(h):
+        return {}
+    order = np.argsort(h, kind="stable")
+    rows, at, h = rows[order], at[order], h[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    lows, many = np.array(low)[rows], np.array(shared)[rows]
+    several = np.logical_or.reduceat(many, first) | (np.minimum.reduceat(lows, first) < np.maximum.reduceat(lows, first))
+    several = np.repeat(several, np.diff(np.append(first, len(h))))
+    out: dict[int, list[int]] = {}
+    for row, k in zip(rows[several].tolist(), at[several].tolist(), strict=True):
+        out.setdefault(row, []).append(k)
+    return out
+
+
 class Automaton:
     """Phrases as sequences of word numbers, each with the smallest doc_id that has it."""
 
@@ -209,21 +235,22 @@ class Automaton:
     def add(self, phrase: tuple[int, ...], first: int) -> None:
         self.tree.add_word(phrase, first)
 
-    def confirm(self, rows: Iterable[tuple[tuple[int, ...], int, bool]]) -> None:
-        """Adds the windows of ``rows`` (piece, smallest doc_id, whether there are more) that two documents at least have."""
+    def confirm(self, rows: Iterable[tuple[tuple[int, ...], int, bool, list[int]]]) -> None:
+        """Adds the windows of ``rows`` (piece, smallest doc_id, whether there are more, windows to look at) that two documents at least have."""
         n = self.n
         low: dict[tuple[int, ...], int] = {}
         several: set[tuple[int, ...]] = set()
-        for piece, a, shared in rows:
-            for k in range(len(piece) - n + 1):
+        for piece, a, shared, places in rows:
+            for k in places:
                 w = piece[k : k + n]
                 before = low.setdefault(w, a)
                 if shared or before != a:
                     several.add(w)
                     if a < before:
                         low[w] = a
+        add = self.tree.add_word
         for w in several:
-            self.tree.add_word(w, low[w])
+            add(w, low[w])
 
     def occurrences(self, piece: tuple[int, ...]) -> list[tuple[int, int, int]]:
         """Runs (place of the first phrase's first word, number of phrases, smallest doc_id) of the phrases in ``piece``."""
@@ -256,7 +283,7 @@ def located(segments: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, automaton = None, Automaton(n)
-        # Pieces of one part whose phrases aren't confirmed yet: words, smallest doc_id, whether several documents have them, and where they stand.
+        # Pieces of one part whose phrases aren't confirmed yet: smallest doc_id, whether several documents have them, and where they stand.
         waiting: dict[str, list] = {}
         seen: dict[str, list[tuple[int, int, int]]] = {}
         found: tuple[list, ...] = ([], [], [], [])
@@ -268,8 +295,12 @@ def located(segments: DataFrame, n: int) -> DataFrame:
                     x.append(y)
 
         def confirmed() -> None:
-            automaton.confirm((piece, low, shared) for piece, low, shared, _ in waiting.values())
-            for piece, _, _, places in waiting.values():
+            texts = list(waiting)
+            maybe = candidates(texts, [x[0] for x in waiting.values()], [x[1] for x in waiting.values()], n)
+            # The other pieces hold no recurring window: phrases of kind 0 have anchors of their own.
+            held = [(automaton.numbers(texts[k]), *waiting[texts[k]], at) for k, at in maybe.items()]
+            automaton.confirm((piece, low, shared, at) for piece, low, shared, _, at in held)
+            for piece, _, _, places, _ in held:
                 runs = automaton.occurrences(piece)
                 for pid, off in places:
                     locate(runs, pid, off)
@@ -292,11 +323,11 @@ def located(segments: DataFrame, n: int) -> DataFrame:
                     automaton.add(automaton.numbers(words), low)
                 elif kind == 1:
                     if (held := waiting.get(words)) is None:
-                        waiting[words] = [automaton.numbers(words), low, shared, [(pid, off)]]
+                        waiting[words] = [low, shared, [(pid, off)]]
                     else:
-                        held[2] = held[2] or shared or low != held[1]
-                        held[1] = min(low, held[1])
-                        held[3].append((pid, off))
+                        held[1] = held[1] or shared or low != held[0]
+                        held[0] = min(low, held[0])
+                        held[2].append((pid, off))
                 else:
                     if waiting:
                         confirmed()
@@ -307,7 +338,16 @@ def located(segments: DataFrame, n: int) -> DataFrame:
         confirmed()
         yield out()
 
-    return rows.mapInArrow(run, "pid long, offs array<int>, counts array<int>, firsts array<long>")
+    def uncollected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
+
+        gc.disable()  # very many tuples, no cycles: collections would only walk them
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return rows.mapInArrow(uncollected, "pid long, offs array<int>, counts array<int>, firsts array<long>")
 
 
 def covered(docs: DataFrame, texts: DataFrame, scratch: Scratch, n: int = WINDOW) -> DataFrame:

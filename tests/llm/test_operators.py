@@ -252,6 +252,22 @@ def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
     assert got == [(0, 20, 0), (0, 20, 0), (1, 20, 0), (2, 1, 0), (2, 21, 20), (2, 22, 20)]
 
 
+def test_only_windows_that_recur_are_confirmed(corpus):
+    """Windows told by hashes are those that two documents have, one by one; copies held by several documents count alone."""
+    n = 13
+    rows = [(" ".join(split_words(t)), i, i % 7 == 0) for i, t in corpus if len(split_words(t)) >= n]
+    rows = list({t: (t, i, shared) for t, i, shared in rows}.values())
+    has = collections.defaultdict(list)
+    for k, (t, i, shared) in enumerate(rows):
+        words = t.split(" ")
+        for at in range(len(words) - n + 1):
+            has[tuple(words[at : at + n])].append((k, at, i, shared))
+    want = {(k, at) for x in has.values() if len({i for _, _, i, _ in x}) > 1 or any(s for *_, s in x) for k, at, _, _ in x}
+    got = substring_dedup.candidates(*map(list, zip(*rows, strict=True)), n)
+    assert {(k, at) for k, x in got.items() for at in x} == want and 0 < len(want) < sum(map(len, has.values()))
+    assert substring_dedup.candidates([], [], [], n) == substring_dedup.candidates(["too short"], [1], [True], n) == {}
+
+
 def test_substrings_sql(spark, data):
     _same_as_sql(spark, data, substring_dedup.op4_substring_dedup, substring_dedup.op4_sql())
 
