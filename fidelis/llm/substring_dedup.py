@@ -27,7 +27,9 @@ any length are taken whole; other columns are not looked at. Texts travel betwee
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -144,11 +146,18 @@ def passages(texts: DataFrame, known: DataFrame, n: int) -> DataFrame:
     return both.mapInArrow(run, "doc_id long, th long, start int, passage binary, hot array<long>, shards array<int>")
 
 
+def lists_of(b: pa.RecordBatch) -> list[list]:
+    """The columns of a batch, which hold no nulls and no lists, as Python lists."""
+    return [c.to_numpy(zero_copy_only=False).tolist() for c in b.columns]
+
+
 def cut_at_anchors(distinct: DataFrame, n: int) -> DataFrame:
     """(h, pid, off, piece, low, high, shards): each run of a passage's windows with one anchor, as words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            ends = b.select(["pid", "low", "high"])
+            wide = {i: dict(zip(hot, each, strict=True)) for i, (hot, each) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)) if hot}
             for w in pieces(unpacked(b.column(1).to_pylist())):
                 h, at = anchors_of(w, n)
                 row = w.row_of_word()[at]
@@ -157,9 +166,13 @@ def cut_at_anchors(distinct: DataFrame, n: int) -> DataFrame:
                 raw = w.data.tobytes()
                 texts = [raw[x:y] for x, y in zip(w.start[at[first]].tolist(), w.end[at[last] + n - 1].tolist(), strict=True)]
                 off = (at[first] - w.off[row[first]]).astype(np.int32)
-                got = b.take(pa.array(w.first + row[first]))
-                count = [dict(zip(hot, n, strict=True)).get(x, 1) if hot else 1 for x, hot, n in zip(signed(h[first]).tolist(), got.column(4).to_pylist(), got.column(5).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h[first])), got.column(0), pa.array(off), pa.array(texts, pa.binary()).cast(pa.string()), got.column(2), got.column(3), pa.array(count, pa.int32())], names=["h", "pid", "off", "piece", "low", "high", "shards"])
+                of = w.first + row[first]
+                shards = np.ones(len(of), np.int32)
+                if wide:
+                    for i in np.flatnonzero(np.isin(of, list(wide))).tolist():
+                        shards[i] = wide[int(of[i])].get(int(signed(h[first[i] : first[i] + 1])[0]), 1)
+                got = ends.take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[first])), got.column(0), pa.array(off), pa.array(texts, pa.binary()).cast(pa.string()), got.column(1), got.column(2), pa.array(shards)], names=["h", "pid", "off", "piece", "low", "high", "shards"])
 
     return distinct.select("pid", "passage", "low", "high", "hot", "shards").mapInArrow(run, "h long, pid long, off int, piece string, low long, high long, shards int")
 
@@ -178,7 +191,7 @@ def windows_of(segments: DataFrame, n: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "phrase", "low", "high", "shards"])
 
         for b in batches:
-            for h, text, low, high, shards in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for h, text, low, high, shards in zip(*lists_of(b), strict=True):
                 words = text.split(" ")
                 for k in range(len(words) - n + 1):
                     key = h, " ".join(words[k : k + n])
@@ -224,13 +237,12 @@ class Automaton:
 
     def __init__(self, n: int):
         self.n = n
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = defaultdict(count(1).__next__)
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         self.made = False
 
     def numbers(self, text: str) -> tuple[int, ...]:
-        number = self.number
-        return tuple([number.setdefault(w, len(number) + 1) for w in text.split(" ")])
+        return tuple(map(self.number.__getitem__, text.split(" ")))
 
     def add(self, phrase: tuple[int, ...], first: int) -> None:
         self.tree.add_word(phrase, first)
@@ -314,7 +326,7 @@ def located(segments: DataFrame, n: int) -> DataFrame:
             return batch
 
         for b in batches:
-            for now, kind, words, low, shared, pid, off in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for now, kind, words, low, shared, pid, off in zip(*lists_of(b), strict=True):
                 if now != part:
                     confirmed()
                     part, automaton = now, Automaton(n)

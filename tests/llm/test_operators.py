@@ -268,6 +268,17 @@ def test_only_windows_that_recur_are_confirmed(corpus):
     assert substring_dedup.candidates([], [], [], n) == substring_dedup.candidates(["too short"], [1], [True], n) == {}
 
 
+def test_pieces_reach_the_automata_as_plain_lists():
+    """Columns become Python lists without a scalar for each value, and words numbers without a call for each."""
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_pydict({"a": pa.array([1, -(2**62)]), "b": pa.array(["x \u00e9", ""]), "c": pa.array([True, False]), "d": pa.array([7, 8], pa.int8())})
+    got = substring_dedup.lists_of(b)
+    assert got == [[1, -(2**62)], ["x \u00e9", ""], [True, False], [7, 8]] and [type(c[0]) for c in got] == [int, str, bool, int]
+    automaton = substring_dedup.Automaton(2)
+    assert automaton.numbers("b a b") == (1, 2, 1) and automaton.numbers("c a") == (3, 2)
+
+
 def test_substrings_sql(spark, data):
     _same_as_sql(spark, data, substring_dedup.op4_substring_dedup, substring_dedup.op4_sql())
 
