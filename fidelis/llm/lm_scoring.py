@@ -162,28 +162,30 @@ class Model:
         """log10 of the normalised probability of each token (of the tail as a whole) after its two; the model no longer changes."""
         n = self.counts
         if self.moved is None:  # every context through both matrices, once
-            self.moved = self.context @ self.last, self.context @ self.second
-            self.turned = np.ascontiguousarray(self.kind[:, :-1].T), np.ascontiguousarray(self.word[:, :-1].T)
+            # A last column of ones, which meets the biases.
+            ones = np.ones((len(self.context), 1), np.float32)
+            self.moved = np.hstack([self.context @ self.last, ones]), np.hstack([self.context @ self.second, 0 * ones])
+            self.turned = np.ascontiguousarray(self.kind.T), np.ascontiguousarray(self.word.T)
         keys, back = np.unique(_key(one, two, nxt, n.own + 2), return_inverse=True)
         one, two, nxt = _parts(keys, n.own + 2)
         new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])] if len(one) else np.zeros(0, bool)
         pair = np.cumsum(new) - 1
-        hats = self.moved[0][one[new]]
-        hats += self.moved[1][two[new]]
+        hats = self.moved[0].take(one[new], axis=0)
+        hats += self.moved[1].take(two[new], axis=0)
         kinds = _kinds(nxt, n)
         total = np.empty(len(hats), np.float32)  # over the classes, of each pair of contexts
         for a in range(0, len(hats), CONTEXTS):
             z = slice(a, a + CONTEXTS)
-            total[z] = _log_sums(hats[z] @ self.turned[0] + self.kind[:, -1])
-        hat, own = hats[pair], self.kind[kinds]
-        out = np.einsum("bd,bd->b", hat, own[:, :-1]) + own[:, -1] - total[pair]
+            total[z] = _log_sums(hats[z] @ self.turned[0])
+        hat = hats.take(pair, axis=0)
+        out = np.einsum("bd,bd->b", hat, self.kind.take(kinds, axis=0)) - total[pair]
         order = np.argsort(kinds, kind="stable")
         edge = np.searchsorted(kinds[order], np.arange(n.classes + 1))
         for k in np.flatnonzero(np.diff(edge)).tolist():  # the tokens of one class at a time
             own = slice(k * n.width, (k + 1) * n.width)
             for a in range(edge[k], edge[k + 1], CONTEXTS):
                 at = order[a : min(a + CONTEXTS, edge[k + 1])]
-                out[at] += _chosen(hat[at] @ self.turned[1][:, own], self.word[own, -1], nxt[at] - k * n.width)
+                out[at] += _chosen(hat.take(at, axis=0) @ self.turned[1][:, own], nxt[at] - k * n.width)
         return (out / np.float32(np.log(10)))[back]
 
 
@@ -204,16 +206,15 @@ def _kinds(nxt: np.ndarray, n: Counts) -> np.ndarray:
     return kinds
 
 
-def _chosen(scores: np.ndarray, bias: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row of ``scores + bias`` at one column."""
-    scores += bias
+def _chosen(scores: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at one column."""
     return scores[np.arange(len(which)), which] - _log_sums(scores)
 
 
 def _log_sums(scores: np.ndarray) -> np.ndarray:
     """Log of the sum of the powers of each row."""
     with np.errstate(over="ignore"):
-        total = np.exp(scores).sum(axis=1)
+        total = np.exp(scores) @ np.ones(scores.shape[1], np.float32)
     if not np.isfinite(total).all() or total.min(initial=1) < 1e-30:  # rare: scores out of the range that can be raised as they are
         most = scores.max(axis=1)
         return most + np.log(np.exp(scores - most[:, None]).sum(axis=1))
@@ -225,7 +226,12 @@ def _summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.sort((rows << 32) | np.arange(len(rows)))
     r, order = order >> 32, order & 0xFFFFFFFF
     first = _firsts(r)
-    return r[first], np.add.reduceat(grads[order], first, axis=0)
+    return r[first], np.add.reduceat(grads.take(order, axis=0), first, axis=0)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """The rows of ``x`` as one item each, which are read and written faster by their numbers."""
+    return x.view(np.dtype((np.void, x.shape[1] * x.itemsize)))[:, 0]
 
 
 def _firsts(r: np.ndarray) -> np.ndarray:
@@ -253,9 +259,20 @@ class Trainer:
         self.class_bias = np.log(np.float32(CLASS_NOISE) * model.class_share)
 
     def step(self, name: str, at: np.ndarray | slice, grads: np.ndarray) -> None:
-        square = self.square[name][at] + grads * grads
-        self.square[name][at] = square
-        self.model.tables()[name][at] -= self.rate * grads / np.sqrt(square)
+        square, table = self.square[name], self.model.tables()[name]
+        if isinstance(at, slice):
+            square[at] += grads * grads
+            table[at] -= self.rate * grads / np.sqrt(square[at])
+            return
+        # ``at`` names each row once.
+        now = square.take(at, axis=0)
+        now += grads * grads
+        _whole(square)[at] = _whole(now)
+        np.sqrt(now, out=now)
+        np.divide(grads, now, out=now)
+        now *= -np.float32(self.rate)
+        now += table.take(at, axis=0)
+        _whole(table)[at] = _whole(now)
 
     def batch(self, one: np.ndarray, two: np.ndarray, nxt: np.ndarray, weight: np.ndarray) -> None:
         m, n = self.model, self.model.counts
@@ -264,7 +281,7 @@ class Trainer:
         nxt, order = order >> 32, order & 0xFFFFFFFF
         one, two, weight = one[order], two[order], weight[order]
         scale = np.float32(1 / weight.sum())
-        ra, rb = m.context[one], m.context[two]
+        ra, rb = m.context.take(one, axis=0), m.context.take(two, axis=0)
         flat = np.ones((size, d + 1), np.float32)
         flat[:, :d] = ra @ m.last + rb @ m.second
         heavy = flat * weight[:, None]
@@ -273,13 +290,12 @@ class Trainer:
         first = _firsts(kinds)
         there = kinds[first]
         drawn = np.searchsorted(self.noise, self.rng.random(CLASS_NOISE)).clip(max=n.classes)
-        own, other = m.kind[kinds], m.kind[drawn]
+        own, other = m.kind.take(kinds, axis=0), m.kind[drawn]
         good = _noise(np.einsum("bd,bd->b", flat, own), self.class_bias[kinds]) - 1
         bad = _noise(flat @ other.T, self.class_bias[drawn])
         dhat = good[:, None] * own[:, :d]
         dhat += bad @ other[:, :d]
         steps = [("kind", *_summed(np.concatenate([there, drawn]), np.concatenate([np.add.reduceat(good[:, None] * heavy, first, axis=0), bad.T @ heavy])))]
-        self.times["kind"][there] += np.add.reduceat(weight, first)
         # Words in their classes: the noise is drawn once for each class of the batch.
         if most := int(np.searchsorted(nxt, n.own)):
             there = there[there < n.classes]
@@ -288,7 +304,7 @@ class Trainer:
             among = there[:, None] * n.width + (self.rng.random((len(there), WORD_NOISE)) * wide[:, None]).astype(np.int64)
             bias = np.log(WORD_NOISE / wide).astype(np.float32)
             words = nxt[:most]
-            own, others = m.word[words], m.word[among]
+            own, others = m.word.take(words, axis=0), m.word.take(among, axis=0)
             good = _noise(np.einsum("bd,bd->b", flat[:most], own), np.repeat(bias, np.diff(edge))) - 1
             dhat[:most] += good[:, None] * own[:, :d]
             back = np.empty_like(others)
@@ -298,7 +314,6 @@ class Trainer:
                 np.matmul(bad.T, heavy[a:z], out=out)
             first = _firsts(words)
             steps.append(("word", *_summed(np.concatenate([words[first], among.ravel()]), np.concatenate([np.add.reduceat(good[:, None] * heavy[:most], first, axis=0), back.reshape(-1, d + 1)]))))
-            self.times["word"][words[first]] += np.add.reduceat(weight[:most], first)
         dhat *= (weight * scale)[:, None]
         (r1, g1), (r2, g2) = _summed(one, dhat), _summed(two, dhat)
         turn = ("last", ra.T @ dhat), ("second", rb.T @ dhat)
@@ -308,9 +323,6 @@ class Trainer:
         self.step("context", at, g)
         for name, g in turn:
             self.step(name, slice(None), g)
-            self.times[name] += weight.sum()
-        for rows in (one, two):
-            self.times["context"] += np.bincount(rows, weight, minlength=len(m.context)).astype(np.float32)
 
     def examples(self, one: np.ndarray, two: np.ndarray, nxt: np.ndarray) -> None:
         """Trains on all of them, equal ones as one with a weight; heavier ones than ``HEAVY`` are dealt to several steps."""
@@ -323,6 +335,16 @@ class Trainer:
         steps = -(-len(order) // self.size)
         for k in range(steps):
             self.batch(*(v[k * len(order) // steps : (k + 1) * len(order) // steps] for v in x))
+        self.count(*x)
+
+    def count(self, one: np.ndarray, two: np.ndarray, nxt: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the examples to the times that each row was trained."""
+        n = self.model.counts
+        inside = nxt < n.own
+        for name, rows, w in (("context", one, weight), ("context", two, weight), ("kind", _kinds(nxt, n), weight), ("word", nxt[inside], weight[inside])):
+            self.times[name] += np.bincount(rows, w, minlength=len(self.times[name])).astype(np.float32)
+        for name in ("last", "second"):
+            self.times[name] += weight.sum()
 
 
 def triples(b: pa.Array, counts: Counts) -> Iterator[np.ndarray]:

@@ -742,6 +742,36 @@ def test_model_learns_what_follows_what():
     assert model.log_probabilities(k, k[::-1], (k * 7 + 3) % 30).mean() > math.log10(1 / 30) + 0.8
 
 
+def test_probabilities_and_times_are_those_of_plain_sums():
+    """Biases that ride in the matrix products, rows that are moved whole and times counted once a chunk change no result."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    counts = lm_scoring.Counts(5000, 60, np.arange(50), np.arange(150, 100, -1), np.arange(50), 40)
+    trainer = lm_scoring.Trainer(lm_scoring.Model(counts), 0.1, 1, 64)
+    one, two, nxt = (rng.integers(0, n, 3000) for n in (42, 42, 41))
+    trainer.examples(one, two, nxt)
+    m = trainer.model
+    assert np.allclose(trainer.times["context"], np.bincount(one, minlength=42) + np.bincount(two, minlength=42), atol=0.01)
+    assert np.allclose(trainer.times["word"], np.bincount(nxt[nxt < 40], minlength=40), atol=0.01)
+    before = {k: v.copy() for k, v in m.tables().items()}
+    at, g = np.array([3, 7, 30]), rng.normal(size=(3, lm_scoring.DIMENSIONS + 1)).astype(np.float32)
+    square = trainer.square["word"][at] + g * g
+    trainer.step("word", at, g)
+    before["word"][at] -= 0.1 * g / np.sqrt(square)
+    assert np.allclose(m.word, before["word"], atol=1e-6) and np.allclose(trainer.square["word"][at], square)
+    hat = m.context[one] @ m.last + m.context[two] @ m.second
+    soft = lambda x: x - np.log(np.exp(x).sum(axis=1))[:, None]
+    kinds = np.where(nxt == 40, counts.classes, nxt // counts.width)
+    want = soft(hat @ m.kind[:, :-1].T + m.kind[:, -1])[np.arange(len(nxt)), kinds]
+    words = hat @ m.word[:, :-1].T + m.word[:, -1]
+    for k in range(counts.classes):
+        here = np.flatnonzero(kinds == k)
+        want[here] += soft(words[here, k * counts.width : (k + 1) * counts.width])[np.arange(len(here)), nxt[here] - k * counts.width]
+    assert np.allclose(m.log_probabilities(one, two, nxt), want / np.log(10), atol=1e-4)
+    assert m.moved[0].shape[1] == m.kind.shape[1]
+
+
 def test_training_goes_on_in_tasks(spark, monkeypatch):
     """Copies that tasks trained are averaged, and held-out texts become likelier than after the first model alone."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
