@@ -112,7 +112,8 @@ def extreme_outlier(rec, tol):
     lo, hi, mean, std = (F.col(c) for c in ("min", "max", "mean", "std"))
     ok = finite(lo) & finite(hi) & finite(mean) & finite(std) & (std > 0) & (lo <= mean) & (mean <= hi)
     sd = F.when(std > 0, std)
-    x = x.where(ok).withColumn("up", (hi - mean) / sd).withColumn("down", (mean - lo) / sd).withColumn("z", F.greatest("up", "down"))
+    # The end is told by the distances themselves: different ones can be the same number of deviations once rounded.
+    x = x.where(ok).withColumn("up", hi - mean).withColumn("down", mean - lo).withColumn("z", F.greatest(F.col("up") / sd, F.col("down") / sd))
     x = x.groupBy("ep_ord", "st_ord", "episode", "name").agg(F.max_by(F.struct("dim", "z", "up", "down", "min", "max"), F.struct("z", "dim")).alias("x")).select("ep_ord", "st_ord", "episode", "name", "x.*").where(F.col("z") >= tol.outlier_z)
     high = F.col("up") >= F.col("down")
     x = x.withColumn("end", F.when(high, "maximum").otherwise("minimum")).withColumn("value", F.when(high, F.col("max")).otherwise(F.col("min")))

@@ -33,7 +33,11 @@ def events(spark: SparkSession, sf_dir: str) -> Recording:
     hidden = (F.col("user_id") % 12 == 3) & (F.col("event_id") % 5 == 0)
     e = e.select(F.col("user_id").alias("ep_ord"), (F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type")) - 1).alias("st_ord"), F.col("event_id").alias("frame_idx"), ts.alias("ts"), "value", F.when(~hidden, F.sha2(F.floor(F.col("value") / 25).cast("string"), 256)).alias("content_hash"))
     u, s = F.col("ep_ord"), F.col("st_ord")
-    g = e.groupBy("ep_ord", "st_ord").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min(F.floor(F.col("value") / 40)).alias("lo"), F.max(F.floor(F.col("value") / 40)).alias("hi"), F.collect_list(F.floor(F.col("value") / 40)).alias("steps"))
+    # Findings are told apart by mean and deviation, so equal values must give equal bits however rows are dealt: each
+    # stream is added up whole, in the order of its values.
+    w = Window.partitionBy("ep_ord", "st_ord").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = e.select("ep_ord", "st_ord", "value", F.row_number().over(w).alias("nth"), F.avg("value").over(w).alias("mean"), F.stddev_pop("value").over(w).alias("std"))
+    g = x.groupBy("ep_ord", "st_ord").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.max_by("mean", "nth").alias("mean"), F.max_by("std", "nth").alias("std"), F.min(F.floor(F.col("value") / 40)).alias("lo"), F.max(F.floor(F.col("value") / 40)).alias("hi"), F.collect_list(F.floor(F.col("value") / 40)).alias("steps"))
     rate = F.when((u + s) % 7 == 0, None).when((u + s) % 7 == 1, -1.0).otherwise(5e-6 * (1 + u % 3))
     observed = F.struct("min", "max", "mean", F.when(u % 15 == 4, F.col("std") / 100).otherwise(F.col("std")).alias("std"))
     stored = F.when(u % 6 == 1, None).otherwise(F.struct("min", F.when(u % 5 == 0, F.col("max") / 2).otherwise(F.col("max")).alias("max"), "mean", F.when(u % 9 == 0, -F.col("std")).otherwise(F.col("std")).alias("std")))

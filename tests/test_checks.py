@@ -1,9 +1,13 @@
 """Positive, negative and abstaining cases of checks on small recordings made by hand."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from fidelis.model import Recording, Tolerances
 from fidelis.operators import autonomy, semantic, statistical, structural, temporal
+from fidelis.plans import catalog
 from fidelis.plans.catalog import BY_ID
 
 MS = 1_000_000
@@ -132,3 +136,18 @@ def test_ranges(spark, stats, code):
     rec = recording(spark, (0, "a", [0]))
     rec.put("streams", spark.createDataFrame([(0, 0, "a", "uint8", stats)], "ep_ord long, st_ord long, name string, dtype string, stats struct<min:double,max:double,mean:double,std:double>"))
     assert [c for c, _, _ in codes(statistical.range_sanity(rec, Tolerances()))] == ([code] if code else [])
+
+
+def test_equal_values_are_one_finding_however_rows_are_dealt(spark, tmp_path):
+    rng = random.Random(5)
+    values = [round(rng.expovariate(0.02), 2) for _ in range(30)]
+    # Episodes 4, 19, 34, 49, 64 and 79 have a deviation that is too small, 9, 18 and 27 a negative one.
+    rows = [(u, x) for u in (4, 18, 32, 47, 61, 75, 9, 17, 26) for x in values]
+    rng.shuffle(rows)
+    # 14.74 is further from the mean of both than 139.12, by the last bit; in deviations both are exactly 100.
+    rows += [(89, 14.74), (89, 139.12)]
+    df = spark.createDataFrame([(k * 211, "zoom" if u == 89 else "view", u, x) for k, (u, x) in enumerate(rows)], "event_id long, event_type string, user_id long, value double")
+    df.withColumn("ts", F.timestamp_seconds("event_id").cast("timestamp_ntz")).repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda q: [(r["episode"], r["stream"], r["x3"], r["texts"]) for r in catalog.queries()[q](spark, str(tmp_path)).orderBy("episode").collect()]
+    assert run("statistical_extreme_outlier") == [(4, "view", max(values), "maximum"), (94, "zoom", 14.74, "minimum")]
+    assert run("statistical_range_sanity") == [(9, "view", max(values), "")]
